@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), distance=3, width=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.sharding import shard
 
@@ -20,7 +27,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding,)}
+    return {f.__name__: f for f in (op2_simhash, op4_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
