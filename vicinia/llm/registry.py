@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), label="toxic", sample=6000)
+    return toxicity.score(docs, model, threshold=0.7)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.simhash import near_duplicates
 
@@ -32,6 +40,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), label="quality", sample=4000)
+    return quality.score(docs, model, threshold=0.5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_sharding, op7_fingerprints, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op7_fingerprints, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
