@@ -34,6 +34,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.line_dedup import removed
+
+    out = removed(table(spark, sf_dir, "documents"), every=3)
+    return out.select(F.col("id").alias("doc_id"), "chunk", "n_lines", "n_chars", F.col("kept_id").alias("kept_doc_id"), "kept_chunk")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.substring_dedup import removed
+
+    out = removed(table(spark, sf_dir, "documents"), least=8)
+    return out.select(F.col("id").alias("doc_id"), "level", "begin", "end", F.col("kept_id").alias("kept_doc_id"), "kept_begin")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.cdc import fingerprints
 
@@ -57,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op7_fingerprints, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
