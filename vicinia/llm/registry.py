@@ -54,6 +54,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.decontamination import matches
+
+    out = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, radius=24)
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "begin", "end")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm import quality
 
@@ -71,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
