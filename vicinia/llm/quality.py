@@ -89,6 +89,12 @@ class Model:
         total = weight.sum(axis=1)
         return np.clip(np.where(total > 0, (weight * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-300), 0.5), 0, 1)
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        one_thread()
+        whole = utf8_rows(texts)
+        votes = [self.vote(np.stack([terms(t) for t in whole[at : at + BLOCK]])) for at in range(0, len(whole), BLOCK)]
+        return np.concatenate(votes) if votes else np.zeros(0)
+
 
 def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
     """Latent-semantic axes by randomised subspace iteration over the labelled rows."""
@@ -120,19 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return train(matrix, (rows["label"].to_numpy() > 0).astype(int), rank)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Return id, held_out, score and predicted of every row, and the columns named in ``keep`` unchanged."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Return id, held_out, score and predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
-        m = shared.value
         for b in batches:
-            texts = utf8_rows(b.column(2))
-            votes = [m.vote(np.stack([terms(t) for t in texts[at : at + BLOCK]])) for at in range(0, len(texts), BLOCK)]
-            p = np.concatenate(votes) if votes else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), *b.columns[3:]], ["id", "held_out", "score", "predicted", *(f"kept_{k}" for k in range(len(keep)))])
+            p = shared.value.scores(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("id"), (crc_fold(id_col) == 1).alias("held_out"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *rows.schema.fields[3:]])
+    rows = docs.select(F.col(id_col).alias("id"), (crc_fold(id_col) == 1).alias("held_out"), F.col(text_col).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that score ``threshold`` or more, with all their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -136,13 +136,40 @@ def components(ws: Workspace, edges: DataFrame, name: str = "stars") -> DataFram
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def near_duplicates(df: DataFrame, distance: int = 3, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Return id, ``fp`` and component_id (the smallest id reachable over links of at most ``distance`` bits) of every row."""
-    ws = Workspace(df.sparkSession, "simhash")
-    rows = ws.save(fingerprints(df, text_col, id_col, width), "rows")
+def _placed(ws: Workspace, rows: DataFrame, distance: int) -> DataFrame:
+    """Return ``fp``, ``root`` and component_id of every fingerprint of the rows (id, fp)."""
     fps = ws.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     stars = components(ws, links(fps, distance))
     rooted = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, distance: int = 3, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Return id, ``fp`` and component_id (the smallest id reachable over links of at most ``distance`` bits) of every row."""
+    ws = Workspace(df.sparkSession, "simhash")
+    rows = ws.save(fingerprints(df, text_col, id_col, width), "rows")
+    of = _placed(ws, rows, distance)
     return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(df: DataFrame, distance: int = 3, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, without an id only where no row of the component has one.
+
+    The rows are written once with a number and their fingerprint, so rows that repeat an
+    id or have none stay apart.
+    """
+    ws = Workspace(df.sparkSession, "representatives")
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, width) for t in utf8_rows(b.column(at))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "_fp"])
+
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    tagged = ws.save(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField("_fp", T.LongType())])), "tagged")
+    rows = tagged.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), "_row")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
+    keep = rows.join(_placed(ws, rows, distance), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first._row").alias("_row"))
+    return tagged.join(ws.save(keep, "keep"), "_row", "left_semi").select(*df.columns)
