@@ -27,6 +27,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), least=100, with_text=False).drop("spans")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.sharding import shard
 
@@ -78,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
