@@ -1,19 +1,541 @@
-"""Registry of the similarity engine's queries and their SQL twins."""
+"""Registry of the similarity engine's queries and their SQL twins.
+
+Random choices are drawn once from fixed seeds and stand as constants in both. Searches
+ask with every row whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vicinia.functions import encoding, sampling
+from vicinia.functions.stable import stable_column
+from vicinia.operators import metrics, pairs
+from vicinia.operators.alignment import string_distance
+from vicinia.plans import search
+from vicinia.plans.families import Cosine, Family, Stable, Voronoi
+from vicinia.sources import vectors
+from vicinia.sources.buckets import BucketStore
+
+DIM, Q = 64, 5
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _oracles[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.parquet(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding")
+
+
+def asked(df: DataFrame) -> DataFrame:
+    return df.where(F.col("id") % 100 == 0)
+
+
+def rounded(df: DataFrame, column: str = "distance") -> DataFrame:
+    return df.withColumn(column, F.round(column, 6) + 0.0)  # no negative zero
+
+
+E = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
+TRUE = "e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS vec FROM embeddings)"
+Z = "list_zip(a.vec, b.vec)"
+
+
+def total(f: str, over: str = Z) -> str:
+    return f"list_sum(list_transform({over}, lambda z: CAST({f} AS DOUBLE)))"
+
+
+def matrix_sql(formula: str, source: str = E, extra: str = "", more: str = "") -> str:
+    return f"WITH {source}{extra} SELECT a.id AS id_a, b.id AS id_b, round({formula}, 6) + 0.0 AS distance FROM e a CROSS JOIN e b{more} WHERE a.id % 100 = 0"
+
+
+P, W = 1.23, [round(0.5 + (i % 7) / 4, 2) for i in range(DIM)]
+_w = "[" + ",".join(f"{x}::DOUBLE" for x in W) + "]"
+_both, _first, _second, _none = (total(f"CASE WHEN {c} THEN 1 ELSE 0 END") for c in ("z[1]=1 AND z[2]=1", "z[1]=1 AND z[2]=0", "z[1]=0 AND z[2]=1", "z[1]=0 AND z[2]=0"))
+_dot, _aa, _bb = total("z[1]*z[2]"), total("z[1]*z[1]"), total("z[2]*z[2]")
+_sa, _sb = total("z[1]"), total("z[2]")
+NUMERIC_SQL = {
+    "euclidean": f"sqrt({total('(z[1]-z[2])*(z[1]-z[2])')})",
+    "sqeuclidean": total("(z[1]-z[2])*(z[1]-z[2])"),
+    "cityblock": total("abs(z[1]-z[2])"),
+    "chebyshev": f"list_max(list_transform({Z}, lambda z: abs(z[1]-z[2])))",
+    "minkowski": f"pow({total(f'pow(abs(z[1]-z[2]), {P})')}, 1/{P}::DOUBLE)",
+    "wminkowski": f"pow({total(f'pow(z[3]*abs(z[1]-z[2]), {P})', f'list_zip(a.vec, b.vec, {_w})')}, 1/{P}::DOUBLE)",
+    "cosine": f"1 - {_dot} / (sqrt({_aa}) * sqrt({_bb}))",
+    "correlation": f"1 - ({_dot} - {_sa}*{_sb}/{DIM}) / (sqrt({_aa} - {_sa}*{_sa}/{DIM}) * sqrt({_bb} - {_sb}*{_sb}/{DIM}))",
+    "canberra": total("CASE WHEN abs(z[1])+abs(z[2]) > 0 THEN abs(z[1]-z[2])/(abs(z[1])+abs(z[2])) ELSE 0 END"),
+    "braycurtis": f"{total('abs(z[1]-z[2])')} / {total('abs(z[1]+z[2])')}",
+}
+BOOLEAN_SQL = {
+    "hamming": f"({_first}+{_second}) / {DIM}",
+    "jaccard": f"({_first}+{_second}) / ({_both}+{_first}+{_second})",
+    "dice": f"({_first}+{_second}) / (2*{_both}+{_first}+{_second})",
+    "kulsinski": f"({_first}+{_second}-{_both}+{DIM}) / ({_first}+{_second}+{DIM})",
+    "rogerstanimoto": f"2*({_first}+{_second}) / ({_both}+{_none}+2*({_first}+{_second}))",
+    "russellrao": f"({DIM}-{_both}) / {DIM}",
+    "sokalmichener": f"2*({_first}+{_second}) / ({_both}+{_none}+2*({_first}+{_second}))",
+    "sokalsneath": f"2*({_first}+{_second}) / ({_both}+2*({_first}+{_second}))",
+    "yule": f"2*{_first}*{_second} / ({_both}*{_none}+{_first}*{_second})",
+}
+
+
+def _numeric(name: str) -> Query:
+    parameters = {"minkowski": {"p": P}, "wminkowski": {"p": P, "w": W}}.get(name, {})
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = points(spark, sf_dir)
+        return rounded(pairs.pairwise(asked(x), x, name, dim=DIM, **parameters))
+
+    return run
+
+
+def _boolean(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = points(spark, sf_dir).select("id", F.transform("vec", lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("vec"))
+        return rounded(pairs.pairwise(asked(x), x, name))
+
+    return run
+
+
+for _name, _sql in NUMERIC_SQL.items():
+    query(f"dist_{_name}", matrix_sql(_sql))(_numeric(_name))
+for _name, _sql in BOOLEAN_SQL.items():
+    query(f"dist_{_name}", matrix_sql(_sql, TRUE))(_boolean(_name))
+
+
+@query(
+    "dist_seuclidean",
+    f"""WITH {E}, v AS (SELECT list(s ORDER BY i) AS var FROM (SELECT i, var_samp(x) AS s FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM e) GROUP BY i))
+    SELECT a.id AS id_a, b.id AS id_b, round(sqrt({total("(z[1]-z[2])*(z[1]-z[2])/z[3]", "list_zip(a.vec, b.vec, v.var)")}), 6) AS distance FROM e a CROSS JOIN e b CROSS JOIN v WHERE a.id % 100 = 0""",
+)
+def dist_seuclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    return rounded(pairs.pairwise(asked(x), x, "seuclidean", dim=DIM, **metrics.fit("seuclidean", x)))
+
+
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-dimensional vectors at volume."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("double"), "s_acctbal").alias("vec"))
+
+
+S = "s AS (SELECT s_suppkey AS id, s_nationkey::DOUBLE AS x, s_acctbal AS y FROM supplier)"
+
+
+@query(
+    "dist_mahalanobis",
+    f"""WITH {S}, c AS (SELECT var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM s)
+    SELECT a.id AS id_a, b.id AS id_b, round(sqrt(greatest(((a.x-b.x)*(a.x-b.x)*yy - 2*(a.x-b.x)*(a.y-b.y)*xy + (a.y-b.y)*(a.y-b.y)*xx) / (xx*yy - xy*xy), 0)), 6) AS distance FROM s a JOIN s b ON a.id < b.id CROSS JOIN c""",
+)
+def dist_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = supplies(spark, sf_dir)
+    return rounded(pairs.condensed(x, "mahalanobis", dim=2, **metrics.fit("mahalanobis", x)))
+
+
+@query("dist_aitchison", matrix_sql(f"sqrt({total('(z[1]-z[2])*(z[1]-z[2])')})", "c AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: exp(x)) AS raw FROM embeddings), l AS (SELECT id, list_transform(raw, lambda x: ln(x / list_sum(raw))) AS logs FROM c), e AS (SELECT id, list_transform(logs, lambda x: x - list_avg(logs)) AS vec FROM l)"))
+def dist_aitchison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir).select("id", F.transform("vec", F.exp).alias("vec"))
+    return rounded(pairs.pairwise(asked(x), x, "aitchison"))
+
+
+@query(
+    "hausdorff",
+    f"""WITH {E}, d AS (SELECT a.label AS label_a, b.label AS label_b, a.id AS id_a, b.id AS id_b, sqrt({total("(z[1]-z[2])*(z[1]-z[2])")}) AS d FROM e a CROSS JOIN e b),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label_a, label_b, id_a ORDER BY d, id_b) AS r FROM d) WHERE r = 1)
+    SELECT label_a, label_b, round(d, 6) AS distance, id_a, id_b FROM (SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY d DESC, id_a) AS f FROM n) WHERE f = 1""",
+)
+def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return rounded(pairs.directed_hausdorff(x, x, "euclidean", by=["label"], dim=DIM))
+
+
+def _cubes(u: np.ndarray, v: np.ndarray) -> float:
+    return float((np.abs(u - v) ** 3).sum())
+
+
+@query("pairwise_callable", matrix_sql(total("pow(abs(z[1]-z[2]), 3)")))
+def pairwise_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    return rounded(pairs.pairwise(asked(x), x, _cubes))
+
+
+@query("listed_pairs", f"WITH {E} SELECT a.id AS id_a, b.id AS id_b, round(sqrt({total('(z[1]-z[2])*(z[1]-z[2])')}), 6) AS distance FROM e a JOIN e b ON b.id = a.id + 1")
+def listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    return rounded(pairs.listed(x.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")), x, x, "euclidean", dim=DIM))
+
+
+@query("condensed_pairs", f"WITH {S} SELECT a.id AS id_a, b.id AS id_b, round(abs(a.x-b.x)+abs(a.y-b.y), 6) AS distance FROM s a JOIN s b ON a.id < b.id")
+def condensed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.condensed(supplies(spark, sf_dir), "cityblock", dim=2))
+
+
+@query("square_matrix", f"WITH {S} SELECT a.id AS id_a, b.id AS id_b, round(greatest(abs(a.x-b.x), abs(a.y-b.y)), 6) AS distance FROM s a CROSS JOIN s b")
+def square_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = supplies(spark, sf_dir)
+    return rounded(pairs.square(pairs.condensed(x, "chebyshev", dim=2), x))
+
+
+@query("fit_variances", "SELECT i - 1 AS place, round(var_samp(x), 6) AS variance FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i")
+def fit_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    V = metrics.fit("seuclidean", points(spark, sf_dir))["V"]
+    return rounded(spark.createDataFrame(list(enumerate(V)), "place long, variance double"), "variance")
+
+
+# strings
+
+_names = "n AS (SELECT DISTINCT p_name AS s FROM part)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select(F.col("p_name").alias("u")).crossJoin(names.select(F.col("p_name").alias("v")))
+
+
+#: A small score matrix by rule: vowels are alike, consonants are alike.
+@cache
+def letters() -> dict[str, float]:
+    from string import ascii_lowercase as az
+
+    kind = {c: c in "aeiou" for c in az} | {" ": None, "-": None}
+    return {a + b: 4.0 if a == b else 1.0 if kind[a] == kind[b] and kind[a] is not None else -2.0 for a in kind for b in kind}
+
+
+def _aligned(**parameters) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = parameters.get("name", "levenshtein")
+        rest = {k: v for k, v in parameters.items() if k not in ("name", "letters")} | ({"mat": letters()} if parameters.get("letters") else {})
+        u, v = (F.lower(F.regexp_replace(c, "[^A-Za-z]", " ")) if parameters.get("letters") else F.col(c) for c in "uv")
+        return rounded(_named(spark, sf_dir).select("u", "v", string_distance(name, u, v, **rest).alias("distance")))
+
+    return run
+
+
+query("levenshtein", f"WITH {_names} SELECT a.s AS u, b.s AS v, levenshtein(a.s, b.s)::DOUBLE AS distance FROM n a CROSS JOIN n b")(_aligned())
+query("levenshtein_affine")(_aligned(gap_open=2.0, gap_extend=0.5))
+query("levenshtein_normalized")(_aligned(normalized=True))
+query("needleman_wunsch")(_aligned(name="nw", letters=True, gap_open=3.0, gap_extend=1.0))
+query("needleman_wunsch_normalized")(_aligned(name="align", letters=True, gap_open=3.0, gap_extend=1.0, normalized=True))
+
+# encoders and code distances
+
+_codes = "c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS c0, l_partkey % 4 AS c1, l_suppkey % 4 AS c2, l_orderkey % 4 AS c3 FROM lineitem)"
+_packed = "(c0 | (c1 << 2) | (c2 << 4) | (c3 << 6))"
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", F.array(*[(F.col(c) % 4).cast("int") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")]).alias("codes"))
+
+
+@query("encode_by_bits", f"WITH {_codes} SELECT l_orderkey, l_linenumber, {_packed}::BIGINT AS key FROM c")
+def encode_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(spark, sf_dir).select("l_orderkey", "l_linenumber", encoding.encode_by_bits(F.col("codes"), 4, 2).alias("key"))
+
+
+@query("decode_by_bits", f"WITH {_codes} SELECT l_orderkey, l_linenumber, concat_ws(',', c0, c1, c2, c3) AS codes FROM c")
+def decode_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = encoding.encode_by_bits(F.col("codes"), 4, 2)
+    return coded(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(encoding.decode_by_bits(key, 4, 2).cast("array<string>"), ",").alias("codes"))
+
+
+_signed = "s AS (SELECT l_orderkey, l_linenumber, l_partkey - l_suppkey AS x, l_linenumber - 4 AS y FROM lineitem), z AS (SELECT *, CASE WHEN x > 0 THEN 2*x WHEN x < 0 THEN -2*x-1 ELSE 0 END AS zx, CASE WHEN y > 0 THEN 2*y WHEN y < 0 THEN -2*y-1 ELSE 0 END AS zy FROM s)"
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_partkey") - F.col("l_suppkey"), F.col("l_linenumber").cast("long") - 4).alias("codes"))
+
+
+@query("encode_by_place", f"WITH {_signed} SELECT l_orderkey, l_linenumber, ((zx % 10000) + (zy % 10000)::HUGEINT * 10000)::VARCHAR AS key FROM z")
+def encode_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed(spark, sf_dir).select("l_orderkey", "l_linenumber", encoding.encode_by_place(F.col("codes"), 2, 4).cast("string").alias("key"))
+
+
+@query("decode_by_place", f"WITH {_signed} SELECT l_orderkey, l_linenumber, concat_ws(',', x, y) AS codes FROM z")
+def decode_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = encoding.encode_by_place(F.col("codes"), 2)
+    return signed(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(encoding.decode_by_place(key, 2).cast("array<string>"), ",").alias("codes"))
+
+
+@query("hash_distance", f"WITH {_codes} SELECT l_orderkey, l_linenumber, ((c0 <> 2)::INT + (c1 <> 1)::INT + (c2 <> 3)::INT + (c3 <> 0)::INT) AS far FROM c")
+def hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.lit(2 | 1 << 2 | 3 << 4).cast("long")
+    return coded(spark, sf_dir).select("l_orderkey", "l_linenumber", encoding.key_distance(encoding.encode_by_bits(F.col("codes"), 4, 2), other, 4, 2).alias("far"))
+
+
+# samples and variates
+
+_draw = "((e.vec_id * 7919 + sample * 104729) % 10007)"
+
+
+@query("sample_rows", f"SELECT sample, vec_id AS id FROM (SELECT s.sample, e.vec_id, row_number() OVER (PARTITION BY s.sample ORDER BY {_draw}, e.vec_id) AS r FROM embeddings e CROSS JOIN (SELECT unnest(range(4))::INT AS sample) s) WHERE r <= 10")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_rows(points(spark, sf_dir), 4, 10, order=(F.col("id") * 7919 + F.col("sample") * 104729) % 10007)
+
+
+@query("sample_strata", f"SELECT stratum, sample, vec_id AS id FROM (SELECT e.vec_id // 100 AS stratum, s.sample, e.vec_id, row_number() OVER (PARTITION BY e.vec_id // 100, s.sample ORDER BY {_draw}, e.vec_id) AS r FROM embeddings e CROSS JOIN (SELECT unnest(range(3))::INT AS sample) s) WHERE r <= 5")
+def sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_strata(points(spark, sf_dir), 100, 3, 5, order=(F.col("id") * 7919 + F.col("sample") * 104729) % 10007)
+
+
+@query("sample_rows_hashed")
+def sample_rows_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_rows(points(spark, sf_dir), 4, 10, seed=7)
+
+
+@query("sample_draws")
+def sample_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.draws(spark, points(spark, sf_dir).count(), 4, 10, seed=7)
+
+
+@query("sample_interval_draws")
+def sample_interval_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.interval_draws(spark, points(spark, sf_dir).count(), 100, 3, 5, seed=7)
+
+
+@query("sample_lines")
+def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.line_sample(table(spark, sf_dir, "events").select("event_id"), 100, seed=7)
+
+
+_u1, _u2 = "(((event_id * 7919) % 10007 + 1) / 10009.0::DOUBLE)", "(((event_id * 104729) % 10007 + 1) / 10009.0::DOUBLE)"
+
+
+def _stable_sql(alpha: float, beta: float) -> str:
+    angle, wait = f"(({_u1} - 0.5) * pi())", f"(-ln({_u2}))"
+    if alpha == 2:
+        x = f"2 * sqrt({wait}) * sin({angle})"
+    elif alpha == 1 and not beta:
+        x = f"tan({angle})"
+    elif alpha == 1:
+        tilt = f"(pi()/2 + {beta} * {angle})"
+        x = f"2/pi() * ({tilt} * tan({angle}) - {beta} * ln(pi()/2 * {wait} * cos({angle}) / {tilt}))"
+    else:
+        skew = f"({beta} * tan(pi() * {alpha} / 2))"
+        turn = f"(atan({skew}) / {alpha})"
+        x = f"pow(1 + {skew}*{skew}, 1/(2*{alpha}::DOUBLE)) * sin({alpha} * ({angle} + {turn})) / pow(cos({angle}), 1/{alpha}::DOUBLE) * pow(cos({angle} - {alpha} * ({angle} + {turn})) / {wait}, (1-{alpha})/{alpha}::DOUBLE)"
+    return f"SELECT event_id, round(atan({x}), 6) AS x FROM events"
+
+
+def _variates(alpha: float, beta: float) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        u = [((F.col("event_id") * f) % 10007 + 1) / F.lit(10009.0) for f in (7919, 104729)]
+        # the arc tangent keeps the law's far tails comparable
+        return table(spark, sf_dir, "events").select("event_id", F.round(F.atan(stable_column(*u, alpha, beta)), 6).alias("x"))
+
+    return run
+
+
+for _label, _alpha, _beta in (("cauchy", 1.0, 0.0), ("skewed_1", 1.0, 0.5), ("general", 1.5, 0.5), ("half", 0.5, -0.5), ("normal", 2.0, 0.0)):
+    query(f"stable_{_label}", _stable_sql(_alpha, _beta))(_variates(_alpha, _beta))
+
+# hash indexes and searches
+
+VORONOI, COSINE, STABLE = {"L": 4, "k": 2, "m": 10, "w": 3}, {"L": 4, "k": 8}, {"L": 4, "k": 2, "r": 1.0}
+
+
+@cache
+def _medoid_ids() -> np.ndarray:
+    """Medoid ids by table, function and place: constants, below the least table's 500 rows."""
+    rng = np.random.default_rng(11)
+    ids = [rng.choice(500, VORONOI["m"], replace=False) for _ in range(VORONOI["L"])]
+    return np.array([[x[rng.choice(VORONOI["m"], VORONOI["w"], replace=False)] for _ in range(VORONOI["k"])] for x in ids])
+
+
+@cache
+def cosine_family() -> Cosine:
+    return Cosine.draw(DIM, **COSINE, seed=12)
+
+
+@cache
+def stable_family() -> Stable:
+    return Stable.draw(DIM, **STABLE, seed=13)
+
+
+def voronoi_family(x: DataFrame) -> Voronoi:
+    ids = np.unique(_medoid_ids())
+    found = x.where(F.col("id").isin(ids.tolist())).toArrow()  # the listed medoids only
+    by_id = dict(zip(found["id"].to_pylist(), found["vec"].to_pylist(), strict=True))
+    return Voronoi(np.array([by_id[i] for i in ids.tolist()]), np.searchsorted(ids, _medoid_ids()), "euclidean")
+
+
+def family(name: str, x: DataFrame) -> Family:
+    return voronoi_family(x) if name == "voronoi" else cosine_family() if name == "cosine" else stable_family()
+
+
+def _list(v: np.ndarray) -> str:
+    return "[" + ",".join(f"{float(a)!r}::DOUBLE" for a in v) + "]"
+
+
+@cache
+def codes_sql(name: str) -> str:
+    """CTEs that end in codes(id, t, j, code) and keys(id, t, codes, bucket)."""
+    if name == "voronoi":
+        rows = ",".join(f"({t},{j},{p},{m})" for (t, j, p), m in np.ndenumerate(_medoid_ids()))
+        codes = f"""f(t, j, p, m) AS (VALUES {rows}), d AS (SELECT a.id, t, j, p, sqrt({total("(z[1]-z[2])*(z[1]-z[2])")}) AS d FROM e a CROSS JOIN f JOIN e b ON b.id = f.m),
+        codes AS (SELECT id, t, j, p AS code FROM (SELECT *, row_number() OVER (PARTITION BY id, t, j ORDER BY d, p) AS r FROM d) WHERE r = 1)"""
+        bucket = "sum(code << (2*j))::BIGINT"
+    elif name == "cosine":
+        rows = ",".join(f"({t},{j},{_list(cosine_family().signs[t, j])})" for t in range(COSINE["L"]) for j in range(COSINE["k"]))
+        codes = f"f(t, j, v) AS (VALUES {rows}), codes AS (SELECT id, t, j, (list_inner_product(vec, v) > 0)::INT AS code FROM e CROSS JOIN f)"
+        bucket = "sum(code << j)::BIGINT"
+    else:
+        g = stable_family()
+        rows = ",".join(f"({t},{j},{_list(g.projections[t, j])},{float(g.shifts[t, j])!r}::DOUBLE)" for t in range(STABLE["L"]) for j in range(STABLE["k"]))
+        codes = f"f(t, j, v, b) AS (VALUES {rows}), codes AS (SELECT id, t, j, floor((list_inner_product(vec, v) + b) / {STABLE['r']})::BIGINT AS code FROM e CROSS JOIN f)"
+        bucket = "sum((CASE WHEN code > 0 THEN 2*code WHEN code < 0 THEN -2*code-1 ELSE 0 END)::HUGEINT * (CASE j WHEN 0 THEN 1 ELSE 100000000 END))::HUGEINT"
+    return f"WITH {E}, {codes}, keys AS (SELECT id, t, list(code ORDER BY j) AS codes, {bucket} AS bucket FROM codes GROUP BY id, t)"
+
+
+METRIC_SQL = {"voronoi": NUMERIC_SQL["euclidean"], "cosine": NUMERIC_SQL["cosine"], "stable": NUMERIC_SQL["euclidean"]}
+_own = ", own AS (SELECT DISTINCT q.id AS query_id, k.id FROM keys q JOIN keys k ON q.t = k.t AND q.bucket = k.bucket WHERE q.id % 100 = 0)"
+
+
+def _ranked_sql(name: str, candidates: str) -> str:
+    return f", ranked AS (SELECT c.query_id, row_number() OVER (PARTITION BY c.query_id ORDER BY {METRIC_SQL[name]}, c.id) AS rank, c.id, round({METRIC_SQL[name]}, 6) + 0.0 AS distance FROM {candidates} c JOIN e a ON a.id = c.query_id JOIN e b ON b.id = c.id)"
+
+
+_probing = f"""{_own}, short AS (SELECT q.id FROM (SELECT DISTINCT id FROM keys WHERE id % 100 = 0) q LEFT JOIN own ON own.query_id = q.id GROUP BY q.id HAVING count(own.id) < {Q}),
+    far AS (SELECT q.id AS query_id, k.id, min(list_sum(list_transform(list_zip(q.codes, k.codes), lambda z: (z[1] <> z[2])::INT))) AS far FROM keys q JOIN short USING (id) JOIN keys k ON q.t = k.t GROUP BY q.id, k.id),
+    reached AS (SELECT a.query_id, a.id FROM far a WHERE a.far <= 2 AND (SELECT count(*) FROM far b WHERE b.query_id = a.query_id AND b.far < a.far) < {Q}),
+    probed AS (SELECT query_id, id FROM own UNION SELECT query_id, id FROM reached)"""
+_wide = f"SELECT q.id AS query_id, concat_ws(',', {', '.join(f'coalesce(max(CASE WHEN r.rank = {k} THEN r.id END), -1)' for k in range(1, Q + 1))}) AS neighbors FROM (SELECT id FROM e WHERE id % 100 = 0) q LEFT JOIN ranked r ON r.query_id = q.id AND r.rank <= {Q} GROUP BY q.id"
+
+
+def index(spark: SparkSession, sf_dir: str, name: str) -> search.Index:
+    x = points(spark, sf_dir)
+    return search.Index(family(name, x), x)
+
+
+def _searches(name: str) -> None:
+    prefix = codes_sql(name)
+    top = f" SELECT query_id, rank, id, distance FROM ranked WHERE rank <= {Q}"
+
+    @query(f"lsh_{name}_index", prefix + " SELECT id, t AS table_id, array_to_string(codes, ',') AS codes, bucket::VARCHAR AS bucket FROM keys")
+    def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index(spark, sf_dir, name).hashes.select("id", "table_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.col("bucket").cast("string").alias("bucket"))
+
+    @query(f"lsh_{name}_candidates", prefix + _own + " SELECT * FROM own")
+    def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return index(spark, sf_dir, name).candidates(asked(points(spark, sf_dir)))
+
+    @query(f"lsh_{name}_knn", prefix + _own + _ranked_sql(name, "own") + top)
+    def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q, probe=False))
+
+    @query(f"lsh_{name}_multiprobe", prefix + _probing + _ranked_sql(name, "probed") + top)
+    def multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q))
+
+    @query(f"lsh_{name}_by_id", prefix + _probing + _ranked_sql(name, "probed") + top)
+    def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(index(spark, sf_dir, name).query_by_id(asked(points(spark, sf_dir)).select("id"), Q))
+
+    @query(f"lsh_{name}_wide", prefix + _own + _ranked_sql(name, "own") + " " + _wide)
+    def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = asked(points(spark, sf_dir))
+        out = search.wide(index(spark, sf_dir, name).query(x, Q, probe=False), x, Q)
+        return out.select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+for _name in ("voronoi", "cosine", "stable"):
+    _searches(_name)
+
+_exact = f"WITH {E}, truth AS (SELECT * FROM (SELECT a.id AS query_id, row_number() OVER (PARTITION BY a.id ORDER BY {NUMERIC_SQL['euclidean']}, b.id) AS rank, b.id, round({NUMERIC_SQL['euclidean']}, 6) AS distance FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q})"
+
+
+@query("knn_exact", _exact + " SELECT query_id, rank, id, distance FROM truth")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    return rounded(search.nearest_exact(asked(x), x, Q, dim=DIM))
+
+
+@query("recall", codes_sql("voronoi") + _own + f", truth AS (SELECT * FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {NUMERIC_SQL['euclidean']}, b.id) AS rank FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q}) SELECT count(*) AS n_true, count(own.id) AS n_found, round(count(own.id) / count(*), 6) AS recall FROM truth LEFT JOIN own USING (query_id, id)")
+def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    found = index(spark, sf_dir, "voronoi").query(asked(x), Q, probe=False)
+    return rounded(search.recall(found, search.nearest_exact(asked(x), x, Q, dim=DIM)), "recall")
+
+
+# bucket store
+
+
+@query("store_keys", codes_sql("voronoi") + " SELECT DISTINCT t AS table_id, bucket FROM keys")
+def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "voronoi").store.keys()
+
+
+@query("store_bucket", codes_sql("voronoi") + " SELECT id FROM keys WHERE t = 0 AND bucket = 5")
+def store_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "voronoi").store.bucket(0, 5)
+
+
+@query("store_clear", codes_sql("voronoi") + " SELECT t AS table_id, count(*) AS n FROM keys WHERE t <> 1 GROUP BY t")
+def store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "voronoi").store.clear(1).rows().groupBy("table_id").agg(F.count("*").alias("n"))
+
+
+@query("store_counts", codes_sql("voronoi") + _own + " SELECT query_id, count(*) AS n FROM own GROUP BY query_id")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = index(spark, sf_dir, "voronoi")
+    return ix.store.candidate_counts(ix.hash_queries(asked(points(spark, sf_dir))))
+
+
+@query("store_pack", "SELECT event_id AS id, k AS table_id, (event_id * (k + 1)) % 97 AS bucket FROM events CROSS JOIN (SELECT unnest(range(3))::INT AS k)")
+def store_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(*[(F.col("event_id") * (k + 1)) % 97 for k in range(3)]).alias("keys"))
+    return BucketStore(spark).pack(rows).rows().select("id", "table_id", "bucket")
+
+
+# scans
+
+
+@query("scan_range", "SELECT vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id >= 100 AND vec_id < 200")
+def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.by_range(points(spark, sf_dir), 100, 200).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("scan_by_id", "SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT event_id * 3 FROM events)")
+def scan_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.by_id(points(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("id"))).select("id")
+
+
+@query("scan_shape", "SELECT count(*) AS n, max(len(embedding)) AS dim, (min(vec_id) = 0 AND max(vec_id) = count(*) - 1 AND count(DISTINCT vec_id) = count(*)) AS indices FROM embeddings")
+def scan_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = points(spark, sf_dir)
+    n, dim = vectors.shape(x)
+    return spark.createDataFrame([(n, dim, vectors.are_indices(x))], "n long, dim long, indices boolean")
+
+
+@query("scan_numbered", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer")
+def scan_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.with_ids(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _queries["lsh_voronoi_multiprobe"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
