@@ -160,16 +160,14 @@ def representatives(df: DataFrame, distance: int = 3, width: int = 3, text_col:
     id or have none stay apart.
     """
     ws = Workspace(df.sparkSession, "representatives")
-    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in utf8_rows(b.column(at))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "_fp"])
-
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    tagged = ws.save(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField("_fp", T.LongType())])), "tagged")
-    rows = tagged.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), "_row")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))
-    keep = rows.join(_placed(ws, rows, distance), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first._row").alias("_row"))
-    return tagged.join(ws.save(keep, "keep"), "_row", "left_semi").select(*df.columns)
+            fp = np.array([fingerprint(t, width) for t in utf8_rows(b.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp.view(np.int64)), b.column(3)], ["row", "id", "fp", "place"])
+
+    own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    tagged = ws.save(own.mapInArrow(run, T.StructType([own.schema["row"], own.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType())])), "tagged")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
+    keep = tagged.select("id", "fp", "place").join(_placed(ws, tagged.select("id", "fp"), distance), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first.place").alias("place"))
+    return tagged.join(ws.save(keep, "keep"), "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in df.columns])

@@ -9,7 +9,7 @@ stays and the rest is removed. Offsets are code points of the original text.
 Defined cases: a null or empty text has no units; rows that repeat an id rank alike, so
 equal units at one place of one id are one occurrence and stay; null ids rank first; an
 empty table gives an empty result. ``dedup`` carries other columns along unchanged,
-whatever their names.
+whatever their names, but a column ``removed_spans`` is replaced.
 """
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ def dedup(df: DataFrame, least: int = 8, text_col: str = "text", id_col: str = "
     ws = Workspace(df.sparkSession, "substrings")
     gone = ws.save(repeated_units(ws, df, least, text_col, id_col), "gone")
     lists = gone.groupBy(F.col("id").alias("_gone_id")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("removed_spans"))  # bounded by the document
+    df = df.drop("removed_spans")
     names = df.columns
     rows = df.join(lists, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
 
