@@ -1,0 +1,85 @@
+"""Plain versions of the operators, for small tables."""
+
+import re
+from collections import Counter, defaultdict
+
+import xxhash
+
+SEED = 42
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings and longs: each value's hash seeds the next."""
+    seed = SEED
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def line_chunks(text, every=3):
+    lines = text.split("\n")
+    h = [spark_hash(x) for x in lines]
+    mark = [i == 0 or signed(spark_hash(signed(h[i - 1]), signed(h[i]))) % every == 0 for i in range(len(lines))]
+    begins = [i for i in range(len(lines)) if mark[i] and not (i and mark[i - 1])]
+    return [lines[a:b] for a, b in zip(begins, [*begins[1:], len(lines)], strict=True)]
+
+
+def line_dedup(rows, every=3):
+    """{index: text} of rows (id, text) after repeated chunks are cut out, and the set of changed indexes."""
+    at = defaultdict(set)
+    for k, t in rows:
+        for c, chunk in enumerate(line_chunks(t, every) if t is not None else []):
+            if sum(bool(x.strip(" \t\r\n\f\v")) for x in chunk) >= 2:
+                at[tuple(chunk)].add((k is not None, k or 0, c))
+    count = Counter()
+    for _, t in rows:
+        count.update(tuple(c) for c in (line_chunks(t, every) if t is not None else []))
+    out, changed = [], set()
+    for i, (k, t) in enumerate(rows):
+        if t is None:
+            out.append(None)
+            continue
+        kept = [c for n, c in enumerate(line_chunks(t, every)) if not (tuple(c) in at and count[tuple(c)] > 1 and min(at[tuple(c)]) != (k is not None, k or 0, n))]
+        if len(kept) < len(line_chunks(t, every)):
+            changed.add(i)
+        out.append("\n".join("\n".join(c) for c in kept))
+    return out, changed
+
+
+def substring_dedup(rows, least=100):
+    """(n_bytes, n_removed, n_spans, kept) by document of rows (id, text) in order."""
+    seen, out = set(), []
+    for _, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - least + 1):
+            w = b[p : p + least]
+            if w in seen:
+                gone[p : p + least] = b"\1" * least
+            seen.add(w)
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    return out
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def grams(w):
+    n = min(5, len(w))
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter()
+
+
+def contamination(text, item):
+    """The best similarity of a window of the item's size."""
+    w, x = words(text), words(item)
+    want, best = grams(x), 0.0
+    for i in range(len(w) - len(x) + 1 if x else 0):
+        got = grams(w[i : i + len(x)])
+        both = sum((got & want).values())
+        best = max(best, both / (sum(got.values()) + sum(want.values()) - both))
+    return best
