@@ -21,8 +21,9 @@ empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +39,12 @@ from vicinia.llm.common import Workspace, numbered, one_thread
 REMEMBERED = 400_000
 #: The public byte-level BPE's pattern, which splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: With these no white space spans two chunks: single spaces and line feeds only.
-NOT_PLAIN = re.compile(r"\s\s|^\s|[^\S \n]|\x00")
+#: Without these no white space spans two chunks: single spaces and line feeds only.
+TOGETHER = ("  ", "\n\n", " \n", "\n ", "\x00", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
+
+def plain(text: str) -> bool:
+    return not text[:1].isspace() and not any(x in text for x in TOGETHER)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,17 +68,26 @@ class Tokens(dict):
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.whole.no_truncation()
         self.model, self.split, self.letters = self.whole.model, regex.compile(PATTERN).findall, _byte_letters()
+        self.parts: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         text = key if key == "\n" else key[1:] if key[:1] == "\x00" else " " + key
-        ids = [t.id for part in self.split(text) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        out = self[key] = np.array(ids, dtype="<u4").tobytes()
+        out = self[key] = self.part(text) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else b"".join(map(self.part, self.split(text)))
+        return out
+
+    def part(self, text: str) -> bytes:
+        """Tokens of what the pattern doesn't split."""
+        if (out := self.parts.get(text)) is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            ids = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+            out = self.parts[text] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
         return out
 
     def of(self, text: str) -> bytes:
-        if NOT_PLAIN.search(text):
+        if not plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, ("\x00" + text.replace("\n", " \n \x00")).split(" ")))
 
