@@ -58,7 +58,8 @@ def repeated_chunks(ws: Workspace, df: DataFrame, text_col: str = "text", id_col
     digests = (F.xxhash64("part").alias("h"), F.unhex(F.md5(F.col("part").cast("binary"))).alias("d"))
     found = ws.save(each.select("id", "chunk", *digests, (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("n_lines"), F.length(plain(F.col("part"))).alias("n_chars")), "found")
     twice = ws.save(found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("id", "chunk")).alias("first")).where("n > 1"), "twice")
-    texts = each.select(*digests, "part").join(twice.select("h", "d"), ["h", "d"], "left_semi")
+    # a merge join at every size: the texts cross one shuffle, and need grows in step with the input
+    texts = each.select(*digests, "part").join(twice.select("h", "d").hint("merge"), ["h", "d"], "left_semi")
     alike = texts.groupBy("h", "d").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a = b").select("h", "d")
     keep = ws.save(twice.join(alike, ["h", "d"]).select("h", "d", F.col("first.id").alias("kept_id"), F.col("first.chunk").alias("kept_chunk")), "keep")
     return found.join(keep, ["h", "d"]).where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("chunk") == F.col("kept_chunk")))).select("id", "chunk", "n_lines", "n_chars", "kept_id", "kept_chunk")
