@@ -75,7 +75,7 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every:
     ws = Workspace(df.sparkSession, "lines")
     gone = ws.save(repeated_chunks(ws, df, text_col, id_col, every), "gone").groupBy("id").agg(F.collect_set("chunk").alias("gone"))  # bounded by the document
     own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("own_id"))
-    split = chunked(own.join(gone, F.col("own_id").eqNullSafe(F.col("id")), "left"), "text", every)
+    split = chunked(own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left"), "text", every)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
     cut = split.select("row", F.col("gone").isNotNull().alias("changed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, plain), "\n")).alias("text"))
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns], (F.col("changed") & ~F.col("text").rlike(r"\S")).alias(flag))

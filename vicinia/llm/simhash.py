@@ -170,4 +170,4 @@ def representatives(df: DataFrame, distance: int = 3, width: int = 3, text_col:
     tagged = ws.save(own.mapInArrow(run, T.StructType([own.schema["row"], own.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType())])), "tagged")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
     keep = tagged.select("id", "fp", "place").join(_placed(ws, tagged.select("id", "fp"), distance), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first.place").alias("place"))
-    return tagged.join(ws.save(keep, "keep"), "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in df.columns])
+    return tagged.join(ws.save(keep, "keep").hint("merge"), "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in df.columns])

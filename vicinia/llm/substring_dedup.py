@@ -95,7 +95,7 @@ def dedup(df: DataFrame, least: int = 8, text_col: str = "text", id_col: str = "
     lists = gone.groupBy(F.col("id").alias("_gone_id")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("removed_spans"))  # bounded by the document
     df = df.drop("removed_spans")
     names = df.columns
-    rows = df.join(lists, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
+    rows = df.join(lists.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
