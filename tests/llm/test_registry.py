@@ -1,0 +1,35 @@
+"""The registered queries over the smallest tables: columns, rows and what a result must hold."""
+
+import pytest
+
+from vicinia.llm import registry
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op2_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op3_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op4_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op5_line_dedup": ["doc_id"],
+    "op6_substring_dedup": ["doc_id", "begin", "end"],
+    "op7_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op8_decontamination": ["doc_id", "item_id", "similarity"],
+    "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+}
+EVERY_DOCUMENT = ("op1_toxicity", "op2_simhash", "op3_suffix_dedup", "op4_sharding", "op7_fingerprints", "op9_quality")
+
+
+def test_names():
+    assert set(registry.queries()) == set(COLUMNS) and registry.oracle_sql() == {}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_columns_and_rows(spark, name):
+    out = registry.queries()[name](spark, SF)
+    assert [c for c in COLUMNS[name] if c not in out.columns] == []
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    known = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    assert set(ids) <= set(known)
+    if name in EVERY_DOCUMENT:
+        assert sorted(ids) == sorted(known)

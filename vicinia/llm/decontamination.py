@@ -39,9 +39,8 @@ from vicinia.llm.common import splitmix
 
 WIDTH = 5
 #: Signs outside ASCII that part words.
-SIGNS = re.compile("[ -©«-´¶-¹»-¿×÷ -⁯　-〿＀-／]")
-INSIDE = np.array([chr(c).isalnum() or c >= 0x80 for c in range(256)])
-INSIDE[0x80:] = True
+SIGNS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
+INSIDE = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
 MIX = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WIDTH)], dtype=np.uint64)
 
 
