@@ -16,7 +16,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,47 +68,67 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
+def _spread(ids: np.ndarray, listed: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id its stretch of ``listed``: the place among the ids, and the entry."""
+    counts = ends[ids + 1] - ends[ids]
+    at = np.repeat(np.arange(len(ids)), counts)
+    inside = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return at, listed[ends[ids][at] + inside]
+
+
 def train(texts: list[str], labels: np.ndarray, least: int = 4, apart: float = 4.0, ridge: float = 3e-5, steps: int = 300, rate: float = 0.1) -> Model:
     """Fit by full-batch Adam on the documents' log-likelihood.
 
     Vocabulary: features in at least ``least`` positive documents whose shares of the
     positive and the negative documents lie ``apart`` standard errors from each other.
     """
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] for t in texts]
-    of: dict[str, list[str]] = {}
-    for w in set().union(*(s for bag in bags for s in bag)) if bags else ():
-        of[w] = features(w)
-    found = [Counter(), Counter()]
-    for bag, y in zip(bags, labels, strict=True):
-        found[int(y)].update({f for s in bag for w in s for f in of[w]})
     n1 = int(labels.sum())
     n0 = len(labels) - n1
     if not n0 or not n1:
         return Model({}, -np.inf)
-
-    def score(f: str) -> float:
-        a, b = found[1][f], found[0][f]
-        p = (a + b) / (n1 + n0)
-        return (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-
-    names = sorted(f for f, a in found[1].items() if a >= least and abs(score(f)) >= apart)
-    place = {f: k for k, f in enumerate(names)}
-    sentence, feature, bag_of = [], [], []
-    for k, bag in enumerate(bags):
-        for words in bag:
-            hits = sorted({place[f] for w in words for f in of[w] if f in place})
-            sentence += [len(bag_of)] * len(hits)
-            feature += hits
+    # words, features and sentences are numbers: a sample takes a few hundred MB, not thousands
+    vocabulary: dict[str, int] = {}
+    word, sentence_of, bag_of = array("i"), array("i"), array("i")
+    for k, text in enumerate(texts):
+        for s in SENTENCE.findall(text):
+            own = {vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(s.lower())}
+            word.extend(own)
+            sentence_of.extend([len(bag_of)] * len(own))
             bag_of.append(k)
-    sentence, feature, bag_of = np.array(sentence, int), np.array(feature, int), np.array(bag_of, int)
+    word, sentence_of, bag_of = (np.array(x, dtype=np.int64) for x in (word, sentence_of, bag_of))
+    number: dict[str, int] = {}
+    listed, ends = array("i"), array("q", [0])
+    for w in vocabulary:
+        listed.extend(number.setdefault(f, len(number)) for f in features(w))
+        ends.append(len(listed))
+    listed, ends = np.array(listed, dtype=np.int64), np.array(ends, dtype=np.int64)
+
+    found = np.zeros((2, len(number)), dtype=np.int64)
+    order = np.searchsorted(bag_of[sentence_of], np.arange(len(texts) + 1))
+    for k, y in enumerate(labels.tolist()):
+        _, hits = _spread(np.unique(word[order[k] : order[k + 1]]), listed, ends)
+        found[int(y), np.unique(hits)] += 1
+    share = found.sum(axis=0) / (n1 + n0)
+    z = (found[1] / n1 - found[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    chosen = (found[1] >= least) & (np.abs(z) >= apart)
+    kept = sorted((f, k) for f, k in number.items() if chosen[k])
+    names = [f for f, _ in kept]
+    place = np.full(len(number), -1, dtype=np.int64)
+    place[[k for _, k in kept]] = np.arange(len(kept))
+    # a feature that several words of a sentence share counts once
+    left = place[listed] >= 0
+    ends = np.concatenate(([0], np.cumsum(left)))[ends]
+    at, hits = _spread(word, place[listed[left]], ends)
+    both = np.unique(sentence_of[at] * max(1, len(names)) + hits)
+    sentence, feature = both // max(1, len(names)), both % max(1, len(names))
     theta, mean, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     theta[-1] = -6.0
     for step in range(1, steps + 1):
         z = np.bincount(sentence, theta[feature], minlength=len(bag_of)) + theta[-1]
-        log_none = np.bincount(bag_of, np.logaddexp(0, z), minlength=len(bags))  # -log of the chance that no sentence offends
+        log_none = np.bincount(bag_of, np.logaddexp(0, z), minlength=len(texts))  # -log of the chance that no sentence offends
         pull = np.where(labels == 1, -np.exp(-log_none) / np.maximum(-np.expm1(-log_none), 1e-9), 1.0)
         slope = pull[bag_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, slope[sentence], minlength=len(names)), slope.sum()) / len(bags)
+        grad = np.append(np.bincount(feature, slope[sentence], minlength=len(names)), slope.sum()) / len(texts)
         grad[:-1] += ridge * theta[:-1]
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
