@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from vicinia.llm.common import Workspace, numbered, one_thread
 
-#: Chunks that a worker remembers with their tokens.
-REMEMBERED = 400_000
+#: Chunks, and parts of chunks, that a worker remembers with their tokens: some 400 MB when full.
+REMEMBERED, PARTS = 1_500_000, 750_000
 #: The public byte-level BPE's pattern, which splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Without these no white space spans two chunks: single spaces and line feeds only.
@@ -80,7 +80,7 @@ class Tokens(dict):
     def part(self, text: str) -> bytes:
         """Tokens of what the pattern doesn't split."""
         if (out := self.parts.get(text)) is None:
-            if len(self.parts) >= REMEMBERED:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             ids = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
             out = self.parts[text] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
