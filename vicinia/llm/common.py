@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) a folder is made here.
     """
-    conf = spark.sparkContext.getConf()
-    if named := conf.get("spark.checkpoint.dir", None):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return named.rstrip("/")
     if not (own := spark.conf.get("vicinia.local.checkpoint.dir", None)):
         own = "file://" + tempfile.mkdtemp(prefix="vicinia-")
@@ -87,9 +87,9 @@ def numbered(ws: Workspace, df: DataFrame, order: list[str | Column], name: str)
     return out.select(*df.columns, (F.col("_start") + F.col("_local")).alias("pos")), rows
 
 
-def utf8_rows(texts) -> list[bytes]:
-    """UTF-8 of each text of an Arrow column; null is empty."""
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+def utf8_rows(texts: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of each text of an Arrow column, one at a time; null is empty."""
+    return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts)
 
 
 def one_thread() -> None:

@@ -91,7 +91,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         one_thread()
-        whole = utf8_rows(texts)
+        whole = list(utf8_rows(texts))
         votes = [self.vote(np.stack([terms(t) for t in whole[at : at + BLOCK]])) for at in range(0, len(whole), BLOCK)]
         return np.concatenate(votes) if votes else np.zeros(0)
 
