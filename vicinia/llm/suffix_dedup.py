@@ -15,8 +15,8 @@ place, and an anchor stands for a run of neighbouring windows.
 2. Those are ranked again past the threshold: their texts' bytes come along (one join)
    and the windows of a gram are named by all their ``least`` bytes; the first of a name
    stays. Grams with few different anchors are dealt by gram and sorted in place; a gram
-   with more than ``crowd`` of them is dealt by window instead, so no task holds a hot
-   gram.
+   with more than ``crowd`` of them is dealt by window instead, in a second range sort
+   that may cut a gram, and a name, anywhere; so no task holds a hot one.
 3. Spans are merged by document and cut out (the second and last join with the texts).
 
 A range of the first sort may begin or end within a gram; the rows of such grams (few,
@@ -153,9 +153,9 @@ def window_rows(least: int):
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out: list[list] = [[] for _ in kinds]
-            for key, data, listed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = unpacked(data)
-                for x in listed:
+            for key, data, listed in zip(*b.columns, strict=True):
+                key, text = key.as_py(), unpacked(data.as_py())
+                for x in listed.as_py():
                     at = x["at"]
                     first, last = (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255)
                     part = text[first : last + least]
@@ -218,6 +218,36 @@ def later_windows(least: int):
     return run
 
 
+def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (gram, name, key, begin): those after the first of a name in this range, and as edges the range's first row and the first row of its last name.
+
+    A name that goes over several ranges has its very first row among the edges, and so
+    every range's first row of it.
+    """
+    before = last = None
+
+    def out(rows: list[np.ndarray], kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), pa.array(np.full(len(rows[0]), kind, np.int8))], ["gram", "name", "key", "begin", "kind"])
+
+    for b in batches:
+        rows = [c.to_numpy() for c in b.columns]
+        if not len(rows[0]):
+            continue
+        joined = [np.concatenate((rows[k][:1] if before is None else before[k], rows[k])) for k in (0, 1)]
+        new = (joined[0][1:] != joined[0][:-1]) | (joined[1][1:] != joined[1][:-1])
+        later = ~new
+        if before is None:
+            later[0] = False
+            yield out([c[:1] for c in rows], EDGE)
+        yield out([c[later] for c in rows], COPY)
+        if new.any():
+            at = int(np.flatnonzero(new)[-1])
+            last = [c[at : at + 1] for c in rows]
+        before = [c[-1:] for c in rows]
+    if last is not None:
+        yield out(last, EDGE)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans; touching ones are one run."""
     out: list[tuple[int, int]] = []
@@ -268,9 +298,13 @@ def repeated_spans(ws: Workspace, docs: DataFrame, least: int, gram: int, crowd:
     data = texts.mapInArrow(pack_rows, "key long, data binary")
     windows = ws.save(data.join(listed, "key").select("key", "data", "listed").mapInArrow(window_rows(least), "crowded boolean, gram long, name long, key long, first long, part binary"), "windows")
     few = windows.where("not crowded").select("gram", "key", "first", "part").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(later_windows(least), "key long, begin long, end long")
+    order = ["gram", "name", "key", "begin"]
     many = windows.where("crowded").select("gram", "name", "key", F.col("first").alias("begin"))
-    kept = many.groupBy("gram", "name").agg(F.min(F.struct("key", "begin")).alias("first"))
-    many = many.join(kept, ["gram", "name"]).where((F.col("key") != F.col("first.key")) | (F.col("begin") != F.col("first.begin"))).select("key", "begin", (F.col("begin") + least).alias("end"))
+    many = ws.save(many.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(later_rows, "gram long, name long, key long, begin long, kind byte"), "crowded")
+    edge = many.where(F.col("kind") == EDGE)  # two rows a range at most
+    kept = edge.groupBy("gram", "name").agg(F.min(F.struct("key", "begin")).alias("first"))
+    edge = edge.join(kept, ["gram", "name"]).where((F.col("key") != F.col("first.key")) | (F.col("begin") != F.col("first.begin")))
+    many = many.where(F.col("kind") == COPY).select("key", "begin").union(edge.select("key", "begin")).select("key", "begin", (F.col("begin") + least).alias("end"))
     place = F.shiftright("at", 16)
     whole = ranked.where(F.col("kind") == COPY).select("key", "at").union(copies.select("key", "at"))
     whole = whole.select("key", (place - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("begin"), (place - F.col("at").bitwiseAND(F.lit(255)) + least).alias("end"))
@@ -290,9 +324,9 @@ def dedup(df: DataFrame, least: int = 100, gram: int = 32, crowd: int = 64, with
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             size, removed, count, digest, runs_of, kept_of = [], [], [], [], [], []
-            for data, listed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text = unpacked(data)
-                runs = merged([(x["begin"], x["end"]) for x in listed or ()])
+            for data, listed in zip(b.column(1), b.column(2), strict=True):
+                text = unpacked(data.as_py())
+                runs = merged([(x["begin"], x["end"]) for x in listed.as_py() or ()])
                 kept = cut(text, runs)
                 size.append(len(text))
                 removed.append(len(text) - len(kept))
