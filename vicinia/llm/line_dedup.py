@@ -1,4 +1,4 @@
-"""Line dedup by content-defined line chunks; DataFrame functions only.
+"""Line dedup by content-defined line chunks or by all pairs of lines; DataFrame functions only.
 
 Lines are hashed, and a rolling hash over two neighbouring line hashes chooses where a
 chunk of lines begins: one place in ``every``, but never two in a row. Boundaries depend
@@ -7,6 +7,12 @@ passage of lines falls into the same chunks wherever it stands. A chunk with at
 lines that aren't blank and that occurs more than once in the corpus is kept at its
 earliest place (id, then place) and removed everywhere else.
 
+Such chunks leave the head and tail of a copied passage, and often all of a short one.
+With ``pairs`` every line that isn't blank begins a chunk: it and the next such line. The
+pairs overlap, and the removed lines are those of all repeated pairs, so of a passage that
+occurs before nothing stays from two lines on, wherever it is cut. A line goes only where
+an earlier pair holds it, so each line's earliest place stays. Registered queries use this.
+
 Chunks are found by hash (64 and 128 bits) with partial aggregation, so a chunk that a
 third of all documents hold is summed up before the shuffle. Then the texts of the
 repeated ones are compared byte by byte; a group whose bytes differ is left alone.
@@ -50,13 +56,26 @@ def plain(chunk: Column) -> Column:
     return F.substring(F.replace(chunk, F.lit("\n "), F.lit("\n")), F.lit(2), F.length(chunk))
 
 
-def repeated_chunks(ws: Workspace, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3) -> DataFrame:
-    """A row for each chunk to remove: id, chunk (its place, from 0), n_lines, n_chars, kept_id, kept_chunk."""
-    rows = chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", every)
-    each = rows.select("id", F.posexplode("_chunks").alias("chunk", "part"))
-    each = each.where(F.contains(F.btrim(plain(F.col("part")), F.lit(" \t\r\n\f\v")), F.lit("\n")))  # two lines that aren't blank
+def paired(rows: DataFrame) -> DataFrame:
+    """A row for each line that isn't blank and the next such one: id, chunk (the line's number, from 0), n_lines, n_chars, part."""
+    filled = lambda x: F.btrim(x["line"], F.lit(" \t\r\n\f\v")) != ""
+    lines = rows.select("id", F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), filled).alias("_lines"))
+    n = F.greatest(F.size("_lines"), F.lit(1))
+    pair = F.zip_with(F.slice("_lines", F.lit(1), n - 1), F.slice("_lines", F.lit(2), n), lambda a, b: F.struct(a["at"].alias("chunk"), (b["at"] - a["at"] + 1).alias("n_lines"), F.concat(a["line"], F.lit("\n"), b["line"]).alias("part")))
+    return lines.select("id", F.inline(pair)).select("id", "chunk", "n_lines", F.length("part").alias("n_chars"), "part")
+
+
+def repeated_chunks(ws: Workspace, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, pairs: bool = False) -> DataFrame:
+    """A row for each chunk (with ``pairs``: each pair of lines) to remove: id, chunk (its place, from 0), n_lines, n_chars, kept_id, kept_chunk."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if pairs:
+        each = paired(rows)
+    else:
+        each = chunked(rows, "text", every).select("id", F.posexplode("_chunks").alias("chunk", "part"))
+        each = each.where(F.contains(F.btrim(plain(F.col("part")), F.lit(" \t\r\n\f\v")), F.lit("\n")))  # two lines that aren't blank
+        each = each.select("id", "chunk", (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("n_lines"), F.length(plain(F.col("part"))).alias("n_chars"), "part")
     digests = (F.xxhash64("part").alias("h"), F.unhex(F.md5(F.col("part").cast("binary"))).alias("d"))
-    found = ws.save(each.select("id", "chunk", *digests, (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("n_lines"), F.length(plain(F.col("part"))).alias("n_chars")), "found")
+    found = ws.save(each.select("id", "chunk", *digests, "n_lines", "n_chars"), "found")
     twice = ws.save(found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("id", "chunk")).alias("first")).where("n > 1"), "twice")
     # a merge join at every size: the texts cross one shuffle, and need grows in step with the input
     texts = each.select(*digests, "part").join(twice.select("h", "d").hint("merge"), ["h", "d"], "left_semi")
@@ -65,17 +84,22 @@ def repeated_chunks(ws: Workspace, df: DataFrame, text_col: str = "text", id_col
     return found.join(keep, ["h", "d"]).where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("chunk") == F.col("kept_chunk")))).select("id", "chunk", "n_lines", "n_chars", "kept_id", "kept_chunk")
 
 
-def removed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3) -> DataFrame:
+def removed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, pairs: bool = False) -> DataFrame:
     """The chunks to remove, by document."""
-    return repeated_chunks(Workspace(df.sparkSession, "lines"), df, text_col, id_col, every)
+    return repeated_chunks(Workspace(df.sparkSession, "lines"), df, text_col, id_col, every, pairs)
 
 
-def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, flag: str = "_emptied") -> DataFrame:
+def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, flag: str = "_emptied", pairs: bool = False) -> DataFrame:
     """The table with the repeated chunks cut out of its texts, and ``flag``: true where nothing but blanks is left of a text that lost some."""
     ws = Workspace(df.sparkSession, "lines")
-    gone = ws.save(repeated_chunks(ws, df, text_col, id_col, every), "gone").groupBy("id").agg(F.collect_set("chunk").alias("gone"))  # bounded by the document
+    gone = ws.save(repeated_chunks(ws, df, text_col, id_col, every, pairs), "gone")
+    if pairs:
+        gone = gone.select("id", F.explode(F.sequence("chunk", F.col("chunk") + F.col("n_lines") - 1)).alias("chunk"))  # the lines themselves
+    gone = gone.groupBy("id").agg(F.collect_set("chunk").alias("gone"))  # bounded by the document
     own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("own_id"))
-    split = chunked(own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left"), "text", every)
+    met = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left")
+    split = met.withColumn("_chunks", F.split("text", "\n", -1)) if pairs else chunked(met, "text", every)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
-    cut = split.select("row", F.col("gone").isNotNull().alias("changed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, plain), "\n")).alias("text"))
+    whole = left if pairs else F.transform(left, plain)
+    cut = split.select("row", F.col("gone").isNotNull().alias("changed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(whole, "\n")).alias("text"))
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns], (F.col("changed") & ~F.col("text").rlike(r"\S")).alias(flag))

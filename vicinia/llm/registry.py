@@ -43,7 +43,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.line_dedup import removed
 
-    out = removed(table(spark, sf_dir, "documents"), every=3)
+    out = removed(table(spark, sf_dir, "documents"), pairs=True)
     return out.select(F.col("id").alias("doc_id"), "chunk", "n_lines", "n_chars", F.col("kept_id").alias("kept_doc_id"), "kept_chunk")
 
 
