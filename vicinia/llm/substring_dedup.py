@@ -1,8 +1,9 @@
 """Substring dedup by hashing normalised lines and sentences.
 
-The units of a text are its lines and the sentences within them, of ``least`` words or
-more, so a passage is found as a line of its own and in the middle of another line. A
-unit is normalised (case, punctuation, white space) and its 128-bit digest is grouped
+The units of a text are its lines that aren't blank, of any length, its paragraphs (runs
+of such lines) and the sentences of ``least`` words or more within the lines, so a passage
+is found as a line of its own, broken into other lines, and in the middle of another line.
+A unit is normalised (case, punctuation, white space) and its 128-bit digest is grouped
 over the corpus with partial aggregation; the earliest ranked occurrence (id, then place)
 stays and the rest is removed. Offsets are code points of the original text.
 
@@ -31,21 +32,34 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def units(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
-    """(level, begin, end, digest) of the lines (0) and, where a line has several, its sentences (1)."""
+    """(level, begin, end, digest) of the lines (0), where a line has several, its sentences of ``least`` words (1), and of runs of lines (2)."""
     out = []
+    run: list[tuple[int, int, list[str]]] = []  # the lines of the paragraph so far
+
+    def close() -> None:
+        own = [x for x in run if x[2]]
+        if len(own) > 1:  # otherwise it would equal a line inside it
+            out.append((2, own[0][0], own[-1][1], xxhash.xxh3_128_digest(" ".join(w for _, _, x in own for w in x))))
+        run.clear()
+
     for line in LINE.finditer(text):
         at, whole = line.start(), line[0].lower()
-        words = WORD.findall(whole)
-        if len(words) < least:
+        if not (bare := whole.strip()):
             continue
-        out.append((0, at, line.end(), xxhash.xxh3_128_digest(" ".join(words))))
+        words = WORD.findall(whole)
+        if run and text[run[-1][1] : at] != "\n":
+            close()
+        run.append((at, line.end(), words))
+        # without words the signs themselves count; the mark keeps them apart from words
+        out.append((0, at, line.end(), xxhash.xxh3_128_digest(" ".join(words) if words else "\n" + bare)))
         sentences = list(SENTENCE.finditer(line[0]))
         if len(sentences) > 1:
             for s in sentences:
-                words = WORD.findall(s[0].lower())
-                if len(words) >= least:
+                part = WORD.findall(s[0].lower())
+                if len(part) >= least and part != words:  # an equal one would be its own line's copy
                     lead = len(s[0]) - len(s[0].lstrip())
-                    out.append((1, at + s.start() + lead, at + s.end(), xxhash.xxh3_128_digest(" ".join(words))))
+                    out.append((1, at + s.start() + lead, at + s.end(), xxhash.xxh3_128_digest(" ".join(part))))
+    close()
     return out
 
 
