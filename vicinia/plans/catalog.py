@@ -474,6 +474,20 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.recall(found, search.nearest_exact(asked(x), x, Q, dim=DIM)), "recall")
 
 
+def _recalls(name: str) -> None:
+    truth = f"truth AS (SELECT * FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {METRIC_SQL[name]}, b.id) AS rank FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q})"
+
+    @query(f"recall_{name}", codes_sql(name) + _own + f", {truth} SELECT count(*) AS n_true, count(own.id) AS n_found, round(count(own.id) / count(*), 6) AS recall FROM truth LEFT JOIN own USING (query_id, id)")
+    def of_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x, ix = points(spark, sf_dir), index(spark, sf_dir, name)
+        found = ix.query(asked(x), Q, probe=False)
+        return rounded(search.recall(found, search.nearest_exact(asked(x), x, Q, metric=ix.family.metric, dim=DIM)), "recall")
+
+
+for _name in ("cosine", "stable"):
+    _recalls(_name)
+
+
 # bucket store
 
 
