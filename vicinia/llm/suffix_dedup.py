@@ -1,4 +1,4 @@
-"""Exact substring dedup: prefix doubling over a synchronised sample of positions.
+"""Exact substring dedup: hashes of gram and windows at a synchronised sample of positions.
 
 A byte goes if a string of ``least`` bytes over it also starts earlier (smaller id, or
 the same document, earlier place). Ranking every position of the corpus at growing
