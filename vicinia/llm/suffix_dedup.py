@@ -1,41 +1,50 @@
-"""Exact substring dedup: hashes of gram and windows at a synchronised sample of positions.
+"""Exact substring dedup: prefix doubling at a synchronised sample of positions.
 
 A byte goes if a string of ``least`` bytes over it also starts earlier (smaller id, or
-the same document, earlier place). Ranking every position of the corpus at growing
-offsets would sort a row a byte, several times. Instead the sorts run over positions that
-texts choose alike: of the ``gram``-byte grams within each window of ``least`` bytes, the
-one of least hash is the window's anchor. Equal windows have their anchors at the same
-place, and an anchor stands for a run of neighbouring windows.
-
-1. Spark range-sorts the anchors by the pair (rank of the gram, rank of the bytes of all
-   windows of the anchor). Ranks are 64-bit names of the bytes. A gram that occurs once
-   is unique and drops out, with all its windows. An anchor whose pair occurs earlier is
-   a copy: all its windows go. What is left are the first anchors of each pair where a
-   gram has several: their windows are alike in part.
-2. Those are ranked again past the threshold: their texts' bytes come along (one join)
-   and the windows of a gram are named by all their ``least`` bytes; the first of a name
-   stays. Grams with few different anchors are dealt by gram and sorted in place; a gram
-   with more than ``crowd`` of them is dealt by window instead, in a second range sort
-   that may cut a gram, and a name, anywhere; so no task holds a hot one.
+the same document, earlier place). Ranking every position of the corpus would sort a row a
+byte in each round. Instead the ranked positions are those that texts choose alike: of
+the ``gram``-byte grams within each window of ``least`` bytes, the one of least hash is
+the window's anchor. Equal windows have their anchors at the same place, and an anchor
+stands for a run of neighbouring windows.
+
+Each round range-sorts rank pairs and ranks anew, until a position is unique or the
+string is past the threshold:
+
+1. The pair is (gram, bytes of all the anchor's windows). A gram that occurs once is
+   unique and drops out with all its windows. An anchor whose pair occurs earlier is a
+   copy: all its windows go. The first anchors of each pair go on where their gram has
+   several pairs: their windows are alike in part.
+2. Then the bytes around those come along (one join with the texts), and the string that
+   is ranked grows on both sides of the anchor: twice the gram, nearly the threshold, the
+   whole window (64, 95 and 100 bytes). The windows that share such a string are a
+   block. The pair is (rank so far with the longer string, bytes of the block's windows),
+   with the same three outcomes for the block. In the last round a block is a window.
 3. Spans are merged by document and cut out (the second and last join with the texts).
 
-A range of the first sort may begin or end within a gram; the rows of such grams (few,
-or those of a hot gram) are ranked by aggregation and a join that splits skew. Texts
-cross the joins compressed.
+Ranks are 64-bit names of the bytes, and a string of a later round is named under its
+rank before; two unequal pairs are taken as equal with a chance of 2^-128 for bytes that
+aren't made for it. A range may begin or end within a gram or a pair, so hot ones don't
+fill one task: a range tells its first pair and its last one, and these are settled
+together, two rows a range. Texts cross the joins compressed.
 
-Defined cases: a null text is empty; texts of fewer than ``least`` bytes lose nothing;
-null ids rank first, and rows that repeat an id rank by text and then by a number given
-once (that takes a written copy of the table); an empty table gives an empty result.
+Defined cases: a null text is empty; texts of fewer than ``least`` bytes lose nothing; a
+very long text is taken in parts that overlap; null ids rank first, and rows that repeat
+an id rank by text and then by a number given once (that takes a written copy of the
+table), so of ties the first in this order stays; an empty table gives an empty result.
 Other columns are ignored, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +55,7 @@ from vicinia.llm.common import Workspace, numbered, partitions, splitmix, utf8_r
 #: Bytes of a text looked at together; longer texts are taken in overlapping parts.
 PART = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
-COPY, FIRST, EDGE = 0, 1, 2
+COPY, FIRST, EDGE, EDGE_SEVERAL, SEEN = range(5)
 
 
 def running(b: np.ndarray) -> np.ndarray:
@@ -99,38 +108,76 @@ def anchor_rows(least: int, gram: int):
 
 
 def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, whole, key, at) to copies, first ones of grams with several, and the rows of the range's first and last gram as they are."""
+    """Rank a range of rows sorted by (gram, whole, key, at), in which columns after these go along.
 
-    def marked(rows: list[np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
-        keep = kind >= 0
-        return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), pa.array(kind[keep].astype(np.int8))], ["gram", "whole", "key", "at", "kind"])
+    Of rows with equal pairs (gram, whole) all but the first are copies. The first ones go
+    on where their gram has several pairs; else they are unique and drop out. A range may
+    begin and end anywhere, so two rows of it, the first one and the first one of the
+    last pair, are edges that ``settled`` decides. Nothing but single rows is held.
+    """
+    a = z = pending = gram = whole = None
+    several = a_open = a_several = z_is_a = False
 
-    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-        return marked(rows, np.full(len(rows[0]), EDGE))
+    def out(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        columns = rows.columns[:4] + [pa.nulls(rows.num_rows, c.type) if kind == COPY else c for c in rows.columns[4:]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(rows.num_rows, kind, np.int8))], [*rows.schema.names, "kind"])
 
-    held = [np.empty(0, np.int64)] * 4  # the last gram's rows so far
-    edge = None  # a gram that may go on in another range, or has too many rows to hold
     for b in batches:
-        rows = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, b.columns, strict=True)]
-        if not len(rows[0]):
+        if not b.num_rows:
             continue
-        if edge is None:
-            edge = rows[0][0]
-        if lead := int(np.searchsorted(rows[0], edge, side="right")) if rows[0][0] == edge else 0:
-            yield edges([c[:lead] for c in rows])
-        stop = max(lead, int(np.searchsorted(rows[0], rows[0][-1])))
-        done, held = [c[lead:stop] for c in rows], [c[stop:] for c in rows]
-        if len(done[0]):
-            new_gram = np.concatenate(([True], done[0][1:] != done[0][:-1]))
-            new_pair = new_gram | np.concatenate(([True], done[1][1:] != done[1][:-1]))
-            of = np.cumsum(new_gram) - 1
-            yield marked(done, np.where(~new_pair, COPY, np.where(np.bincount(of, new_pair)[of] > 1, FIRST, -1)))
-        if len(held[0]) > 200_000:
-            edge = held[0][0]
-            yield edges(held)
-            held = [c[:0] for c in held]
-    if len(held[0]):
-        yield edges(held)
+        grams, wholes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        start = a is None
+        new_gram = np.concatenate(([start or grams[0] != gram], grams[1:] != grams[:-1]))
+        new_pair = new_gram | np.concatenate(([start or wholes[0] != whole], wholes[1:] != wholes[:-1]))
+        of = np.cumsum(new_gram)  # 0: the gram that goes on from the batch before
+        last = int(of[-1])
+        pairs = np.bincount(of, new_pair, minlength=last + 1)
+        pairs[0] += 0 if start else 1 + several
+        many = pairs > 1
+        goes_on = new_pair & many[of]
+        if start:
+            a, a_open, goes_on[0] = b.take(pa.array([0])), True, False
+        if a_open:
+            a_several, a_open = bool(many[int(start)]), last == int(start)
+        if not new_pair.all():
+            yield out(b.filter(pa.array(~new_pair)), COPY)
+        if pending is not None and many[0]:
+            yield out(pending, FIRST)
+        if goes_on.any():
+            yield out(b.filter(pa.array(goes_on)), FIRST)
+        if last or many[0]:
+            pending = None
+        if new_pair.any():
+            at = int(np.flatnonzero(new_pair)[-1])
+            z, z_is_a = b.take(pa.array([at])), start and at == 0
+            if last and not many[last] and not z_is_a:
+                pending = z
+        gram, whole, several = grams[-1], wholes[-1], bool(many[last])
+    if a is not None:
+        yield out(a, EDGE_SEVERAL if a_several else EDGE)
+        if not z_is_a:
+            yield out(z, SEEN if several else EDGE)
+
+
+def settled(ranked: DataFrame) -> DataFrame:
+    """The ranked rows with their edges decided: ``kind`` is COPY or FIRST. Two rows a range go to the driver."""
+    edges = ranked.where(F.col("kind") >= EDGE).toArrow().to_pylist()
+    edges.sort(key=lambda r: (r["gram"], r["whole"], r["key"], r["at"]))
+    names: dict[int, set[int]] = {}
+    several: set[int] = set()
+    for r in edges:
+        names.setdefault(r["gram"], set()).add(r["whole"])
+        if r["kind"] != EDGE or len(names[r["gram"]]) > 1:
+            several.add(r["gram"])
+    decided, before = [], None
+    for r in edges:
+        if (r["gram"], r["whole"]) == before:
+            decided.append(r | {"kind": COPY})
+        elif r["kind"] != SEEN and r["gram"] in several:
+            decided.append(r | {"kind": FIRST})
+        before = r["gram"], r["whole"]
+    rows = ranked.where(F.col("kind") < EDGE)
+    return rows.union(ranked.sparkSession.createDataFrame([[r[c] for c in ranked.columns] for r in decided], ranked.schema)) if decided else rows
 
 
 def packed(text: bytes) -> bytes:
@@ -146,11 +193,11 @@ def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(t) for t in utf8_rows(b.column(1))], pa.binary()), *b.columns[2:]], ["key", "data", *b.schema.names[2:]])
 
 
-def window_rows(least: int):
-    """The bytes of the windows of each listed anchor, or, for a crowded gram, a row a window."""
+def part_rows(least: int):
+    """The bytes of all windows of each listed anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out: list[list] = [[] for _ in kinds]
             for key, data, listed in zip(*b.columns, strict=True):
@@ -158,94 +205,45 @@ def window_rows(least: int):
                 for x in listed.as_py():
                     at = x["at"]
                     first, last = (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255)
-                    part = text[first : last + least]
-                    if x["crowded"]:
-                        sums = running(np.frombuffer(part, dtype=np.uint8))
-                        begin = np.arange(last - first + 1)
-                        n = len(begin)
-                        rows = ([True] * n, [x["gram"]] * n, names(sums, begin, begin + least).view(np.int64).tolist(), [key] * n, (begin + first).tolist(), [None] * n)
-                        for column, values in zip(out, rows, strict=True):
-                            column += values
-                    else:
-                        for column, value in zip(out, (False, x["gram"], 0, key, first, part), strict=True):
-                            column.append(value)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["crowded", "gram", "name", "key", "first", "part"])
-                    out = [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["crowded", "gram", "name", "key", "first", "part"])
+                    for column, value in zip(out, (x["gram"], key, at, text[first : last + least]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "key", "at", "part"])
 
     return run
 
 
-def later_windows(least: int):
-    """Spans of the windows, of rows sorted by gram, that a window of the same gram equals that starts earlier."""
-
-    def spans(grams: list[int], keys: list[int], firsts: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        b = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        n = lengths - least + 1
-        row = np.repeat(np.arange(len(parts)), n)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        begin = (np.cumsum(lengths) - lengths)[row] + inside
-        name = names(running(b), begin, begin + least)
-        gram, key, place = np.array(grams)[row], np.array(keys)[row], np.array(firsts)[row] + inside
-        order = np.lexsort((place, key, name, gram))
-        gram, name, key, place = gram[order], name[order], key[order], place[order]
-        later = np.concatenate(([False], (gram[1:] == gram[:-1]) & (name[1:] == name[:-1])))
-        key, place = key[later], place[later]
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)))[: len(key)]
-        start = np.flatnonzero(new)
-        stop = np.concatenate((start[1:], [len(key)])) - 1 if len(start) else start
-        return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(place[start]), pa.array(place[stop] + least)], ["key", "begin", "end"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        for b in batches:
-            for column, more in zip(held, b.columns, strict=True):
-                column += more.to_pylist()
-            if len(held[0]) >= 4096:
-                cut = len(held[0]) - 1
-                while cut and held[0][cut - 1] == held[0][-1]:
-                    cut -= 1
-                if cut:
-                    yield spans(*(c[:cut] for c in held))
-                    held = [c[cut:] for c in held]
-        if held[0]:
-            yield spans(*held)
-
-    return run
+def blocks(least: int, gram: int) -> list[int]:
+    """How many neighbouring windows the rounds take together: the string that they share is the doubled gram, then nearly the threshold, then the whole window."""
+    double = least - 2 * gram + 1
+    return sorted({max(1, double), max(1, isqrt(max(1, double))), 1}, reverse=True)
 
 
-def later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (gram, name, key, begin): those after the first of a name in this range, and as edges the range's first row and the first row of its last name.
+def split(block: int, least: int, gram: int):
+    """Rows of anchors to rows of their blocks of windows, ranked by pairs: the rank so far with the longer string that the block's windows share, and the bytes of them all.
 
-    A name that goes over several ranges has its very first row among the edges, and so
-    every range's first row of it.
+    Blocks begin at multiples of ``block`` before the anchor, so equal windows are in
+    blocks of the same place and share the same string.
     """
-    before = last = None
+    digest = xxhash.xxh64_intdigest
 
-    def out(rows: list[np.ndarray], kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), pa.array(np.full(len(rows[0]), kind, np.int8))], ["gram", "name", "key", "begin", "kind"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            longer, whole, keys, ats, parts = array("Q"), array("Q"), array("q"), array("q"), []
+            for rank, key, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hi, lo = at >> 8 & 255, at & 255
+                for j in range(lo // block, hi // block + 1):
+                    begin, end = j * block, min(j * block + block - 1, least - gram)
+                    low, high = max(lo, begin), min(hi, end)
+                    own = part[hi - high : hi - low + least]
+                    longer.append(digest(part[hi - begin : hi - end + least], (rank ^ begin * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+                    whole.append(digest(own, high << 8 | low))
+                    keys.append(key)
+                    ats.append(at >> 16 << 16 | high << 8 | low)
+                    parts.append(own)
+            columns = [pa.array(np.frombuffer(c, np.int64)) if len(c) else pa.array([], pa.int64()) for c in (longer, whole, keys, ats)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["gram", "whole", "key", "at", "part"])
 
-    for b in batches:
-        rows = [c.to_numpy() for c in b.columns]
-        if not len(rows[0]):
-            continue
-        joined = [np.concatenate((rows[k][:1] if before is None else before[k], rows[k])) for k in (0, 1)]
-        new = (joined[0][1:] != joined[0][:-1]) | (joined[1][1:] != joined[1][:-1])
-        later = ~new
-        if before is None:
-            later[0] = False
-            yield out([c[:1] for c in rows], EDGE)
-        yield out([c[later] for c in rows], COPY)
-        if new.any():
-            at = int(np.flatnonzero(new)[-1])
-            last = [c[at : at + 1] for c in rows]
-        before = [c[-1:] for c in rows]
-    if last is not None:
-        yield out(last, EDGE)
+    return run
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -278,46 +276,37 @@ def keyed(ws: Workspace, df: DataFrame, text_col: str, id_col: str) -> DataFrame
     return ws.save(written.join(order.select("row", F.col("pos").alias("key")), "row").select("key", "id", "text"), "keyed")
 
 
-def repeated_spans(ws: Workspace, docs: DataFrame, least: int, gram: int, crowd: int) -> DataFrame:
+def repeated_spans(ws: Workspace, docs: DataFrame, least: int, gram: int) -> DataFrame:
     """Spans (key, begin, end) of bytes to remove; they may overlap."""
-    n = partitions(ws.spark)
+    n, order = partitions(ws.spark), ["gram", "whole", "key", "at"]
+    sort = lambda rows: rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     texts = docs.select("key", "text")
     found = texts.mapInArrow(anchor_rows(least, gram), "gram long, whole long, key long, at long")
-    order = ["gram", "whole", "key", "at"]
-    ranked = ws.save(found.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(rerank, "gram long, whole long, key long, at long, kind byte"), "ranked")
-
-    edge = ranked.where(F.col("kind") == EDGE)
-    firsts = ws.save(edge.groupBy("gram", "whole").agg(F.min(F.struct("key", "at")).alias("first")), "edges")
-    copies = edge.join(firsts, ["gram", "whole"]).where((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
-    several = firsts.groupBy("gram").count().where("count > 1")
-    left = firsts.join(several, "gram").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"))
-    alike = ws.save(ranked.where(F.col("kind") == FIRST).select("gram", "key", "at").union(left), "alike")
-    crowded = alike.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded"))
-    listed = alike.join(crowded, "gram", "left").select("key", F.struct("gram", "at", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("listed"))  # bounded by the document
+    ranked = settled(ws.save(sort(found).mapInArrow(rerank, "gram long, whole long, key long, at long, kind byte"), "ranked-0"))
+    copies = [ranked.where(F.col("kind") == COPY).select("key", "at")]
 
+    left = ranked.where(F.col("kind") == FIRST).select("key", F.struct("gram", "at").alias("x")).groupBy("key").agg(F.collect_list("x").alias("listed"))  # bounded by the document
     data = texts.mapInArrow(pack_rows, "key long, data binary")
-    windows = ws.save(data.join(listed, "key").select("key", "data", "listed").mapInArrow(window_rows(least), "crowded boolean, gram long, name long, key long, first long, part binary"), "windows")
-    few = windows.where("not crowded").select("gram", "key", "first", "part").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(later_windows(least), "key long, begin long, end long")
-    order = ["gram", "name", "key", "begin"]
-    many = windows.where("crowded").select("gram", "name", "key", F.col("first").alias("begin"))
-    many = ws.save(many.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(later_rows, "gram long, name long, key long, begin long, kind byte"), "crowded")
-    edge = many.where(F.col("kind") == EDGE)  # two rows a range at most
-    kept = edge.groupBy("gram", "name").agg(F.min(F.struct("key", "begin")).alias("first"))
-    edge = edge.join(kept, ["gram", "name"]).where((F.col("key") != F.col("first.key")) | (F.col("begin") != F.col("first.begin")))
-    many = many.where(F.col("kind") == COPY).select("key", "begin").union(edge.select("key", "begin")).select("key", "begin", (F.col("begin") + least).alias("end"))
+    left = ws.save(data.join(left, "key").select("key", "data", "listed").mapInArrow(part_rows(least), "gram long, key long, at long, part binary"), "parts")
+    for k, block in enumerate(blocks(least, gram), 1):
+        if left.isEmpty():
+            break
+        pairs = left.mapInArrow(split(block, least, gram), "gram long, whole long, key long, at long, part binary")
+        ranked = settled(ws.save(sort(pairs).mapInArrow(rerank, "gram long, whole long, key long, at long, part binary, kind byte"), f"ranked-{k}"))
+        copies.append(ranked.where(F.col("kind") == COPY).select("key", "at"))
+        left = ranked.where(F.col("kind") == FIRST).select("gram", "key", "at", "part")
     place = F.shiftright("at", 16)
-    whole = ranked.where(F.col("kind") == COPY).select("key", "at").union(copies.select("key", "at"))
-    whole = whole.select("key", (place - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("begin"), (place - F.col("at").bitwiseAND(F.lit(255)) + least).alias("end"))
-    return whole.union(few).union(many)
+    spans = [c.select("key", (place - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("begin"), (place - F.col("at").bitwiseAND(F.lit(255)) + least).alias("end")) for c in copies]
+    return reduce(DataFrame.union, spans)
 
 
-def dedup(df: DataFrame, least: int = 100, gram: int = 32, crowd: int = 64, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup(df: DataFrame, least: int = 100, gram: int = 32, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Return id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs) and, if asked for, kept (the remaining bytes) of every row."""
     if not 0 < gram <= least <= gram + 255:
         raise ValueError("a gram is at most as long as a match, and shorter by at most 255 bytes")
     ws = Workspace(df.sparkSession, "suffix")
     docs = keyed(ws, df, text_col, id_col)
-    spans = ws.save(repeated_spans(ws, docs, least, gram, crowd), "spans")
+    spans = ws.save(repeated_spans(ws, docs, least, gram), "spans")
     lists = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
