@@ -7,7 +7,7 @@ ask with every row whose id is divisible by 100, against all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from vicinia.plans import search
 from vicinia.plans.families import Cosine, Family, Stable, Voronoi
 from vicinia.sources import vectors
 from vicinia.sources.buckets import BucketStore
+from vicinia.sources.workspace import Workspace
 
 DIM, Q = 64, 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,63 +349,91 @@ for _label, _alpha, _beta in (("cauchy", 1.0, 0.0), ("skewed_1", 1.0, 0.5), ("ge
 
 # hash indexes and searches
 
-VORONOI, COSINE, STABLE = {"L": 4, "k": 2, "m": 10, "w": 3}, {"L": 4, "k": 8}, {"L": 4, "k": 2, "r": 1.0}
+#: Parameters by family. ``*_long``: long codes, under which some queries are short of neighbours and probe.
+FAMILIES = {
+    "voronoi": {"L": 32, "k": 1, "m": 200, "w": 200},
+    "cosine": {"L": 128, "k": 8},
+    "stable": {"L": 112, "k": 7, "r": 2.0, "width": 5},
+    "voronoi_long": {"L": 4, "k": 6, "m": 40, "w": 4},
+    "cosine_long": {"L": 4, "k": 16},
+    "stable_long": {"L": 4, "k": 8, "r": 1.0, "width": 4},
+}
+_medoid_draw = "((id * 7919 + sample * 104729) % 10007)"
 
 
 @cache
-def _medoid_ids() -> np.ndarray:
-    """Medoid ids by table, function and place: constants, below the least table's 500 rows."""
-    rng = np.random.default_rng(11)
-    ids = [rng.choice(500, VORONOI["m"], replace=False) for _ in range(VORONOI["L"])]
-    return np.array([[x[rng.choice(VORONOI["m"], VORONOI["w"], replace=False)] for _ in range(VORONOI["k"])] for x in ids])
+def _chosen(name: str) -> np.ndarray:
+    """For each table, function and place the rank of its medoid in the table's draw: constants."""
+    p, rng = FAMILIES[name], np.random.default_rng(11)
+    if p["w"] == p["m"]:
+        return np.broadcast_to(np.arange(p["m"]), (p["L"], p["k"], p["m"]))
+    return np.array([[rng.choice(p["m"], p["w"], replace=False) for _ in range(p["k"])] for _ in range(p["L"])])
 
 
 @cache
-def cosine_family() -> Cosine:
-    return Cosine.draw(DIM, **COSINE, seed=12)
+def cosine_family(name: str = "cosine") -> Cosine:
+    return Cosine.draw(DIM, FAMILIES[name]["L"], FAMILIES[name]["k"], seed=12)
 
 
 @cache
-def stable_family() -> Stable:
-    return Stable.draw(DIM, **STABLE, seed=13)
-
-
-def voronoi_family(x: DataFrame) -> Voronoi:
-    ids = np.unique(_medoid_ids())
-    found = x.where(F.col("id").isin(ids.tolist())).toArrow()  # the listed medoids only
-    by_id = dict(zip(found["id"].to_pylist(), found["vec"].to_pylist(), strict=True))
-    return Voronoi(np.array([by_id[i] for i in ids.tolist()]), np.searchsorted(ids, _medoid_ids()), "euclidean")
+def stable_family(name: str = "stable") -> Stable:
+    """The projections have four decimal places, as they stand in the SQL twin."""
+    p = FAMILIES[name]
+    drawn = Stable.draw(DIM, p["L"], p["k"], p["r"], seed=13)
+    return Stable(drawn.projections.round(4), drawn.shifts.round(4), p["r"], width=p["width"])
+
+
+def voronoi_family(x: DataFrame, name: str = "voronoi") -> Voronoi:
+    """Medoids by table: m rows of the whole table in an arithmetic order, L * m vectors at most."""
+    p = FAMILIES[name]
+    draw = sampling.sample_rows(x, p["L"], p["m"], order=F.expr(_medoid_draw))
+    found = draw.join(x, "id").select("sample", F.expr(_medoid_draw).alias("place"), "id", "vec").toArrow().sort_by([("sample", "ascending"), ("place", "ascending"), ("id", "ascending")])
+    if found.num_rows != p["L"] * p["m"]:
+        raise ValueError(f"a draw needs {p['m']} rows")
+    ids, at = np.unique(found["id"].to_numpy(), return_inverse=True)
+    vec = np.zeros((len(ids), DIM))
+    vec[at] = found["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    drawn = at.reshape(p["L"], p["m"])
+    return Voronoi(vec, np.stack([row[places] for row, places in zip(drawn, _chosen(name), strict=True)]), "euclidean")
 
 
 def family(name: str, x: DataFrame) -> Family:
-    return voronoi_family(x) if name == "voronoi" else cosine_family() if name == "cosine" else stable_family()
+    return voronoi_family(x, name) if name.startswith("voronoi") else cosine_family(name) if name.startswith("cosine") else stable_family(name)
 
 
 def _list(v: np.ndarray) -> str:
-    return "[" + ",".join(f"{float(a)!r}::DOUBLE" for a in v) + "]"
+    return f"string_split('{','.join(f'{float(a):g}' for a in v)}', ',')::DOUBLE[]"
 
 
 @cache
 def codes_sql(name: str) -> str:
     """CTEs that end in codes(id, t, j, code) and keys(id, t, codes, bucket)."""
-    if name == "voronoi":
-        rows = ",".join(f"({t},{j},{p},{m})" for (t, j, p), m in np.ndenumerate(_medoid_ids()))
-        codes = f"""f(t, j, p, m) AS (VALUES {rows}), d AS (SELECT a.id, t, j, p, sqrt({total("(z[1]-z[2])*(z[1]-z[2])")}) AS d FROM e a CROSS JOIN f JOIN e b ON b.id = f.m),
-        codes AS (SELECT id, t, j, p AS code FROM (SELECT *, row_number() OVER (PARTITION BY id, t, j ORDER BY d, p) AS r FROM d) WHERE r = 1)"""
-        bucket = "sum(code << (2*j))::BIGINT"
-    elif name == "cosine":
-        rows = ",".join(f"({t},{j},{_list(cosine_family().signs[t, j])})" for t in range(COSINE["L"]) for j in range(COSINE["k"]))
-        codes = f"f(t, j, v) AS (VALUES {rows}), codes AS (SELECT id, t, j, (list_inner_product(vec, v) > 0)::INT AS code FROM e CROSS JOIN f)"
+    p = FAMILIES[name]
+    if name.startswith("voronoi"):
+        if p["w"] == p["m"]:
+            f = "f(t, j, p, m) AS (SELECT t, 0, r, id FROM med)"
+        else:
+            rows = ",".join(f"({t},{j},{place},{r})" for (t, j, place), r in np.ndenumerate(_chosen(name)))
+            f = f"f(t, j, p, m) AS (SELECT t, j, p, id FROM (VALUES {rows}) c(t, j, p, r) JOIN med USING (t, r))"
+        codes = f"""med(t, id, r) AS (SELECT sample, id, r - 1 FROM (SELECT sample, id, row_number() OVER (PARTITION BY sample ORDER BY {_medoid_draw}, id) AS r FROM e CROSS JOIN (SELECT unnest(range({p["L"]}))::INT AS sample)) WHERE r <= {p["m"]}),
+        {f}, near AS (SELECT a.id, b.id AS m, sqrt({total("(z[1]-z[2])*(z[1]-z[2])")}) AS d FROM e a CROSS JOIN e b WHERE b.id IN (SELECT m FROM f)),
+        codes AS (SELECT near.id, t, j, arg_min(p, (d, p)) AS code FROM near JOIN f USING (m) GROUP BY near.id, t, j)"""
+        bucket = f"sum(code << ({(p['w'] - 1).bit_length()}*j))::BIGINT"
+    elif name.startswith("cosine"):
+        signs = cosine_family(name).signs
+        rows = ",".join(f"({t},{j},'{''.join('+' if x > 0 else '-' for x in signs[t, j])}')" for t in range(p["L"]) for j in range(p["k"]))
+        codes = f"s(t, j, v) AS (VALUES {rows}), f(t, j, v) AS (SELECT t, j, list_transform(string_split(v, ''), lambda x: CASE x WHEN '+' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) FROM s), codes AS (SELECT id, t, j, (list_inner_product(vec, v) > 0)::INT AS code FROM e CROSS JOIN f)"
         bucket = "sum(code << j)::BIGINT"
     else:
-        g = stable_family()
-        rows = ",".join(f"({t},{j},{_list(g.projections[t, j])},{float(g.shifts[t, j])!r}::DOUBLE)" for t in range(STABLE["L"]) for j in range(STABLE["k"]))
-        codes = f"f(t, j, v, b) AS (VALUES {rows}), codes AS (SELECT id, t, j, floor((list_inner_product(vec, v) + b) / {STABLE['r']})::BIGINT AS code FROM e CROSS JOIN f)"
-        bucket = "sum((CASE WHEN code > 0 THEN 2*code WHEN code < 0 THEN -2*code-1 ELSE 0 END)::HUGEINT * (CASE j WHEN 0 THEN 1 ELSE 100000000 END))::HUGEINT"
+        g = stable_family(name)
+        rows = ",".join(f"({t},{j},{_list(g.projections[t, j])},{float(g.shifts[t, j])!r}::DOUBLE)" for t in range(p["L"]) for j in range(p["k"]))
+        codes = f"f(t, j, v, b) AS (VALUES {rows}), codes AS (SELECT id, t, j, floor((list_inner_product(vec, v) + b) / {p['r']})::BIGINT AS code FROM e CROSS JOIN f)"
+        place = " ".join(f"WHEN {j} THEN {10 ** (p['width'] * j)}::HUGEINT" for j in range(p["k"]))
+        bucket = f"sum((CASE WHEN code > 0 THEN 2*code WHEN code < 0 THEN -2*code-1 ELSE 0 END)::HUGEINT * (CASE j {place} END))::HUGEINT"
     return f"WITH {E}, {codes}, keys AS (SELECT id, t, list(code ORDER BY j) AS codes, {bucket} AS bucket FROM codes GROUP BY id, t)"
 
 
-METRIC_SQL = {"voronoi": NUMERIC_SQL["euclidean"], "cosine": NUMERIC_SQL["cosine"], "stable": NUMERIC_SQL["euclidean"]}
+METRIC_SQL = {name: NUMERIC_SQL["cosine" if name.startswith("cosine") else "euclidean"] for name in FAMILIES}
 _own = ", own AS (SELECT DISTINCT q.id AS query_id, k.id FROM keys q JOIN keys k ON q.t = k.t AND q.bucket = k.bucket WHERE q.id % 100 = 0)"
 
 
@@ -425,7 +454,7 @@ def index(spark: SparkSession, sf_dir: str, name: str) -> search.Index:
 
 
 def _searches(name: str) -> None:
-    prefix = codes_sql(name)
+    prefix, far = codes_sql(name), f"{name}_long"
     top = f" SELECT query_id, rank, id, distance FROM ranked WHERE rank <= {Q}"
 
     @query(f"lsh_{name}_index", prefix + " SELECT id, t AS table_id, array_to_string(codes, ',') AS codes, bucket::VARCHAR AS bucket FROM keys")
@@ -440,13 +469,20 @@ def _searches(name: str) -> None:
     def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q, probe=False))
 
-    @query(f"lsh_{name}_multiprobe", prefix + _probing + _ranked_sql(name, "probed") + top)
+    @query(f"lsh_{name}_multiprobe", codes_sql(far) + _probing + _ranked_sql(far, "probed") + top)
     def multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q))
+        return rounded(index(spark, sf_dir, far).query(asked(points(spark, sf_dir)), Q))
 
-    @query(f"lsh_{name}_by_id", prefix + _probing + _ranked_sql(name, "probed") + top)
+    @query(f"lsh_{name}_by_id", codes_sql(far) + _probing + _ranked_sql(far, "probed") + top)
     def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(index(spark, sf_dir, name).query_by_id(asked(points(spark, sf_dir)).select("id"), Q))
+        return rounded(index(spark, sf_dir, far).query_by_id(asked(points(spark, sf_dir)).select("id"), Q))
+
+    @query(f"lsh_{name}_stored", prefix + _own + _ranked_sql(name, "own") + top)
+    def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Written once, opened again by its folder, then asked."""
+        x = points(spark, sf_dir)
+        written = search.Index.write(family(name, x), x, f"{Workspace(spark, 'index').root}/{name}")
+        return rounded(search.Index.open(x, written.store.path).query(asked(x), Q, probe=False))
 
     @query(f"lsh_{name}_wide", prefix + _own + _ranked_sql(name, "own") + " " + _wide)
     def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,6 +524,18 @@ for _name in ("cosine", "stable"):
     _recalls(_name)
 
 
+@query(
+    "lsh_candidate_share",
+    " UNION ALL ".join(f"SELECT * FROM ({codes_sql(name)}{_own} SELECT '{name}' AS family, count(*) AS n, round(count(*) / (SELECT count(*) * count(*) FILTER (WHERE id % 100 = 0) FROM e), 6) AS share FROM own)" for name in ("voronoi", "cosine", "stable")),
+)
+def lsh_candidate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all (query, row) pairs each index looks at."""
+    x = points(spark, sf_dir)
+    pairs_ = x.count() * asked(x).count()
+    found = [index(spark, sf_dir, name).candidates(asked(x)).agg(F.lit(name).alias("family"), F.count("*").alias("n")) for name in ("voronoi", "cosine", "stable")]
+    return reduce(DataFrame.union, found).select("family", "n", F.round(F.col("n") / pairs_, 6).alias("share"))
+
+
 # bucket store
 
 

@@ -7,8 +7,10 @@ one key a table: bit-packed in a BIGINT, or in decimal places where codes are un
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +43,38 @@ class Family:
     def dim(self) -> int:
         raise NotImplementedError
 
+    @property
+    def values(self) -> int | None:
+        """How many values a code may have; None: any number."""
+        return None
+
+    def _blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Batches of (id, vec) with the codes of their rows, shape (rows, L, k)."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if block.shape[1] != self.dim:
+                raise ValueError(f"the index is over {self.dim} dimensions; a vector of {block.shape[1]} has {'too many' if block.shape[1] > self.dim else 'missing ones'}")
+            yield b, self.codes(block).astype(np.int32)
+
+    def tagged(self, points: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+        """A row for each point: id, vec and its ``codes``, an array of k codes for each table."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, codes in self._blocks(batches):
+                each = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, self.k, dtype=np.int32), pa.array(codes.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, len(each) + 1, self.L, dtype=np.int32), each)
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "vec", "codes"])
+
+        rows = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("codes", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+
     def hashed(self, points: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
         """A row for each point and table: id, table_id, codes, bucket."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                vec = b.column(1)
-                block = vec.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                if block.shape[1] != self.dim:
-                    raise ValueError(f"points have {'too many' if block.shape[1] > self.dim else 'missing'} dimensions: {block.shape[1]} for {self.dim}")
-                codes = self.codes(block).astype(np.int32)
+            for b, codes in self._blocks(batches):
                 rows = np.repeat(np.arange(b.num_rows), self.L)
                 lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, self.k, dtype=np.int32), pa.array(codes.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.tile(np.arange(self.L, dtype=np.int32), b.num_rows)), lists], ["id", "table_id", "codes"])
@@ -61,6 +83,19 @@ class Family:
         schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("table_id", T.IntegerType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
         return rows.mapInArrow(run, schema).withColumn("bucket", self.key(F.col("codes")))
 
+    def to_bytes(self) -> bytes:
+        """The drawn arrays and parameters, without code."""
+        out = io.BytesIO()
+        np.savez(out, **{f.name: getattr(self, f.name) for f in fields(self) if f.name != "parameters"}, kind=type(self).__name__, parameters=json.dumps(self.parameters))
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Family:
+        with np.load(io.BytesIO(data), allow_pickle=False) as held:
+            kind = {c.__name__: c for c in (Voronoi, Cosine, Stable)}[str(held["kind"])]
+            plain = {k: v if v.ndim else v.item() for k, v in held.items() if k not in ("kind", "parameters")}
+            return kind(**plain, parameters=json.loads(str(held["parameters"])))
+
     def _check(self) -> None:
         if self.L < 1:
             raise ValueError("L is at least 1")
@@ -102,6 +137,10 @@ class Voronoi(Family):
     def dim(self) -> int:
         return self.medoids.shape[1]
 
+    @property
+    def values(self) -> int:
+        return self.w
+
     def codes(self, block: np.ndarray) -> np.ndarray:
         d = cdist(self.metric, block, self.medoids[self.used], **self.parameters)
         return np.where(np.isnan(d), np.inf, d)[:, self.places].argmin(axis=-1)
@@ -132,6 +171,10 @@ class Cosine(Family):
     def dim(self) -> int:
         return self.signs.shape[2]
 
+    @property
+    def values(self) -> int:
+        return 2
+
     def codes(self, block: np.ndarray) -> np.ndarray:
         return (block @ self.signs.reshape(-1, self.dim).T > 0).reshape(-1, self.L, self.k)
 

@@ -1,33 +1,63 @@
 """Approximate and exact q-nearest-neighbour queries as joins.
 
-hash -> equi-join on (table, bucket) -> distinct candidates -> (probing for queries with
-too few) -> exact distance -> the q nearest of each query. Candidates are deduplicated
-before any vector is fetched, and the top q is cut in every partition first.
+hash -> equi-join on (table, codes) -> candidates -> (probing for queries with too few) ->
+exact distance -> the q nearest of each query.
+
+A small set of queries (``BROADCAST_BYTES`` at most, counted first) is hashed once and
+broadcast. Each point then keeps its vector and all its codes in one row, so a pair that
+meets in several tables counts in the first of them alone, and nothing is shuffled but the
+q best of each query and partition. A larger set goes through the bucket store: ids are
+joined by bucket, made distinct, and vectors fetched after that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinia.functions.encoding import code_distance
 from vicinia.operators import metrics
 from vicinia.plans.families import Family
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.vectors import by_id
 
+BROADCAST_BYTES = 32 << 20
+#: Neighbouring codes that are listed at most for a query and table; beyond them codes are joined by the places that agree.
+LISTED = 4096
+
 
 class Index:
-    """A hash index over a table of points (id, vec)."""
+    """A hash index over a table of points (id, vec), lazily hashed or read from a store that was written before."""
 
-    def __init__(self, family: Family, points: DataFrame, store: BucketStore | None = None, id_col: str = "id", vec_col: str = "vec"):
+    def __init__(self, family: Family, points: DataFrame, store: BucketStore | None = None, id_col: str = "id", vec_col: str = "vec", stored: bool = False):
         self.family = family
         self.points = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-        self.store = store or BucketStore(points.sparkSession)
+        self.tagged = family.tagged(self.points)
         self.hashes = family.hashed(self.points)
-        self.store.append(self.hashes)
+        self.store = store or BucketStore(points.sparkSession)
+        self.stored = stored
+        if not stored:
+            self.store.append(self.hashes)
+
+    @classmethod
+    def write(cls, family: Family, points: DataFrame, path: str, id_col: str = "id", vec_col: str = "vec") -> Index:
+        """Hash the points once into a bucketed Parquet store beside the family; ``open`` finds both."""
+        store = BucketStore(points.sparkSession, "parquet", path)
+        out = cls(family, points, store, id_col, vec_col)
+        points.sparkSession.createDataFrame([(bytearray(family.to_bytes()),)], "family binary").coalesce(1).write.parquet(f"{store.path}-family")
+        out.stored = True
+        return out
+
+    @classmethod
+    def open(cls, points: DataFrame, path: str, id_col: str = "id", vec_col: str = "vec") -> Index:
+        """An index by its version folder (``store.path``): queries hash themselves only."""
+        spark = points.sparkSession
+        family = Family.from_bytes(bytes(spark.read.parquet(f"{path}-family").first()[0]))
+        return cls(family, points, BucketStore.open(spark, path), id_col, vec_col, stored=True)
 
     def copy(self) -> Index:
         out = object.__new__(Index)
@@ -37,42 +67,100 @@ class Index:
     def hash_queries(self, queries: DataFrame) -> DataFrame:
         return self.family.hashed(queries).withColumnRenamed("id", "query_id")
 
+    def _few(self, queries: DataFrame) -> bool:
+        """Whether the hashed queries fit a broadcast; one count."""
+        return queries.select("id").count() * (8 * self.family.dim + (4 * self.family.k + 32) * self.family.L) <= BROADCAST_BYTES
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        rows = self.family.tagged(queries.select("id", F.col("vec").cast("array<double>").alias("vec")))
+        return rows.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("codes").alias("query_codes"))
+
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """(query_id, query_vec, id, vec) of each pair that shares a bucket, once: in its first table."""
+        each = asked.select("*", F.posexplode("query_codes").alias("table_id", "code"))
+        rows = self.tagged.select("id", "vec", "codes", F.posexplode("codes").alias("table_id", "code"))
+        met = rows.join(F.broadcast(each), ["table_id", "code"])
+        first = F.array_position(F.zip_with("codes", "query_codes", lambda a, b: a == b), F.lit(True))
+        return met.where(first == F.col("table_id") + 1).select("query_id", "query_vec", "id", "vec")
+
     def candidates(self, queries: DataFrame) -> DataFrame:
         """Distinct (query_id, id) of the queries' own buckets."""
-        return self.store.candidates(self.hash_queries(queries).select("query_id", "table_id", "bucket"))
-
-    def probed(self, queries: DataFrame, q: int, max_distance: int = 2) -> DataFrame:
-        """Candidates of the own buckets and, for queries with fewer than q, of buckets at growing code distance, whole distances at a time, until there are q or ``max_distance`` is done."""
-        own = self.candidates(queries)
-        counts = own.groupBy("query_id").count()
-        hashed = self.hash_queries(queries)
-        short = hashed.join(counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < q).select("query_id", "table_id", F.col("codes").alias("query_codes"))
-        # codes that differ in at most d places agree in the other k - d: an equi-join for each choice of those
-        dictionary = self.hashes.select("table_id", "codes", "bucket").distinct()
-        rest = [list(c) for c in combinations(range(self.family.k), max(0, self.family.k - max_distance))]
-        met = short.select("*", _agreeing(F.col("query_codes"), rest)).join(dictionary.select("*", _agreeing(F.col("codes"), rest)), ["table_id", "agree"])
-        near = met.select("query_id", "table_id", "bucket", code_distance(F.col("query_codes"), F.col("codes")).alias("far")).distinct()
-        reached = near.join(self.store.rows(), ["table_id", "bucket"]).groupBy("query_id", "id").agg(F.min("far").alias("far"))
-        w = Window.partitionBy("query_id").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
-        before = reached.withColumn("before", F.coalesce(F.count("id").over(w), F.lit(0)))
-        return own.union(before.where(F.col("before") < q).select("query_id", "id")).distinct()
+        if not self.stored and self._few(queries):
+            return self._met(self._asked(queries)).select("query_id", "id")
+        hashes = self.hash_queries(queries).select("query_id", "table_id", "bucket")
+        return self.store.candidates(F.broadcast(hashes) if self._few(queries) else hashes)
+
+    def probed(self, queries: DataFrame, q: int, max_distance: int = 2, max_size: int | None = None) -> DataFrame:
+        """Candidates of the own buckets and, for queries with fewer than ``max_size`` (q) ids so far, of buckets one code distance further, until there are that many or ``max_distance`` is done.
+
+        A distance is taken whole. At distance k no code is left to agree on: that would
+        be a scan of all buckets, and is left to ``nearest_exact``.
+        """
+        few, own = self._few(queries), self.candidates(queries)
+        asked = self._asked(queries).select("query_id", "query_codes")
+        least, found = max_size or q, own
+        for d in range(1, min(max_distance, self.family.k - 1) + 1):
+            counts = found.groupBy("query_id").count()
+            short = asked.join(F.broadcast(counts) if few else counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).select("query_id", "query_codes")
+            found = found.union(self._at(short, d, few)).distinct()
+        return found
+
+    def _at(self, short: DataFrame, d: int, few: bool) -> DataFrame:
+        """(query_id, id) of the points that differ from a query in d codes of a table."""
+        k, values = self.family.k, self.family.values
+        each = short.select("query_id", F.posexplode("query_codes").alias("table_id", "code"))
+        rows = self.tagged.select("id", F.posexplode("codes").alias("table_id", "code"))
+        if values is not None and (n := len(list(combinations(range(k), d)))) * (values - 1) ** d <= LISTED:
+            each = each.mapInArrow(_neighbours(k, d, values), each.schema)
+            small = few and n * (values - 1) ** d <= 64
+            return rows.join(F.broadcast(each) if small else each, ["table_id", "code"]).select("query_id", "id")
+        rest = [list(c) for c in combinations(range(k), k - d)]
+        left = each.select("query_id", "table_id", _agreeing(F.col("code"), rest), F.col("code").alias("query_code"))
+        right = rows.select("id", "table_id", _agreeing(F.col("code"), rest), "code")
+        differ = F.size(F.filter(F.zip_with("query_code", "code", lambda a, b: a != b), lambda x: x))
+        return right.join(F.broadcast(left) if few else left, ["table_id", "agree"]).where(differ == d).select("query_id", "id")
 
     def distances(self, candidates: DataFrame, queries: DataFrame) -> DataFrame:
         """Exact distance of the candidate pairs: query_id, id, distance."""
         asked = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("query_vec"))
-        rows = candidates.join(self.points, "id").join(asked, "query_id")
+        return self._distance(candidates.join(self.points, "id").join(asked, "query_id"))
+
+    def _distance(self, rows: DataFrame) -> DataFrame:
         return rows.select("query_id", "id", metrics.distance(self.family.metric, F.col("query_vec"), F.col("vec"), self.family.dim, **self.family.parameters).alias("distance"))
 
     def query(self, queries: DataFrame, q: int = 1, probe: bool = True) -> DataFrame:
         """The q nearest candidates of each query (id, vec): query_id, rank (from 1), id, distance; fewer rows where fewer were found."""
-        found = self.probed(queries, q) if probe else self.candidates(queries)
-        return top(self.distances(found, queries), q)
+        if probe:
+            return top(self.distances(self.probed(queries, q), queries), q)
+        if not self.stored and self._few(queries):
+            return top(self._distance(self._met(self._asked(queries))), q)
+        return top(self.distances(self.candidates(queries), queries), q)
 
     def query_by_id(self, ids: DataFrame | list, q: int = 1, probe: bool = True) -> DataFrame:
         """Queries that are rows of the index, by id; the ids stay."""
         return self.query(by_id(self.points, ids), q, probe)
 
 
+def _neighbours(k: int, d: int, values: int):
+    """All codes that differ from a row's code in d places."""
+    places = np.array(list(combinations(range(k), d)))
+    steps = np.stack(np.meshgrid(*[np.arange(1, values)] * d, indexing="ij"), axis=-1).reshape(-1, d)
+    change = np.zeros((len(places), len(steps), k), dtype=np.int64)
+    for i, at in enumerate(places):
+        change[i][:, at] = steps
+    change = change.reshape(-1, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+            near = ((codes[:, None] + change[None]) % values).astype(np.int32)
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(change)))
+            lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, k, dtype=np.int32), pa.array(near.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), lists], b.schema.names)
+
+    return run
+
+
 def _agreeing(codes: Column, rest: list[list[int]]) -> Column:
     """One row for each choice of places: the choice and the codes there."""
     return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.array(*[codes[j] for j in places]).cast("array<int>").alias("codes")) for n, places in enumerate(rest)])).alias("agree")

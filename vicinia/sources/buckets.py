@@ -9,7 +9,13 @@ COLUMNS = ("table_id", "bucket", "id")
 
 
 class BucketStore:
-    """Appendable multimaps, one a table. ``parquet`` keeps a folder a table, so a table is read or cleared alone."""
+    """Appendable multimaps, one a table.
+
+    ``parquet`` keeps a folder a table, so a table is read or cleared alone. Rows are
+    dealt by range of (table, bucket, id) over as many partitions as the session's
+    shuffles have, so a hot bucket falls into several files, and files' statistics narrow
+    a read of one bucket.
+    """
 
     def __init__(self, spark: SparkSession, kind: str = "memory", path: str | None = None):
         if kind not in ("memory", "parquet"):
@@ -43,7 +49,7 @@ class BucketStore:
     def append(self, rows: DataFrame) -> BucketStore:
         rows = rows.select(*COLUMNS)
         if self.kind == "parquet":
-            rows.repartition("table_id", F.pmod(F.xxhash64("bucket"), F.lit(16))).sortWithinPartitions("bucket").write.mode("append").partitionBy("table_id").parquet(self.path)
+            rows.repartitionByRange("table_id", "bucket", "id").sortWithinPartitions("table_id", "bucket", "id").write.mode("append").partitionBy("table_id").parquet(self.path)
         else:
             self._rows = rows if self._rows is None else self._rows.union(rows)
         return self
