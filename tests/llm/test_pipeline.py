@@ -8,8 +8,7 @@ import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 
-from tests.llm import brute
-from tests.llm.test_simhash import brute_components, plain_fingerprint
+from tests.llm import brute, test_line_pairs, test_near_copies
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -54,16 +53,16 @@ def test_quality(spark, stages):
 
 
 def test_line_dedup(stages):
+    """Every pair of neighbouring lines that an earlier place holds goes, and a text of which nothing is left."""
     before = rows(stages[0])
-    texts, changed = brute.line_dedup(before)
-    want = [(k, t) for i, ((k, _), t) in enumerate(zip(before, texts, strict=True)) if not (i in changed and not t.strip())]
+    want = [(k, t) for (k, own), t in zip(before, test_line_pairs.brute(before), strict=True) if t == own or t.strip()]
     assert rows(stages[1]) == want
 
 
 def test_near_dedup(stages):
-    before = rows(stages[1])
-    first = brute_components([k for k, _ in before], [plain_fingerprint(t) for _, t in before])
-    assert rows(stages[2]) == [r for r in before if r[0] in set(first.values())]
+    """One document of each component at an exact five-word similarity of 0.8 stays."""
+    want = test_near_copies.brute_kept(rows(stages[1]))
+    assert rows(stages[2]) == [(k, t) for _, k, t in want]
 
 
 def test_decontamination(stages):

@@ -1,11 +1,8 @@
-"""What the operators of this package share: written tables, row numbering, text clean-up."""
+"""What the operators of this package share: row numbering, folds, texts as bytes."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,56 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests on one machine) a folder is made here.
-    """
-    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return named.rstrip("/")
-    if not (own := spark.conf.get("vicinia.local.checkpoint.dir", None)):
-        own = "file://" + tempfile.mkdtemp(prefix="vicinia-")
-        spark.conf.set("vicinia.local.checkpoint.dir", own)
-    return own
-
-
-class Workspace:
-    """Written intermediate tables of one operator call.
-
-    A table cuts the lineage: it survives a lost executor and it is never computed
-    twice. Tables go when the process ends, or earlier through ``drop``.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/vicinia/{name}-{uuid.uuid4().hex}"
-        if not _written:
-            atexit.register(_clean)
-        _written.append((spark, self.root))
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(hadoop).delete(where, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
+from vicinia.sources.workspace import Workspace
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

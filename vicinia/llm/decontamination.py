@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vicinia.llm.cdc import GEAR, powers
 from vicinia.llm.common import splitmix
@@ -180,7 +181,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int =
     """A row for each document and item with a window at ``least`` similarity: id, item, similarity, begin, end."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("item", items.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    out = None
+    out, kind = None, to_arrow_type(schema["item"].dataType)
     for block in passes(items, item_col, item_text_col, radius, item_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -191,7 +192,6 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int =
                 own, item, likeness, begin, end = zip(*found, strict=True) if found else ([],) * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int32())), pa.array([known.ids[i] for i in item], kind), pa.array(likeness, pa.float64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["id", "item", "similarity", "begin", "end"])
 
-        kind = pa.int64() if schema["item"].dataType == T.LongType() else pa.int32() if schema["item"].dataType == T.IntegerType() else pa.string()
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out

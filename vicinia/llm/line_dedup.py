@@ -89,17 +89,24 @@ def removed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every
     return repeated_chunks(Workspace(df.sparkSession, "lines"), df, text_col, id_col, every, pairs)
 
 
-def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, flag: str = "_emptied", pairs: bool = False) -> DataFrame:
-    """The table with the repeated chunks cut out of its texts, and ``flag``: true where nothing but blanks is left of a text that lost some."""
+def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 3, flag: str | None = "_emptied", pairs: bool = False) -> DataFrame:
+    """The table with the repeated chunks cut out of its texts, and ``flag``: true where nothing but blanks is left of a text that lost some.
+
+    A column of the table that is called like the flag is replaced; without a flag
+    (None) such rows go.
+    """
     ws = Workspace(df.sparkSession, "lines")
     gone = ws.save(repeated_chunks(ws, df, text_col, id_col, every, pairs), "gone")
     if pairs:
         gone = gone.select("id", F.explode(F.sequence("chunk", F.col("chunk") + F.col("n_lines") - 1)).alias("chunk"))  # the lines themselves
     gone = gone.groupBy("id").agg(F.collect_set("chunk").alias("gone"))  # bounded by the document
     own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("own_id"))
-    met = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left")
+    met = own.join(gone.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
     split = met.withColumn("_chunks", F.split("text", "\n", -1)) if pairs else chunked(met, "text", every)
-    left = F.filter("_chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
-    whole = left if pairs else F.transform(left, plain)
+    # two uses of the chunks keep them a column of their own, so a look-up by place takes one step
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "gone"), lambda i: F.get("_chunks", i))
+    whole = kept if pairs else F.transform(kept, plain)
     cut = split.select("row", F.col("gone").isNotNull().alias("changed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(whole, "\n")).alias("text"))
-    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns], (F.col("changed") & ~F.col("text").rlike(r"\S")).alias(flag))
+    emptied = F.coalesce(F.col("changed") & ~F.col("text").rlike(r"\S"), F.lit(False))
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns if c != flag]
+    return cut.where(~emptied).select(*columns) if flag is None else cut.select(*columns, emptied.alias(flag))

@@ -7,8 +7,9 @@ sample. The labelled vectors are broadcast: ``sample`` rows of ``rank`` floats a
 whatever the corpus. Every document is compared with all of them, exactly, as blocked
 matrix products, and the nearest vote with weights that grow with their cosine.
 
-Defined cases: a null text is empty and is scored like any other; a zero vector has
-cosine 0 with all; repeated rows are scored alike; null ids are of fold crc32('') mod 3;
+Defined cases: a null text is empty and is scored like any other; a very long text is
+counted in parts; a zero vector has cosine 0 with all; repeated rows are scored alike; of
+neighbours at equal cosine the first ones of the sample (in order of the id's hash) vote; null ids are of fold crc32('') mod 3;
 without labelled rows every score is 0.5; an empty table gives an empty result. Other
 columns are ignored, whatever their names.
 """
@@ -80,20 +81,32 @@ class Model:
         return unit(np.hstack((unit(rows[:, :TERMS] * self.idf), self.shape_weight * rows[:, TERMS:])))
 
     def vote(self, rows: np.ndarray) -> np.ndarray:
+        """The weighted share of label 1 among the nearest; of equal cosines the sample's first count."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        near = unit(self.weighted(rows) @ self.axes) @ self.vectors.T
+        near = (unit(self.weighted(rows) @ self.axes) @ self.vectors.T).astype(np.float64)
         k = min(self.neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1).astype(np.float64), 0) ** self.sharpness
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, tied = near > least, near == least
+        chosen = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        best = np.nonzero(chosen)[1].reshape(-1, k)
+        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** self.sharpness
         total = weight.sum(axis=1)
         return np.clip(np.where(total > 0, (weight * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-300), 0.5), 0, 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores in blocks of always the same shape, so that a row's score doesn't depend on the rows around it."""
         one_thread()
-        whole = list(utf8_rows(texts))
-        votes = [self.vote(np.stack([terms(t) for t in whole[at : at + BLOCK]])) for at in range(0, len(whole), BLOCK)]
-        return np.concatenate(votes) if votes else np.zeros(0)
+        out, block = [], np.zeros((BLOCK, TERMS + SHAPES), dtype=np.float32)
+        held = 0
+        for n, text in enumerate(utf8_rows(texts), 1):
+            block[held] = terms(text)
+            held += 1
+            if held == BLOCK or n == len(texts):
+                block[held:] = 0
+                out.append(self.vote(block)[:held])
+                held = 0
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
