@@ -4,7 +4,8 @@ from functools import lru_cache
 import pytest
 from pyspark.sql import functions as F
 
-from vicinia.operators.alignment import Scoring, aligned, alignment_distance, resolve, string_distance
+from vicinia.operators.alignment import Scoring, aligned, alignment_distance, alignment_distances, resolve, string_distance
+from vicinia.operators.pairs import condensed, listed, pairwise
 from vicinia.sources.matrices import checked, load_matrix, named_matrix, parse_matrix, score
 
 LETTERS = "ACDE*"
@@ -38,7 +39,58 @@ def strings(seed, n=60):
 @pytest.mark.parametrize("by", [Scoring(), Scoring(None, 2, 0.5), Scoring(MATRIX, 3, 1), Scoring(MATRIX, 1, 1)])
 def test_scores_are_the_best(by):
     for u, v in zip(strings(1), strings(2), strict=True):
-        assert abs(aligned(u, v, by)[1] - best(u, v, by)) < 1e-9
+        assert abs(aligned(u, v, by)[0] - best(u, v, by)) < 1e-9
+
+
+def plain(u, v, by, charge=0.0, greedy=False):
+    """Score and length by full tables of (objective, score, length), filled cell by cell."""
+    low = float("-inf")
+    key = (lambda c: c[1] / c[2]) if greedy else (lambda c: c[0])
+    more = lambda c, x, fee=0.0: (c[0] + x - fee, c[1] + x, c[2] + 1)
+    gap = lambda n: (-by.gap_open - (n - 1) * by.gap_extend,) * 2 + (n,)
+    none, mid, lo, up = (low, low, 1), {}, {}, {}
+    for i in range(len(u) + 1):
+        for j in range(len(v) + 1):
+            if not i or not j:
+                mid[i, j] = gap(i + j) if i or j else (0.0, 0.0, 0)
+                lo[i, j], up[i, j] = gap(i) if i and not j else none, gap(j) if j and not i else none
+                continue
+            opened, longer = more(mid[i - 1, j], -by.gap_open), more(lo[i - 1, j], -by.gap_extend)
+            lo[i, j] = opened if key(opened) > key(longer) else longer
+            opened, longer = more(mid[i, j - 1], -by.gap_open), more(up[i, j - 1], -by.gap_extend)
+            up[i, j] = opened if key(opened) > key(longer) else longer
+            across = more(mid[i - 1, j - 1], by.pair(u[i - 1], v[j - 1]), charge)
+            if key(across) > key(lo[i, j]) and key(across) > key(up[i, j]):
+                mid[i, j] = across
+            else:
+                mid[i, j] = lo[i, j] if key(lo[i, j]) > key(up[i, j]) else up[i, j]
+    return mid[len(u), len(v)][1:]
+
+
+@pytest.mark.parametrize("by", [Scoring(), Scoring(None, 2, 0.5), Scoring(MATRIX, 3, 1), Scoring(MATRIX, 1, 1)])
+def test_ties_and_normalised_distances_equal_plain_tables(by):
+    pairs = [p for p in zip(strings(11, 300), strings(12, 300), strict=True) if p[0] or p[1]]
+    for charge, greedy in ((0.0, False), (0.4, False), (0.0, True)):
+        for u, v in pairs:
+            assert aligned(u, v, by, charge, greedy) == pytest.approx(plain(u, v, by, charge, greedy))
+    got = alignment_distances(pairs, by, normalized=True)
+    for (u, v), d in zip(pairs, got, strict=True):
+        most = max(by.itself(u), by.itself(v))
+        score, length = plain(u, v, by, greedy=True)
+        ratio, before = (most - score) / length, None
+        while before is None or abs(ratio - before) >= 1e-7:
+            score, length = plain(u, v, by, ratio)
+            before, ratio = ratio, (most - score) / length
+        assert abs(ratio - d) < 1e-9
+
+
+def test_strings_in_pairs(spark):
+    df = spark.createDataFrame(list(enumerate(["kitten", "sitting", "mitten", ""])), "id long, vec string")
+    got = {(r.id_a, r.id_b): r.distance for r in condensed(df, "levenshtein", gap_open=1, gap_extend=1).collect()}
+    assert got == {(0, 1): 3, (0, 2): 1, (0, 3): 6, (1, 2): 3, (1, 3): 7, (2, 3): 6}
+    assert {(r.id_a, r.id_b): r.distance for r in pairwise(df, df, "edit", normalized=True).collect()}[0, 0] == 0
+    one = spark.createDataFrame([(0, 3)], "id_a long, id_b long")
+    assert listed(one, df, df, "edit", gap_open=2.0).first().distance == 2 + 5
 
 
 def test_edit_distance(spark):

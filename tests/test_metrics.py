@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinia.operators import blocks, metrics, pairs
+from vicinia.sources.vectors import wrap
 
 RNG = np.random.default_rng(5)
 A, B = RNG.random((6, 10)), RNG.random((7, 10))
@@ -146,3 +147,21 @@ def test_compositions_have_no_negative_parts(spark):
         df.select(metrics.distance("aitchison", "u", "v")).collect()
     with pytest.raises(ValueError, match="negative parts"):
         blocks.cdist("aitchison", [[1.0, -1.0]], [[1.0, 2.0]])
+
+
+@pytest.mark.parametrize("dim", [None, 12])
+def test_a_common_offset_doesnt_cancel(spark, dim):
+    rng = np.random.default_rng(4)
+    u, v = 1e8 + rng.standard_normal((2, 12))
+    got = spark.createDataFrame([(u.tolist(), v.tolist())], "u array<double>, v array<double>").select(metrics.distance("correlation", "u", "v", dim).alias("d")).first().d
+    assert abs(got - (1 - np.corrcoef(u, v)[0, 1])) < 1e-6
+    a, b = np.exp(rng.standard_normal((2, 12))) * np.array([[1e100], [1e-100]])
+    got = spark.createDataFrame([(a.tolist(), b.tolist())], "u array<double>, v array<double>").select(metrics.distance("aitchison", "u", "v", dim).alias("d")).first().d
+    la, lb = np.log(a), np.log(b)
+    assert abs(got - np.linalg.norm(la - la.mean() - lb + lb.mean())) < 1e-9
+
+
+def test_covariance_of_many_dimensions(spark):
+    x = 1e6 + np.random.default_rng(5).standard_normal((200, 20))
+    VI = metrics.fit("mahalanobis", wrap(spark, x).repartition(5))["VI"]
+    assert np.allclose(VI, np.linalg.inv(np.cov(x.T)), rtol=1e-5, atol=1e-6)

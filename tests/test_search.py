@@ -30,8 +30,8 @@ def brute(family, asked, q, probe):
     for n, i in enumerate(asked):
         far = (codes[i][None] != codes).sum(axis=2).min(axis=1)
         found = set(np.flatnonzero(far == 0).tolist())
-        for step in (1, 2) if probe and len(found) < q else ():
-            if len([j for j in range(len(X)) if 0 < far[j] < step]) + len(found) < q or step == 1:
+        for step in range(1, min(2, family.k - 1) + 1) if probe else ():
+            if len(found) < q:
                 found |= set(np.flatnonzero(far == step).tolist())
         out[i] = sorted(found, key=lambda j: (round(d[n, j], 9), j))[:q], found
     return out
@@ -94,7 +94,7 @@ def test_validation(points):
     with pytest.raises(NotImplementedError):
         Stable.law(None, "canberra")
     assert Stable.law(None, "e")[:2] == (2.0, "euclidean") and Stable.law(1, "pnorm") == (1.0, "minkowski", {"p": 1.0})
-    for dim, match in ((13, "missing"), (11, "too many")):
+    for dim, match in ((13, "missing ones"), (11, "too many")):
         with pytest.raises(Exception, match=match):
             Cosine.draw(dim).hashed(points).collect()
 
@@ -114,3 +114,28 @@ def test_stream_of_points(spark, points, tmp_path):
     assert {tuple(r) for r in store.rows().collect()} == want
     with pytest.raises(ValueError, match="parquet"):
         index_stream(stream, family, BucketStore(spark), "unused")
+
+
+@pytest.mark.parametrize("which", [0, 4])
+def test_large_query_sets_and_stored_indexes_find_the_same(spark, points, which, tmp_path, monkeypatch):
+    family = families(points)[which]
+    queries = points.where("id % 20 = 0")
+    want = sorted(map(tuple, search.Index(family, points).query(queries, 4).collect()))
+    plain = sorted(map(tuple, search.Index(family, points).query(queries, 4, probe=False).collect()))
+    written = search.Index.write(family, points, f"file://{tmp_path}/index")
+    opened = search.Index.open(points, written.store.path)
+    assert (opened.family.codes(X) == family.codes(X)).all() and opened.family.parameters == family.parameters
+    assert sorted(map(tuple, opened.query(queries, 4).collect())) == want
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "LISTED", 0)
+    assert sorted(map(tuple, search.Index(family, points).query(queries, 4).collect())) == want
+    assert sorted(map(tuple, opened.query(queries, 4, probe=False).collect())) == plain
+
+
+def test_probing_finds_more(spark, points):
+    """Long codes leave queries short; probing fills them up, a distance at a time."""
+    index, queries = search.Index(Cosine.draw(12, L=2, k=14, seed=3), points), points.where("id % 10 = 0")
+    own = {r.query_id: r["count"] for r in index.candidates(queries).groupBy("query_id").count().collect()}
+    near, far = ({r.query_id: r["count"] for r in index.probed(queries, 20, d).groupBy("query_id").count().collect()} for d in (1, 2))
+    assert min(own.values()) < 20 and sum(own.values()) < sum(near.values()) < sum(far.values())
+    assert all(near[k] == n for k, n in own.items() if n >= 20) and all(far[k] == n for k, n in near.items() if n >= 20)

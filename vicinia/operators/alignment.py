@@ -2,28 +2,34 @@
 
 The distance is the larger self-score less the alignment score; a gap of length g costs
 ``gap_open + (g - 1) * gap_extend``. With scores 0 and -1 and unit gaps that is the edit
-distance, for which Spark's own function is used. Otherwise an Arrow UDF aligns; repeated
-pairs of a batch are aligned once.
+distance, for which Spark's own function is used. Otherwise an Arrow UDF aligns the
+different pairs of a batch together, cell by cell along the anti-diagonals.
 
 The normalised form minimises (largest self-score - score) / length over alignments by
-iterating on the ratio: each round aligns with every pair of aligned symbols charged the
+iterating on the ratio, from that of an alignment whose cells each take the move of the
+best score a column. Each round aligns with every pair of aligned symbols charged the
 present ratio, and takes the ratio of the alignment found, until it stays. Gap columns
-count in the length but aren't charged. Between moves of one cell a diagonal must beat
-both others, and a move that uses up a symbol of the first string must beat the other.
+count in the length but aren't charged.
+
+Ties: an open gap goes on rather than that a new one opens; a pair of symbols must beat
+both gaps, and a gap that uses up a symbol of the first string must beat the other one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vicinia.sources.matrices import checked, named_matrix
 
-LOW = float("-inf")
 ROUNDS = 100
+#: Cells of an anti-diagonal over all pairs that are aligned together.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,57 +50,134 @@ class Scoring:
     def itself(self, s: str) -> float:
         return sum(self.pair(c, c) for c in s)
 
-    def gap(self, n: int) -> float:
-        return self.gap_open + (n - 1) * self.gap_extend if n else 0.0
+    def table(self, symbols: str) -> np.ndarray:
+        """Scores of all pairs of the symbols; NaN where the matrix has none."""
+
+        def known(a: str, b: str) -> float:
+            try:
+                return self.pair(a, b)
+            except KeyError:
+                return np.nan
+
+        return np.array([[known(a, b) for b in symbols] for a in symbols])
 
 
-Cell = tuple[float, float, int]  # objective, score, length
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]  # objective, score, length
 
 
-def aligned(u: str, v: str, by: Scoring, charge: float = 0.0) -> Cell:
-    """Objective, score and length of the best alignment; two rows of memory.
+class Together:
+    """Alignments of several pairs of strings at once.
 
-    Each cell keeps the best alignment of two prefixes that ends anyhow, and the best that
-    ends in a gap, in either string.
+    A diagonal holds for every pair the cells (i, d - i) after i symbols of the first
+    string; cells beyond a pair's own strings are computed too and never read.
     """
-    width = len(v)
-
-    def step(cell: Cell, change: float, more: int = 1, fee: float = 0.0) -> Cell:
-        return (cell[0] + change - fee, cell[1] + change, cell[2] + more)
-
-    above: list[Cell] = [(0.0, 0.0, 0)] + [(-by.gap(j), -by.gap(j), j) for j in range(1, width + 1)]
-    falling: list[Cell] = [(LOW, LOW, 0)] * (width + 1)  # ends in a gap in v
-    for i, a in enumerate(u, 1):
-        row: list[Cell] = [(-by.gap(i), -by.gap(i), i)]
-        along: Cell = (LOW, LOW, 0)  # ends in a gap in u
-        for j, b in enumerate(v, 1):
-            opened, longer = step(row[j - 1], -by.gap_open), step(along, -by.gap_extend)
-            along = opened if opened[0] >= longer[0] else longer
-            opened, longer = step(above[j], -by.gap_open), step(falling[j], -by.gap_extend)
-            falling[j] = opened if opened[0] >= longer[0] else longer
-            across = step(above[j - 1], by.pair(a, b), fee=charge)
-            best = across
-            if not (across[0] > along[0] and across[0] > falling[j][0]):
-                best = along if along[0] > falling[j][0] else falling[j]
-            row.append(best)
-        above = row
-    return above[width]
+
+    def __init__(self, pairs: list[tuple[str, str]], by: Scoring):
+        symbols = "".join(sorted({c for p in pairs for s in p for c in s}))
+        number = {c: k for k, c in enumerate(symbols)}
+        self.by, self.sizes = by, np.array([[len(u), len(v)] for u, v in pairs])
+        table = by.table(symbols) if symbols else np.zeros((1, 1))
+        u, v = (np.array([[number[c] for c in p[k]] + [0] * (self.sizes[:, k].max() - len(p[k])) for p in pairs], dtype=np.int64).reshape(len(pairs), -1) for k in (0, 1))
+        self.scores = table[u[:, :, None], v[:, None, :]]
+        inside = (np.arange(u.shape[1]) < self.sizes[:, :1])[:, :, None] & (np.arange(v.shape[1]) < self.sizes[:, 1:])[:, None, :]
+        if (lost := inside & np.isnan(self.scores)).any():
+            n, i, j = np.argwhere(lost)[0]
+            raise KeyError(pairs[n][0][i] + pairs[n][1][j])
+        self.most = np.array([max(by.itself(a), by.itself(b)) for a, b in pairs])
+
+    def best(self, charge: np.ndarray | float = 0.0, greedy: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Score and length of each pair's best alignment; ``greedy``: cells take the move of the best score a column."""
+        n, nu, nv = self.scores.shape
+        opened, longer = self.by.gap_open, self.by.gap_extend
+        charge = np.broadcast_to(np.asarray(charge, dtype=float), n)[:, None]
+        key: Callable[[Cells], np.ndarray] = (lambda c: c[1] / c[2]) if greedy else (lambda c: c[0])
+
+        def none() -> Cells:
+            return np.full((n, nu + 1), -np.inf), np.full((n, nu + 1), -np.inf), np.ones((n, nu + 1), dtype=np.int64)
+
+        def step(cells: Cells, change: np.ndarray | float, fee: np.ndarray | float = 0.0) -> Cells:
+            return cells[0] + change - fee, cells[1] + change, cells[2] + 1
+
+        def moved(cells: Cells) -> Cells:
+            """What comes from one symbol of the first string before."""
+            out = none()
+            for x, y in zip(out, cells, strict=True):
+                x[:, 1:] = y[:, :-1]
+            return out
+
+        def either(first: np.ndarray, a: Cells, b: Cells) -> Cells:
+            return tuple(np.where(first, x, y) for x, y in zip(a, b, strict=True))
+
+        mid, along, down, before = none(), none(), none(), none()
+        for x in mid:
+            x[:, 0] = 0
+        score, length = np.zeros(n), np.zeros(n, dtype=np.int64)
+        i = np.arange(nu + 1)
+        for d in range(1, nu + nv + 1):
+            a, b = step(moved(mid), -opened), step(moved(along), -longer)
+            along = either(key(a) > key(b), a, b)  # uses up a symbol of the first string
+            a, b = step(mid, -opened), step(down, -longer)
+            down = either(key(a) > key(b), a, b)
+            own = np.zeros((n, nu + 1))
+            at = i[(i > 0) & (d - i > 0) & (d - i <= nv)]
+            own[:, at] = self.scores[:, at - 1, d - at - 1]
+            across = step(moved(before), own, charge)
+            before = mid
+            mid = either((key(across) > key(along)) & (key(across) > key(down)), across, either(key(along) > key(down), along, down))
+            gap = opened + (d - 1) * longer
+            for cells, place in ((mid, 0), (down, 0), (mid, d), (along, d)):
+                if place <= nu:
+                    cells[0][:, place] = cells[1][:, place] = -gap
+                    cells[2][:, place] = d
+            along[0][:, 0] = along[1][:, 0] = -np.inf
+            if d <= nu:
+                down[0][:, d] = down[1][:, d] = -np.inf
+            if (ends := self.sizes.sum(axis=1) == d).any():
+                score[ends] = mid[1][ends, self.sizes[ends, 0]]
+                length[ends] = mid[2][ends, self.sizes[ends, 0]]
+        return score, length
+
+
+def aligned(u: str, v: str, by: Scoring, charge: float = 0.0, greedy: bool = False) -> tuple[float, int]:
+    """Score and length of the best alignment."""
+    score, length = Together([(u, v)], by).best(charge, greedy)
+    return float(score[0]), int(length[0])
+
+
+def _distances(pairs: list[tuple[str, str]], by: Scoring, normalized: bool, tol: float) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        together = Together(pairs, by)
+        if not normalized:
+            return together.most - together.best()[0]
+        score, length = together.best(greedy=True)
+        filled = length > 0  # two empty strings are at distance 0
+        ratio = np.where(filled, (together.most - score) / np.maximum(length, 1), 0.0)
+        moving = filled.copy()
+        for _ in range(ROUNDS):
+            if not moving.any():
+                return ratio
+            score, length = together.best(ratio)
+            now = np.where(moving, (together.most - score) / np.maximum(length, 1), ratio)
+            moving, ratio = moving & (np.abs(now - ratio) >= tol), now
+    raise ArithmeticError(f"the normalised distance didn't settle in {ROUNDS} rounds")
+
+
+def alignment_distances(pairs: list[tuple[str, str]], by: Scoring, normalized: bool = False, tol: float = 1e-7) -> list[float]:
+    """Distances of pairs of strings; those of like lengths are aligned together, in a bounded number of cells."""
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    out, at = [0.0] * len(pairs), 0
+    while at < len(order):
+        stop, cells = at + 1, 0
+        while stop < len(order) and (cells := max(cells, (len(pairs[order[stop]][0]) + 1) * (len(pairs[order[stop]][1]) + 1))) * (stop - at) < CELLS:
+            stop += 1
+        for k, d in zip(order[at:stop], _distances([pairs[k] for k in order[at:stop]], by, normalized, tol).tolist(), strict=True):
+            out[k] = d
+        at = stop
+    return out
 
 
 def alignment_distance(u: str, v: str, by: Scoring, normalized: bool = False, tol: float = 1e-7) -> float:
-    if not u and not v:
-        return 0.0
-    most = max(by.itself(u), by.itself(v))
-    _, score, length = aligned(u, v, by)
-    if not normalized:
-        return most - score
-    ratio = (most - score) / length
-    for _ in range(ROUNDS):
-        _, score, length = aligned(u, v, by, ratio)
-        before, ratio = ratio, (most - score) / length
-        if abs(ratio - before) < tol:
-            return ratio
-    raise ArithmeticError(f"the normalised distance didn't settle in {ROUNDS} rounds")
+    return alignment_distances([(u, v)], by, normalized, tol)[0]
 
 
 EDIT, MATRIX, OWN = ("levenshtein", "edit"), ("blosum62", "blosum", "pam250", "pam"), ("needleman_wunsch", "needleman-wunsch", "nw", "align", "alignment")
@@ -107,6 +190,10 @@ def resolve(name: str) -> str:
     raise ValueError(f"unknown string metric {name!r}")
 
 
+def is_string_metric(name: str) -> bool:
+    return any(name.lower() in names for names in (EDIT, MATRIX, OWN))
+
+
 def string_distance(name: str, u: Column | str, v: Column | str, mat: dict[str, float] | None = None, gap_open: float = 1, gap_extend: float = 1, normalized: bool = False, tol: float = 1e-7, matrix_dir: str | None = None) -> Column:
     """The distance of two string columns; null if either is null."""
     name = resolve(name)
@@ -127,15 +214,9 @@ def string_distance(name: str, u: Column | str, v: Column | str, mat: dict[str,
 
     @F.arrow_udf("double")
     def run(us: pa.Array, vs: pa.Array) -> pa.Array:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for a, b in zip(us.to_pylist(), vs.to_pylist(), strict=True):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            if (a, b) not in known:
-                known[a, b] = alignment_distance(a, b, by, normalized, tol)
-            out.append(known[a, b])
-        return pa.array(out, pa.float64())
+        rows = [None if a is None or b is None else (a, b) for a, b in zip(us.to_pylist(), vs.to_pylist(), strict=True)]
+        different = list(dict.fromkeys(p for p in rows if p is not None))
+        known = dict(zip(different, alignment_distances(different, by, normalized, tol), strict=True))
+        return pa.array([None if p is None else known[p] for p in rows], pa.float64())
 
     return run(u, v)

@@ -8,11 +8,12 @@ regard to case. An undefined ratio (0/0) is NaN, which Spark sorts last.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,11 +122,12 @@ def cosine(x: Vectors) -> Column:
 
 
 def correlation(x: Vectors) -> Column:
-    n = x.size
-    su, sv = x.total(lambda a, _: a), x.total(lambda _, b: b)
-    cross = x.total(lambda a, b: a * b) - su * sv / n
-    uu = x.total(lambda a, _: a * a) - su * su / n
-    vv = x.total(lambda _, b: b * b) - sv * sv / n
+    """The sums are of differences from the first element, so a common offset doesn't cancel them away."""
+    n, u0, v0 = x.size, x.u[0], x.v[0]
+    su, sv = x.total(lambda a, _: a - u0), x.total(lambda _, b: b - v0)
+    cross = x.total(lambda a, b: (a - u0) * (b - v0)) - su * sv / n
+    uu = x.total(lambda a, _: (a - u0) * (a - u0)) - su * su / n
+    vv = x.total(lambda _, b: (b - v0) * (b - v0)) - sv * sv / n
     return F.lit(1.0) - ratio(cross, F.sqrt(F.greatest(uu, F.lit(0.0))) * F.sqrt(F.greatest(vv, F.lit(0.0))))
 
 
@@ -187,8 +189,12 @@ def log_part(x: Column) -> Column:
 
 
 def aitchison(x: Vectors) -> Column:
-    """The distance of centred log-ratios. Centring takes the logarithm of the whole out, so parts needn't sum to 1 first."""
-    ratio_of = lambda a, b: log_part(a) - log_part(b)
+    """The distance of centred log-ratios. Centring takes the logarithm of the whole out, so parts needn't sum to 1 first.
+
+    The sums are of differences from the first log-ratio, so a common factor doesn't cancel them away.
+    """
+    first = log_part(x.u[0]) - log_part(x.v[0])
+    ratio_of = lambda a, b: log_part(a) - log_part(b) - first
     whole = x.total(ratio_of)
     squares = x.total(lambda a, b: ratio_of(a, b) * ratio_of(a, b))
     return F.sqrt(F.greatest(squares - whole * whole / x.size, F.lit(0.0)))
@@ -261,13 +267,25 @@ def fit(name: str, data: DataFrame, vec_col: str = "vec") -> dict:
     if name == "seuclidean":
         row = data.agg(*[F.var_samp(vec[i]).alias(f"v{i}") for i in range(d)]).first()
         return {"V": [float(x) for x in row]}
-    places = [(i, j) for i in range(d) for j in range(i, d)]
-    row = data.agg(F.count("*"), *[F.covar_samp(vec[i], vec[j]).alias(f"c{i}_{j}") for i, j in places]).first()
-    if row[0] <= d:
-        raise ValueError(f"{row[0]} rows are too few for a covariance of {d} dimensions")
-    cov = np.zeros((d, d))
-    for (i, j), x in zip(places, row[1:], strict=True):
-        cov[i, j] = cov[j, i] = x
+    if not d:
+        raise ValueError("0 rows are too few for a covariance")
+    base = data.where(vec.isNotNull()).select(vec.alias("v")).first()[0]  # near the data: sums of differences from it don't cancel
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = b.column(0).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - base
+            n, total, squares = n + len(x), total + x.sum(axis=0), squares + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([squares.ravel().tolist()])], ["n", "total", "squares"])
+
+    # a row for each partition, d * d numbers each, summed over partitions by Spark
+    parts = data.select(vec.alias("v")).mapInArrow(sums, "n long, total array<double>, squares array<double>")
+    flat = parts.select("n", F.posexplode(F.concat("total", "squares")).alias("at", "x"))
+    rows = flat.groupBy("at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow().sort_by("at")
+    n, x = rows["n"][0].as_py(), rows["x"].to_numpy()
+    if n <= d:
+        raise ValueError(f"{n} rows are too few for a covariance of {d} dimensions")
+    cov = (x[d:].reshape(d, d) - np.outer(x[:d], x[:d]) / n) / (n - 1)
     return {"VI": np.linalg.inv(cov).T.tolist()}
 
 

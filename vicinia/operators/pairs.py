@@ -1,23 +1,28 @@
-"""All-pairs, listed-pairs and set distances over tables of vectors."""
+"""All-pairs, listed-pairs and set distances over tables of vectors or, by the names of string metrics, of strings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vicinia.operators import metrics
+from vicinia.operators import alignment, metrics
+from vicinia.operators.blocks import cdist
 
+#: Rows of a block of ``directed_hausdorff``.
+ROWS = 512
 Metric = str | Callable[[np.ndarray, np.ndarray], float]
 
 
 def metric_column(metric: Metric, u: Column, v: Column, dim: int | None = None, **parameters) -> Column:
-    """A named metric as an expression, or a callable f(u, v) as an Arrow UDF."""
+    """A named metric of vectors or strings, or a callable f(u, v) of vectors as an Arrow UDF."""
     if isinstance(metric, str):
-        return metrics.distance(metric, u, v, dim, **parameters)
+        return alignment.string_distance(metric, u, v, **parameters) if alignment.is_string_metric(metric) else metrics.distance(metric, u, v, dim, **parameters)
     if not callable(metric):
         raise ValueError("a metric is a name or a callable")
 
@@ -36,7 +41,7 @@ def _sides(a: DataFrame, b: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
 
 
 def _fitted(metric: Metric, frames: list[DataFrame], vec_col: str, parameters: dict) -> dict:
-    if isinstance(metric, str) and metrics.resolve(metric) in ("seuclidean", "mahalanobis") and not {"V", "VI"} & set(parameters):
+    if isinstance(metric, str) and not alignment.is_string_metric(metric) and metrics.resolve(metric) in ("seuclidean", "mahalanobis") and not {"V", "VI"} & set(parameters):
         return parameters | metrics.fit(metric, metrics.stacked(frames, vec_col), vec_col)
     return parameters
 
@@ -73,18 +78,57 @@ def square(pairs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     return pairs.unionByName(back).unionByName(own)
 
 
-def directed_hausdorff(a: DataFrame, b: DataFrame, metric: Metric = "euclidean", by: list[str] | None = None, id_col: str = "id", vec_col: str = "vec", **parameters) -> DataFrame:
+def _in_blocks(df: DataFrame, by: list[str], id_col: str, vec_col: str, side: str) -> DataFrame:
+    """Up to ROWS rows as one: their ids, vectors in one array and, in by's order, group columns as JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                lists = [pa.ListArray.from_arrays(np.array([0, len(c)], dtype=np.int32), c) for c in (part.column(0), part.column(1).flatten(), part.column(2))]
+                yield pa.RecordBatch.from_arrays(lists, names)
+
+    names = [f"{c}_{side}" for c in ("ids", "vecs", "groups")]
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.to_json(F.struct(*[F.col(c) for c in by])).alias("group") if by else F.lit("{}").alias("group"))
+    kinds = (rows.schema["id"].dataType, T.DoubleType(), T.StringType())
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, T.ArrayType(k)) for c, k in zip(names, kinds, strict=True)]))
+
+
+def directed_hausdorff(a: DataFrame, b: DataFrame, metric: Metric = "euclidean", by: list[str] | None = None, id_col: str = "id", vec_col: str = "vec", dim: int | None = None, **parameters) -> DataFrame:
     """The row of a that is farthest from its nearest row of b: distance, id_a, id_b; for each value of ``by`` of a and of b if given (columns ``*_a``, ``*_b``).
 
-    Ties go to the smaller ids. Two aggregations: the nearest of each row, then the
-    farthest of those.
+    Ties go to the smaller ids. Blocks of rows meet blocks of rows, so a product of ROWS
+    x ROWS distances is one row of the join, and only the nearest of each row and block
+    leave it. Then two aggregations: the nearest of each row, then the farthest of those.
     """
     by = by or []
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in by], F.col(id_col).alias("id_a"), F.col(vec_col).alias("vec_a"))
-    right = b.select(*[F.col(c).alias(f"{c}_b") for c in by], F.col(id_col).alias("id_b"), F.col(vec_col).alias("vec_b"))
-    groups = [f"{c}_{s}" for s in "ab" for c in by]
-    each = left.crossJoin(right).select(*groups, "id_a", "id_b", metric_column(metric, F.col("vec_a"), F.col("vec_b"), **parameters).alias("distance"))
-    near = each.groupBy(*groups, "id_a").agg(F.min(F.struct("distance", "id_b")).alias("near"))
-    far = near.groupBy(*groups).agg(F.min(F.struct((-F.col("near.distance")).alias("less"), "id_a", F.col("near.id_b").alias("id_b"))).alias("far"))
-    return far.select(*groups, (-F.col("far.less")).alias("distance"), "far.id_a", "far.id_b")
-
+    parameters = _fitted(metric, [a, b], vec_col, parameters)
+    name = metric if isinstance(metric, str) else None
+    left, right = (_in_blocks(df, by, id_col, vec_col, side) for df, side in ((a, "a"), (b, "b")))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids_a, x, groups_a, ids_b, y, groups_b = (c[row].values for c in batch.columns)
+                x, y = (m.to_numpy().reshape(n, -1) for m, n in ((x, len(ids_a)), (y, len(ids_b))))
+                d = cdist(name, x, y, **parameters) if name else np.array([[metric(u, v, **parameters) for v in y] for u in x])
+                order = pc.sort_indices(ids_b)
+                d, ids_b, groups_b = d[:, order.to_numpy()], ids_b.take(order), groups_b.take(order).dictionary_encode()
+                of = groups_b.indices.to_numpy()
+                for k, group in enumerate(groups_b.dictionary.to_pylist()):
+                    own = np.flatnonzero(of == k)
+                    part = np.where(np.isnan(d[:, own]), np.inf, d[:, own])
+                    at = part.argmin(axis=1)
+                    least = d[np.arange(len(d)), own[at]]
+                    yield pa.RecordBatch.from_arrays([groups_a, pa.array([group] * len(d), pa.string()), ids_a, ids_b.take(pa.array(own[at])), pa.array(least)], ["group_a", "group_b", "id_a", "id_b", "distance"])
+
+    id_a, id_b = (df.schema[id_col].dataType for df in (a, b))
+    schema = T.StructType([T.StructField("group_a", T.StringType()), T.StructField("group_b", T.StringType()), T.StructField("id_a", id_a), T.StructField("id_b", id_b), T.StructField("distance", T.DoubleType())])
+    each = left.crossJoin(right).mapInArrow(nearest, schema)
+    near = each.groupBy("group_a", "group_b", "id_a").agg(F.min(F.struct("distance", "id_b")).alias("near"))
+    far = near.groupBy("group_a", "group_b").agg(F.min(F.struct((-F.col("near.distance")).alias("less"), "id_a", F.col("near.id_b").alias("id_b"))).alias("far"))
+    parts = []
+    for side, df in (("a", a), ("b", b)):
+        kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in by])
+        parts += [F.from_json(f"group_{side}", kinds)[c].alias(f"{c}_{side}") for c in by]
+    return far.select(*parts, (-F.col("far.less")).alias("distance"), "far.id_a", "far.id_b")

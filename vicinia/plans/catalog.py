@@ -72,7 +72,6 @@ P, W = 1.23, [round(0.5 + (i % 7) / 4, 2) for i in range(DIM)]
 _w = "[" + ",".join(f"{x}::DOUBLE" for x in W) + "]"
 _both, _first, _second, _none = (total(f"CASE WHEN {c} THEN 1 ELSE 0 END") for c in ("z[1]=1 AND z[2]=1", "z[1]=1 AND z[2]=0", "z[1]=0 AND z[2]=1", "z[1]=0 AND z[2]=0"))
 _dot, _aa, _bb = total("z[1]*z[2]"), total("z[1]*z[1]"), total("z[2]*z[2]")
-_sa, _sb = total("z[1]"), total("z[2]")
 NUMERIC_SQL = {
     "euclidean": f"sqrt({total('(z[1]-z[2])*(z[1]-z[2])')})",
     "sqeuclidean": total("(z[1]-z[2])*(z[1]-z[2])"),
@@ -81,7 +80,6 @@ NUMERIC_SQL = {
     "minkowski": f"pow({total(f'pow(abs(z[1]-z[2]), {P})')}, 1/{P}::DOUBLE)",
     "wminkowski": f"pow({total(f'pow(z[3]*abs(z[1]-z[2]), {P})', f'list_zip(a.vec, b.vec, {_w})')}, 1/{P}::DOUBLE)",
     "cosine": f"1 - {_dot} / (sqrt({_aa}) * sqrt({_bb}))",
-    "correlation": f"1 - ({_dot} - {_sa}*{_sb}/{DIM}) / (sqrt({_aa} - {_sa}*{_sa}/{DIM}) * sqrt({_bb} - {_sb}*{_sb}/{DIM}))",
     "canberra": total("CASE WHEN abs(z[1])+abs(z[2]) > 0 THEN abs(z[1]-z[2])/(abs(z[1])+abs(z[2])) ELSE 0 END"),
     "braycurtis": f"{total('abs(z[1]-z[2])')} / {total('abs(z[1]+z[2])')}",
 }
@@ -111,11 +109,14 @@ def _numeric(name: str) -> Query:
 def _boolean(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = points(spark, sf_dir).select("id", F.transform("vec", lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("vec"))
-        return rounded(pairs.pairwise(asked(x), x, name))
+        return rounded(pairs.pairwise(asked(x), x, name)  # unrolled, the tests of each place outgrow what the JVM compiles)
 
     return run
 
 
+# centred first, in two passes
+_centred = "r AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS raw FROM embeddings), e AS (SELECT id, list_transform(raw, lambda x: x - list_avg(raw)) AS vec FROM r)"
+query("dist_correlation", matrix_sql(f"1 - {_dot} / (sqrt({_aa}) * sqrt({_bb}))", _centred))(_numeric("correlation"))
 for _name, _sql in NUMERIC_SQL.items():
     query(f"dist_{_name}", matrix_sql(_sql))(_numeric(_name))
 for _name, _sql in BOOLEAN_SQL.items():
@@ -230,11 +231,45 @@ def _aligned(**parameters) -> Query:
 
 
 query("levenshtein", f"WITH {_names} SELECT a.s AS u, b.s AS v, levenshtein(a.s, b.s)::DOUBLE AS distance FROM n a CROSS JOIN n b")(_aligned())
-query("levenshtein_affine")(_aligned(gap_open=2.0, gap_extend=0.5))
+
+
+def _alignment_sql(symbols: str, score: str, most: str, gap_open: float, gap_extend: float) -> str:
+    """The affine-gap recursion, a cell a step: rows of the second string over the first one's symbols."""
+    row = f"list_transform(range(length(x) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE -({gap_open} + (j - 1) * {gap_extend})::DOUBLE END)"
+    return f"""WITH RECURSIVE {_names}, m AS (SELECT s, {symbols} AS x FROM n), p AS (SELECT a.s AS u, b.s AS v, a.x AS x, b.x AS y FROM m a CROSS JOIN m b),
+    g AS (SELECT u, v, x, y, 0 AS k, NULL::DOUBLE[] AS above, {row} AS own, NULL::DOUBLE[] AS down_above, list_transform(range(length(x) + 1), lambda j: '-inf'::DOUBLE) AS down, '-inf'::DOUBLE AS along FROM p
+    UNION ALL SELECT u, v, x, y, k, above, list_append(own, greatest(above[j] + {score}, along, d)), down_above, list_append(down, d), along FROM (
+      SELECT *, greatest(own[j] - {gap_open}, was - {gap_extend})::DOUBLE AS along, greatest(above[j + 1] - {gap_open}, down_above[j + 1] - {gap_extend})::DOUBLE AS d, x[j] AS a, y[i] AS b FROM (
+        SELECT u, v, x, y, k + 1 AS k, i, j, CASE WHEN j = 1 THEN own ELSE above END AS above, CASE WHEN j = 1 THEN [-({gap_open} + (i - 1) * {gap_extend})::DOUBLE] ELSE own END AS own,
+          CASE WHEN j = 1 THEN down ELSE down_above END AS down_above, CASE WHEN j = 1 THEN ['-inf'::DOUBLE] ELSE down END AS down, CASE WHEN j = 1 THEN '-inf'::DOUBLE ELSE along END AS was
+        FROM (SELECT *, k // length(x) + 1 AS i, k % length(x) + 1 AS j FROM g WHERE k < length(x) * length(y)))))
+    SELECT u, v, round({most} - own[-1], 6) + 0.0 AS distance FROM g WHERE k = length(x) * length(y)"""
+
+
+_kind = lambda c: f"(CASE WHEN {c} IN ('a','e','i','o','u') THEN 1 WHEN {c} = ' ' THEN NULL ELSE 0 END)"
+query("levenshtein_affine", _alignment_sql("s", "CASE WHEN a = b THEN 0 ELSE -1 END", "0", 2.0, 0.5))(_aligned(gap_open=2.0, gap_extend=0.5))
 query("levenshtein_normalized")(_aligned(normalized=True))
-query("needleman_wunsch")(_aligned(name="nw", letters=True, gap_open=3.0, gap_extend=1.0))
+query("needleman_wunsch", _alignment_sql("lower(regexp_replace(s, '[^A-Za-z]', ' ', 'g'))", f"CASE WHEN a = b THEN 4 WHEN {_kind('a')} = {_kind('b')} THEN 1 ELSE -2 END", "4 * greatest(length(x), length(y))", 3.0, 1.0))(_aligned(name="nw", letters=True, gap_open=3.0, gap_extend=1.0))
 query("needleman_wunsch_normalized")(_aligned(name="align", letters=True, gap_open=3.0, gap_extend=1.0, normalized=True))
 
+
+
+@query("levenshtein_listed", f"WITH {_names}, k AS (SELECT s, row_number() OVER (ORDER BY s) AS id FROM n) SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.s, b.s)::DOUBLE AS distance FROM k a JOIN k b ON b.id = a.id + 1")
+def levenshtein_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = numbered_names(spark, sf_dir)
+    return rounded(pairs.listed(x.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")), x, x, "levenshtein"))
+
+
+@query("levenshtein_condensed", f"WITH {_names}, k AS (SELECT s, row_number() OVER (ORDER BY s) AS id FROM n) SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.s, b.s)::DOUBLE AS distance FROM k a JOIN k b ON a.id < b.id")
+def levenshtein_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pairs.condensed(numbered_names(spark, sf_dir), "levenshtein"))
+
+
+def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("vec")).distinct()
+    return vectors.with_ids(names, F.col("vec")).withColumn("id", F.col("id") + 1)
+
+
 # encoders and code distances
 
 _codes = "c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS c0, l_partkey % 4 AS c1, l_suppkey % 4 AS c2, l_orderkey % 4 AS c3 FROM lineitem)"
