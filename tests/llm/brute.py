@@ -75,11 +75,52 @@ def grams(w):
 
 
 def contamination(text, item):
-    """The best similarity of a window of the item's size."""
+    """The best similarity of a window of the item's size, or of a shorter text."""
     w, x = words(text), words(item)
     want, best = grams(x), 0.0
-    for i in range(len(w) - len(x) + 1 if x else 0):
+    for i in range(max(1, len(w) - len(x) + 1) if w and x else 0):
         got = grams(w[i : i + len(x)])
         both = sum((got & want).values())
         best = max(best, both / (sum(got.values()) + sum(want.values()) - both))
     return best
+
+
+def units(text, least=8):
+    """(begin, end, key) of the lines, of sentences of ``least`` words or more in lines of several, and of runs of lines."""
+    out, at, run = [], 0, []
+
+    def close():
+        spoken = [x for x in run if words(text[x[0] : x[1]])]
+        if len(spoken) > 1:
+            out.append((spoken[0][0], spoken[-1][1], tuple(w for a, b in spoken for w in words(text[a:b]))))
+        run.clear()
+
+    for line in (text or "").split("\n"):
+        end = at + len(line)
+        if not line.strip():
+            close()
+        else:
+            run.append((at, end))
+            own = tuple(words(line))
+            out.append((at, end, own or ("", line.strip().lower())))
+            sentences = re.findall(r"[^.!?]+[.!?]*|[.!?]+", line)
+            place, spoken = at, []
+            for s in sentences:
+                if s.strip(".!? \t\r\f\v"):
+                    spoken.append((place + len(s) - len(s.lstrip()), place + len(s), tuple(words(s))))
+                place += len(s)
+            if len(spoken) > 1:
+                out += [x for x in spoken if len(x[2]) >= least and x[2] != own]
+        at = end + 1
+    close()
+    return out
+
+
+def repeated_units(rows, least=8):
+    """{(id, begin, end)} of the units that stand at an earlier (id, begin)."""
+    first = {}
+    rank = lambda k: (k is not None, k or 0)
+    for k, t in rows:
+        for a, _, key in units(t, least):
+            first[key] = min(first.get(key, (rank(k), a)), (rank(k), a))
+    return {(k, a, b) for k, t in rows for a, b, key in units(t, least) if first[key] != (rank(k), a)}

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from vicinia.llm.cdc import boundaries, chunks, containment, edited, fingerprint, fingerprints
+from vicinia.llm.cdc import GEAR32, boundaries, chunks, containment, edited, fingerprint, fingerprints
 
 
 def test_boundaries_resist_shifts(words):
@@ -20,7 +20,33 @@ def test_containment(words):
     assert containment(a, a) == 1 and containment(a, b) < 0.1
     assert containment(empty, empty) == 1 and containment(empty, a) == 0 and containment(a, empty) == 0
     assert 0.3 < containment(a, chunks(words(1, 300)[: len(words(1, 300)) // 2])) < 0.7
-    assert (chunks("Some  TEXT\n") == chunks("some text")).all() and fingerprint(empty) == ""
+    assert fingerprint(chunks("Some  TEXT\n")) == fingerprint(chunks("some text")) and fingerprint(empty) == ""
+    assert len(fingerprint(a)) == 20 * len(a[0])
+
+
+def plain_chunks(text):
+    """{chunk: length} by one gear hash a byte."""
+    b, out, at, h = b" ".join(text.encode().lower().split()), {}, 0, 0
+    for i, x in enumerate(b):
+        h = ((h << 1) + int(GEAR32[x])) % 2**32  # bytes before the last 32 have left the word
+        size = i + 1 - at
+        if size >= 24 and i + 1 < len(b) and (h < 1 << 25 if size < 64 else h < 1 << 27 or size == 256):
+            out[b[at : i + 1]] = size
+            at = i + 1
+    if at < len(b):
+        out[b[at:]] = len(b) - at
+    return out
+
+
+def test_chunks_and_likeness_equal_a_plain_version(words):
+    texts = [words(k, 40 * k + 3) for k in range(12)] + ["a" * 2000, "é日" * 300, "x", words(5, 203) + words(6, 100)]
+    for t in texts:
+        want = plain_chunks(t)
+        digests, lengths = chunks(t)
+        assert len(digests) == len(want) and sorted(lengths.tolist()) == sorted(want.values())
+        for other in texts:
+            own = plain_chunks(other)
+            assert abs(containment(chunks(t), chunks(other)) - sum(n for c, n in want.items() if c in own) / sum(want.values())) < 1e-12
 
 
 def test_pairs_with_the_next_document(docs, words):

@@ -55,8 +55,35 @@ def test_index_finds_all_within_the_radius(words):
         f = int(known.prints[1])
         for b in rng.sample(range(64), rng.randrange(30)):
             f ^= 1 << b
-        got = known.near(np.array([f], np.uint64), [0, 1, 2])[0].tolist()
-        assert got == [(f ^ int(p)).bit_count() <= 24 for p in known.prints]
+        window, item = known.near(np.array([0, f], np.uint64), [0, 1, 2])
+        assert set(zip(window.tolist(), item.tolist(), strict=True)) == {(w, k) for w, x in enumerate((0, f)) for k, p in enumerate(known.prints) if (x ^ int(p)).bit_count() <= 24}
+
+
+def test_recall_of_the_default_radius(words):
+    """Windows edited down to a similarity of 0.8 or more lie within the radius."""
+    import random
+
+    rng, met = random.Random(3), 0
+    for seed in range(40):
+        item = words(seed, 18 + seed)
+        known = Items([0], [item], 23)
+        for _ in range(60):
+            w = item.split()
+            for at in rng.sample(range(len(w)), rng.choice((1, 1, 2))):
+                w[at] = f"new{rng.randrange(10**9)}"
+            if brute.contamination(" ".join(w), item) >= 0.8:
+                met += 1
+                assert [m[0] for m in known.matches(" ".join(w), 0.8)] == [0]
+    assert met > 250
+
+
+def test_short_texts_very_long_ones_and_ids_of_any_kind(spark, docs, words):
+    item = words(7, 20)
+    rows = [(1, " ".join(item.split()[:19])), (2, " ".join(item.split()[:12])), (3, f"{words(1, 200_000)} {item} {words(2, 10_000)}"), (4, "x" * 3_000_000 + " " + item)]
+    for kind, key in (("string", "a"), ("double", 1.5), ("date", __import__("datetime").date(2020, 1, 2))):
+        got = matches(docs(rows), spark.createDataFrame([(key, item)], f"item_id {kind}, text string")).collect()
+        assert {(r.id, r["item"]) for r in got} == {(1, key), (3, key), (4, key)}
+    assert [round(r.similarity, 4) for r in got if r.id == 1] == [round(15 / 16, 4)]
 
 
 def test_empty(docs, items):

@@ -54,3 +54,17 @@ def test_loads_groups_and_slots(spark, docs, words):
 
 def test_empty(docs):
     assert shard(docs([])).collect() == []
+
+
+def test_bands_of_sizes_give_the_same_schedule(docs, words, monkeypatch):
+    from vicinia.llm import sharding
+
+    rows = [(k, "x" * (k * k % 97)) for k in range(150)]
+    whole = sorted(map(tuple, shard(docs(rows), shards=5).collect()))
+    monkeypatch.setattr(sharding, "BAND", 7)
+    assert sorted(map(tuple, shard(docs(rows), shards=5).collect())) == whole
+
+
+def test_a_very_long_text_is_one_group(docs):
+    out = {r.doc_id: r for r in shard(docs([(1, "x" * 2_000_000), *((k, f"t{k}") for k in range(2, 30))]), shards=3).collect()}
+    assert out[1]["size"] == 2_000_001 and [k for k, r in out.items() if r.shard == out[1].shard] == [1]

@@ -1,3 +1,6 @@
+import random
+
+from tests.llm import brute
 from vicinia.llm.substring_dedup import cut, dedup, removed, units
 
 
@@ -35,3 +38,11 @@ def test_cut():
 
 def test_empty(docs):
     assert removed(docs([])).collect() == [] and dedup(docs([])).collect() == []
+
+
+def test_equals_brute_force(docs, words):
+    rng = random.Random(6)
+    lines = [words(k, rng.choice((1, 4, 9, 12))) for k in range(25)] + ["One two three four five six seven eight. " + words(k, 10) + "! And so." for k in range(6)] + ["---", "...", "A. B. C.", " lead, " + words(3, 9), ""]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(9)))) for k in range(60)] + [(100, None), (101, ""), (None, lines[3]), (7, lines[4]), (102, words(8, 30_000))]
+    got = {(r.id, r.begin, r.end) for r in removed(docs(rows)).collect()}
+    assert got == brute.repeated_units(rows) and len(got) > 100

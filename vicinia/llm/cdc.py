@@ -4,15 +4,16 @@ A text is normalised (A-Z lower-cased, white space runs to one space) and cut wh
 gear hash of its last 32 bytes falls under a mask: a hard mask up to the normal chunk
 size, an easy one after it, with a least and a largest size. Boundaries depend on nearby
 bytes only, so an edit moves the chunks around it and no others. The fingerprint is the
-set of chunk digests with their lengths, as sorted 12-digit groups (8 hex digits of the
-digest, 4 of the length). ``containment`` is the share of a fingerprint's length whose
+set of chunk digests with their lengths, as sorted 20-digit groups (16 hex digits of the
+64-bit digest, 4 of the length). ``containment`` is the share of a fingerprint's length whose
 chunks the other one has, from 0 to 1.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, which is
 contained in the empty one (1) and in no other (0); repeated rows are documents of their
 own, in order of id and then text hash; null ids sort first; a lone document is its own
 successor; an empty table gives an empty result. Other columns are ignored, whatever
-their names. Ids are integers.
+their names; a very long text takes memory in step with its length in one task. Ids are
+integers.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,19 +35,7 @@ LEAST, NORMAL, LARGEST = 24, 64, 256
 HARD, EASY = np.uint32(1 << 25), np.uint32(1 << 27)  # one in 128, one in 32
 GEAR = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 GEAR32 = (GEAR >> np.uint64(32)).astype(np.uint32)
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+Chunks = tuple[np.ndarray, np.ndarray]  # sorted digests and their chunks' lengths
 
 
 def boundaries(b: np.ndarray) -> list[int]:
@@ -70,31 +60,31 @@ def boundaries(b: np.ndarray) -> list[int]:
     return out
 
 
-def chunks(text: str) -> np.ndarray:
-    """Sorted chunk set of a text: the digest's 32 bits over the length's 16."""
-    b = np.frombuffer(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), dtype=np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
-    ends = np.array(boundaries(b))
-    starts = np.concatenate(([0], ends[:-1]))
-    up, down = powers(len(b))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(GEAR[b] * up[: len(b)], dtype=np.uint64)))
-    digest = splitmix((sums[ends] - sums[starts]) * down[starts])
-    return np.unique(digest >> np.uint64(32) << np.uint64(16) | (ends - starts).astype(np.uint64))
+def chunks(text: str) -> Chunks:
+    """The set of a text's chunks."""
+    b = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+    if not b:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    ends = boundaries(np.frombuffer(b, dtype=np.uint8))
+    starts = [0, *ends[:-1]]
+    digest, at = np.unique(np.array([xxhash.xxh3_64_intdigest(b[i:j]) for i, j in zip(starts, ends, strict=True)], dtype=np.uint64), return_index=True)
+    return digest, (np.array(ends) - starts)[at]
 
 
-def fingerprint(found: np.ndarray) -> str:
-    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
+def fingerprint(found: Chunks) -> str:
+    rows = np.zeros((len(found[0]), 10), dtype=np.uint8)
+    rows[:, :8] = found[0].astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 8:] = found[1].astype(">u2").view(np.uint8).reshape(-1, 2)
+    return rows.tobytes().hex()
 
 
-def containment(of: np.ndarray, within: np.ndarray) -> float:
-    if not len(of):
-        return float(not len(within))
-    lengths = (of & np.uint64(0xFFFF)).astype(np.int64)
-    if not len(within):
+def containment(of: Chunks, within: Chunks) -> float:
+    if not len(of[0]):
+        return float(not len(within[0]))
+    if not len(within[0]):
         return 0.0
-    at = np.minimum(np.searchsorted(within, of), len(within) - 1)
-    return float(lengths[within[at] == of].sum() / lengths.sum())
+    at = np.minimum(np.searchsorted(within[0], of[0]), len(within[0]) - 1)
+    return float(of[1][within[0][at] == of[0]].sum() / of[1].sum())
 
 
 def with_next(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, int]:
@@ -142,7 +132,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
                 if held is not None and held[2] == bucket:
                     changed = edited(held[1], text)
                     other = chunks(changed)
-                    row = (held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(held[3]), fingerprint(other), containment(held[3], other), containment(held[3], now[3]), len(held[3]))
+                    row = (held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(held[3]), fingerprint(other), containment(held[3], other), containment(held[3], now[3]), len(held[3][0]))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 held = None if late else now

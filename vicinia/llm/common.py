@@ -60,3 +60,18 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     return x ^ (x >> np.uint64(31))
+
+
+BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n at least; a worker keeps them, so callers take long texts in parts."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(size, b, dtype=np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers

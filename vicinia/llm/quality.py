@@ -80,11 +80,14 @@ class Model:
     def weighted(self, rows: np.ndarray) -> np.ndarray:
         return unit(np.hstack((unit(rows[:, :TERMS] * self.idf), self.shape_weight * rows[:, TERMS:])))
 
+    def projected(self, rows: np.ndarray) -> np.ndarray:
+        return self.weighted(rows).astype(np.float64) @ self.axes
+
     def vote(self, rows: np.ndarray) -> np.ndarray:
         """The weighted share of label 1 among the nearest; of equal cosines the sample's first count."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        near = (unit(self.weighted(rows) @ self.axes) @ self.vectors.T).astype(np.float64)
+        near = np.round(unit(self.projected(rows)) @ self.vectors.T, 9)  # a product's last bits depend on the place in its block
         k = min(self.neighbours, near.shape[1])
         least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
         above, tied = near > least, near == least
@@ -121,8 +124,8 @@ def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
         for _ in range(2):
             q = np.linalg.qr(a @ (a.T @ q))[0]
         _, _, vt = np.linalg.svd(q.T @ a, full_matrices=False)
-        model.axes = np.ascontiguousarray(vt[:rank].T)
-        model.vectors = unit(a @ model.axes)
+        model.axes = np.ascontiguousarray(vt[:rank].T).astype(np.float64)
+        model.vectors = unit(model.projected(rows))
     return model
 
 

@@ -63,7 +63,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.decontamination import matches
 
-    out = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, radius=24)
+    out = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, radius=23)
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "begin", "end")
 
 

@@ -49,8 +49,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinia.llm.cdc import GEAR, powers
-from vicinia.llm.common import Workspace, numbered, partitions, splitmix, utf8_rows
+from vicinia.llm.cdc import GEAR
+from vicinia.llm.common import Workspace, numbered, partitions, powers, splitmix, utf8_rows
 
 #: Bytes of a text looked at together; longer texts are taken in overlapping parts.
 PART = 1 << 20
