@@ -109,7 +109,7 @@ def _numeric(name: str) -> Query:
 def _boolean(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = points(spark, sf_dir).select("id", F.transform("vec", lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("vec"))
-        return rounded(pairs.pairwise(asked(x), x, name)  # unrolled, the tests of each place outgrow what the JVM compiles)
+        return rounded(pairs.pairwise(asked(x), x, name))  # unrolled, the tests of each place outgrow what the JVM compiles
 
     return run
 
