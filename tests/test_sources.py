@@ -26,6 +26,21 @@ def test_adapters(spark, tmp_path):
     assert rows(vectors.delimited(spark, str(tmp_path / "b.txt"), 3, sep=",")) == want
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    """Ids follow the names of the files, whatever their sizes, and the lines in each."""
+    lines = 0
+    for name, n in (("a", 3), ("b", 400), ("c", 40)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{lines + i}\t{i}\n" for i in range(n)))
+        lines += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = vectors.delimited(spark, f"{tmp_path}/*.txt", 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.id, int(r.vec[0])) for r in got) == [(i, i) for i in range(lines)]
+    assert vectors.blocks(spark.range(100), 3, 20).rdd.getNumPartitions() == 5 and vectors.blocks(spark.range(100), 3).rdd.getNumPartitions() == 3
+
+
 def test_gathering(spark):
     df = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("vec"))
     assert [r.id for r in vectors.by_range(df, 10, 13).collect()] == [10, 11, 12]

@@ -54,9 +54,15 @@ def sample_strata(df: DataFrame, k: int, m: int, s: int, seed: int = 0, id_col:
     return rows.withColumn("_place", place).where(F.col("_place") <= s).select("stratum", "sample", id_col)
 
 
+def uniform(*parts: Column | int) -> Column:
+    """A number in [0, 1) from the parts' MD5, so that it doesn't depend on partitions."""
+    text = F.concat_ws(":", *[(F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def draws(spark: SparkSession, n: int, m: int, s: int, seed: int = 0, begin: int = 0) -> DataFrame:
     """m samples of s indices from [begin, begin + n) with replacement: sample, draw, id."""
-    return spark.range(m * s).select((F.col("id") / s).cast("long").alias("sample"), F.pmod(F.col("id"), F.lit(s)).alias("draw"), (F.floor(F.rand(seed) * n).cast("long") + begin).alias("id"))
+    return spark.range(m * s).select((F.col("id") / s).cast("long").alias("sample"), F.pmod(F.col("id"), F.lit(s)).alias("draw"), (F.floor(uniform(seed, F.col("id")) * n).cast("long") + begin).alias("id"))
 
 
 def interval_draws(spark: SparkSession, n: int, k: int, m: int, s: int, seed: int = 0) -> DataFrame:
@@ -64,12 +70,13 @@ def interval_draws(spark: SparkSession, n: int, k: int, m: int, s: int, seed: in
     strata = -(-n // k)
     cell = spark.range(m * s * strata).withColumn("stratum", (F.col("id") / (m * s)).cast("long"))
     width = F.least(F.lit(k), F.lit(n) - F.col("stratum") * k)
-    return cell.select("stratum", F.pmod((F.col("id") / s).cast("long"), F.lit(m)).alias("sample"), F.pmod(F.col("id"), F.lit(s)).alias("draw"), (F.floor(F.rand(seed) * width).cast("long") + F.col("stratum") * k).alias("id"))
+    return cell.select("stratum", F.pmod((F.col("id") / s).cast("long"), F.lit(m)).alias("sample"), F.pmod(F.col("id"), F.lit(s)).alias("draw"), (F.floor(uniform(seed, F.col("id")) * width).cast("long") + F.col("stratum") * k).alias("id"))
 
 
 def line_sample(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of k rows: a top-k by a seeded random number, k rows a partition at most."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(k).drop("_r")
+    """A uniform sample of k rows: the top k by an MD5 of the row's values, k rows a partition at most. Equal rows stand or fall together, up to k."""
+    key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
+    return df.withColumn("_r", key).orderBy("_r").limit(k).drop("_r")
 
 
 def medoids(df: DataFrame, m: int, tables: int, seed: int = 0, id_col: str = "id", vec_col: str = "vec") -> tuple[list, np.ndarray, np.ndarray]:

@@ -331,22 +331,26 @@ def sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_strata(points(spark, sf_dir), 100, 3, 5, order=(F.col("id") * 7919 + F.col("sample") * 104729) % 10007)
 
 
-@query("sample_rows_hashed")
+_uniform = "(('0x' || substr(md5('7:' || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+_n = "(SELECT count(*) FROM embeddings)"
+
+
+@query("sample_rows_hashed", "SELECT sample, vec_id AS id FROM (SELECT s.sample, e.vec_id, row_number() OVER (PARTITION BY s.sample ORDER BY md5(e.vec_id || ':' || s.sample || ':7'), e.vec_id) AS r FROM embeddings e CROSS JOIN (SELECT unnest(range(4))::INT AS sample) s) WHERE r <= 10")
 def sample_rows_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_rows(points(spark, sf_dir), 4, 10, seed=7)
+    return sampling.sample_rows(points(spark, sf_dir), 4, 10, order=F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("sample").cast("string"), F.lit("7"))))
 
 
-@query("sample_draws")
+@query("sample_draws", f"SELECT i // 10 AS sample, i % 10 AS draw, floor({_uniform} * {_n})::BIGINT AS id FROM (SELECT unnest(range(40)) AS i)")
 def sample_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.draws(spark, points(spark, sf_dir).count(), 4, 10, seed=7)
 
 
-@query("sample_interval_draws")
+@query("sample_interval_draws", f"SELECT i // 15 AS stratum, (i // 5) % 3 AS sample, i % 5 AS draw, floor({_uniform} * least(100, {_n} - (i // 15) * 100))::BIGINT + (i // 15) * 100 AS id FROM (SELECT unnest(range(15 * (({_n} + 99) // 100))) AS i)")
 def sample_interval_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.interval_draws(spark, points(spark, sf_dir).count(), 100, 3, 5, seed=7)
 
 
-@query("sample_lines")
+@query("sample_lines", "SELECT event_id FROM events ORDER BY md5('7:' || event_id) LIMIT 100")
 def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.line_sample(table(spark, sf_dir, "events").select("event_id"), 100, seed=7)
 
@@ -601,9 +605,50 @@ def store_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BucketStore(spark).pack(rows).rows().select("id", "table_id", "bucket")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> BucketStore:
+    """Events' buckets in a Parquet store."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(*[(F.col("event_id") * (k + 1)) % 97 for k in range(3)]).alias("keys"))
+    return BucketStore(spark, "parquet", f"{Workspace(spark, 'store').root}/index").pack(rows)
+
+
+_events = "WITH k AS (SELECT event_id AS id, k AS table_id, (event_id * (k + 1)) % 97 AS bucket FROM events CROSS JOIN (SELECT unnest(range(3))::INT AS k))"
+
+
+@query("store_parquet", f"{_events} SELECT id, table_id, bucket FROM k WHERE bucket % 10 = 3")
+def store_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is opened again by its version folder."""
+    return BucketStore.open(spark, stored(spark, sf_dir).path).rows().where("bucket % 10 = 3").select("id", "table_id", "bucket")
+
+
+@query("store_parquet_bucket", f"{_events} SELECT id FROM k WHERE table_id = 2 AND bucket = 11")
+def store_parquet_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).bucket(2, 11)
+
+
+@query("store_copy", f"{_events} SELECT 'copy' AS store, table_id, count(*) AS n FROM k GROUP BY table_id UNION ALL SELECT 'own', table_id, count(*) FROM k WHERE table_id <> 1 GROUP BY table_id")
+def store_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy keeps what the store itself clears."""
+    own = stored(spark, sf_dir)
+    copy = own.copy()
+    own.clear(1)
+    count = lambda store, name: store.rows().groupBy("table_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "table_id", "n")
+    return count(copy, "copy").union(count(own, "own"))
+
+
 # scans
 
 
+@query("wrap_array", "SELECT i AS id, concat_ws(',', 3 * i, 3 * i + 1, 3 * i + 2) AS vec FROM (SELECT unnest(range(50)) AS i)")
+def wrap_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = vectors.wrap(spark, np.arange(150.0).reshape(50, 3))
+    return x.select("id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
+
+
+@query("wrap_frame", "SELECT count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) AS total FROM embeddings")
+def wrap_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.wrap(spark, points(spark, sf_dir)).agg(F.count("*").alias("n"), F.round(F.sum(F.col("vec")[0]), 6).alias("total"))
+
+
 @query("scan_range", "SELECT vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id >= 100 AND vec_id < 200")
 def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.by_range(points(spark, sf_dir), 100, 200).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

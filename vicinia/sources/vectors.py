@@ -51,20 +51,31 @@ def npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, path: str, dim: int, dtype: str = "<f8") -> DataFrame:
-    """Rows of ``dim`` numbers in a binary file without a header, in records, so the file is split."""
-    width = dim * np.dtype(dtype).itemsize
-    rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
-    return spark.createDataFrame(rows.map(lambda r: (r[1], np.frombuffer(bytes(r[0]), dtype).astype(float).tolist())), "id long, vec array<double>")
+    """Rows of ``dim`` numbers in one binary file without a header. The file is split between records, which reach numpy in Arrow batches; ids follow the order of the rows."""
+    kind = np.dtype(dtype)
+    jvm, session = spark.sparkContext._jvm, spark._jsparkSession
+    records = spark.sparkContext._jsc.binaryRecords(path, dim * kind.itemsize).rdd()
+    rows = DataFrame(session.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=kind).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dim, dtype=np.int32), pa.array(flat)), b.column(1)], ["vec", "place"])
+
+    placed = rows.select("value", F.monotonically_increasing_id().alias("place")).mapInArrow(run, "vec array<double>, place long")
+    return with_ids(placed, F.col("place")).select("id", "vec")
 
 
 def delimited(spark: SparkSession, path: str, dim: int, header: bool = False, rownames: bool = False, sep: str = "\t") -> DataFrame:
-    """Numbers in a delimited text; row names, if any, become string ids, else ids follow the order of the lines."""
+    """Numbers in delimited texts; row names, if any, become string ids, else ids follow the order of file names, and of the lines in each."""
     names = (["name string"] if rownames else []) + [f"c{i} double" for i in range(dim)]
     rows = spark.read.csv(path, schema=", ".join(names), sep=sep, header=header, mode="FAILFAST")
     vec = F.array(*[F.col(f"c{i}") for i in range(dim)]).alias("vec")
     if rownames:
         return rows.select(F.col("name").alias("id"), vec)
-    return with_ids(rows.select(vec, F.monotonically_increasing_id().alias("_line")), F.col("_line")).select("id", "vec")
+    # within a block of a file the rows of a partition are in order, whichever partition Spark deals the block to
+    line = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return with_ids(rows.select(vec, line.alias("_line")), F.col("_line")).select("id", "vec")
 
 
 def with_ids(df: DataFrame, order: Column, id_col: str = "id") -> DataFrame:
@@ -93,8 +104,9 @@ def by_id(df: DataFrame, ids: DataFrame | list, id_col: str = "id") -> DataFrame
     return df.where(F.col(id_col).isin(list(ids)))
 
 
-def blocks(df: DataFrame, workers: int) -> DataFrame:
-    return df.repartition(workers)
+def blocks(df: DataFrame, workers: int, max_size: int | None = None) -> DataFrame:
+    """The rows in ``workers`` partitions, or more where a partition would hold over ``max_size`` of them."""
+    return df.repartition(workers if max_size is None else max(workers, -(-df.count() // max_size)))
 
 
 def are_indices(df: DataFrame, id_col: str = "id") -> bool:
@@ -114,6 +126,6 @@ def shape(df: DataFrame, vec_col: str = "vec") -> tuple[int, int]:
 def checked_dim(df: DataFrame, dim: int, vec_col: str = "vec") -> DataFrame:
     """Fail at run time on a vector of another dimension."""
     size = F.size(vec_col)
-    many = F.raise_error(F.concat(F.lit("query points have too many dimensions: "), size)).cast("array<double>")
-    few = F.raise_error(F.concat(F.lit("query points are missing dimensions: "), size)).cast("array<double>")
+    many = F.raise_error(F.concat(F.lit("too many numbers in a vector: "), size)).cast("array<double>")
+    few = F.raise_error(F.concat(F.lit("missing numbers in a vector: "), size)).cast("array<double>")
     return df.withColumn(vec_col, F.when(size > dim, many).when(size < dim, few).otherwise(F.col(vec_col)))
