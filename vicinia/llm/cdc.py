@@ -10,7 +10,7 @@ chunks the other one has, from 0 to 1.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, which is
 contained in the empty one (1) and in no other (0); repeated rows are documents of their
-own, in order of id and then text hash; null ids sort first; a lone document is its own
+own, in order of id and then text hash (equal ones have the same fields in either order); null ids sort first; a lone document is its own
 successor; an empty table gives an empty result. Other columns are ignored, whatever
 their names; a very long text takes memory in step with its length in one task. Ids are
 integers.

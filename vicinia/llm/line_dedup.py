@@ -18,7 +18,7 @@ third of all documents hold is summed up before the shuffle. Then the texts of t
 repeated ones are compared byte by byte; a group whose bytes differ is left alone.
 
 Defined cases: a null text has no chunks and stays null; an empty text has one blank
-line; single lines stay; rows that repeat an id rank alike, so equal chunks at one place
+line; single lines stay; a very long text takes steps in proportion to its lines; rows that repeat an id rank alike, so equal chunks at one place
 of one id are one occurrence and stay; null ids rank first; an empty table gives an empty
 result. Other columns are carried along unchanged, whatever their names.
 """

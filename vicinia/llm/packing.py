@@ -14,8 +14,9 @@ decreasing. Each partition then looks its pieces up in the broadcast runs.
 Tokens come from a public tokenizer file. A chunk between spaces is tokenised once and
 remembered (a bounded memory); texts with adjacent white space go whole to the tokenizer.
 
-Defined cases: a null text is empty; an empty text is one piece, the end token alone;
-repeated rows are documents of their own; a null id sorts first; an empty table gives an
+Defined cases: a null text is empty; an empty text is one piece, the end token alone; a
+very long text is tokenised whole and cut into pieces; pieces of one length go by id, then
+place, then checksum; repeated rows are documents of their own; a null id sorts first; an empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
 

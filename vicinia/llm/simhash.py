@@ -13,8 +13,10 @@ d = 3 that is 2 homes and 32 replicas each, over 2 * 2^26 anchors.
 Links join fingerprints, not documents: copies never expand into pairs. Components come
 from alternating large and small stars over written tables.
 
-Defined cases: a null or wordless text has fingerprint zero and links like any other;
-repeated rows are rows of their own; a null id never becomes a component's id unless all
+Defined cases: a null or wordless text has fingerprint zero and links like any other; a
+very long text is hashed whole, in blocks of shingles; a bit that is set in just half of
+the hashes is 0; repeated rows are rows of their own; of rows with the least id of a
+component the first read stays; a null id never becomes a component's id unless all
 ids of the component are null; an empty table gives an empty result. Other columns are
 ignored, whatever their names.
 """

@@ -7,7 +7,9 @@ A unit is normalised (case, punctuation, white space) and its 128-bit digest is
 over the corpus with partial aggregation; the earliest ranked occurrence (id, then place)
 stays and the rest is removed. Offsets are code points of the original text.
 
-Defined cases: a null or empty text has no units; rows that repeat an id rank alike, so
+Defined cases: a null or empty text has no units; a very long text is worked on whole, in
+memory that grows with its units; of a line and a sentence at one place the line counts
+first; rows that repeat an id rank alike, so
 equal units at one place of one id are one occurrence and stay; null ids rank first; an
 empty table gives an empty result. ``dedup`` carries other columns along unchanged,
 whatever their names, but a column ``removed_spans`` is replaced.

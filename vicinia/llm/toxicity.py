@@ -8,7 +8,10 @@ sample make the vocabulary. Texts are scored whole, one pass, no shuffle; the br
 holds the vocabulary, which the sample bounds.
 
 Defined cases: a null text is empty; a text without sentences scores 0 (noisy-or of
-nothing); repeated rows are scored alike; null ids are of fold crc32('') mod 3; without
+nothing); a very long text is scored whole, in memory that grows with its sentences;
+repeated rows are scored alike, and so are texts with the same sentences in another order
+but for rounding; a score at the threshold counts as toxic; labelled ids beyond the sample
+are left out in order of the id's hash, ties of it by id; null ids are of fold crc32('') mod 3; without
 labelled rows of both kinds every score is 0; an empty table gives an empty result. Other
 columns are ignored, whatever their names.
 """
