@@ -426,7 +426,7 @@ def voronoi_family(x: DataFrame, name: str = "voronoi") -> Voronoi:
     """Medoids by table: m rows of the whole table in an arithmetic order, L * m vectors at most."""
     p = FAMILIES[name]
     draw = sampling.sample_rows(x, p["L"], p["m"], order=F.expr(_medoid_draw))
-    found = draw.join(x, "id").select("sample", F.expr(_medoid_draw).alias("place"), "id", "vec").toArrow().sort_by([("sample", "ascending"), ("place", "ascending"), ("id", "ascending")])
+    found = x.join(F.broadcast(draw), "id").select("sample", F.expr(_medoid_draw).alias("place"), "id", "vec").toArrow().sort_by([("sample", "ascending"), ("place", "ascending"), ("id", "ascending")])
     if found.num_rows != p["L"] * p["m"]:
         raise ValueError(f"a draw needs {p['m']} rows")
     ids, at = np.unique(found["id"].to_numpy(), return_inverse=True)

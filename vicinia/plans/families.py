@@ -24,6 +24,10 @@ from vicinia.operators import metrics
 from vicinia.operators.blocks import cdist
 
 
+#: Distances of a block of rows to chosen medoids that are held at once.
+CELLS = 1 << 22
+
+
 class Family:
     """L tables of k codes; ``metric`` and ``parameters`` re-rank candidates."""
 
@@ -120,8 +124,10 @@ class Voronoi(Family):
             raise ValueError("w is at least 2")
         if self.k * self.bits > 63:
             raise ValueError(f"{self.k} codes of {self.bits} bits don't fit a key")
-        self.used, self.places = np.unique(self.chosen, return_inverse=True)  # distances to these only
-        self.places = self.places.reshape(self.chosen.shape)
+        used, places = np.unique(self.chosen, return_inverse=True)  # distances to these only
+        self.columns, same = np.unique(self.medoids[used], axis=0, return_inverse=True)
+        self.places = same.reshape(-1)[places].reshape(self.chosen.shape)
+        self.squares = (self.columns**2).sum(axis=1)
 
     @classmethod
     def draw(cls, points: DataFrame, L: int = 1, k: int = 4, m: int = 10, w: int = 3, metric: str = "euclidean", seed: int = 0, id_col: str = "id", vec_col: str = "vec", **parameters) -> Voronoi:
@@ -142,7 +148,16 @@ class Voronoi(Family):
         return self.w
 
     def codes(self, block: np.ndarray) -> np.ndarray:
-        d = cdist(self.metric, block, self.medoids[self.used], **self.parameters)
+        rows = max(1, CELLS // self.chosen.size)
+        parts = [self._nearest(block[at : at + rows]) for at in range(0, len(block), rows)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.L, self.k), dtype=np.int64)
+
+    def _nearest(self, block: np.ndarray) -> np.ndarray:
+        if self.metric in ("euclidean", "sqeuclidean"):
+            # of |x - m|^2 what depends on m, as one product; equal medoids are one column, so their ties stay exact
+            d = self.squares - 2 * block @ self.columns.T
+        else:
+            d = cdist(self.metric, block, self.columns, **self.parameters)
         return np.where(np.isnan(d), np.inf, d)[:, self.places].argmin(axis=-1)
 
     def key(self, codes: Column) -> Column:
