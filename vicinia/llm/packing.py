@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 
 from vicinia.llm.common import Workspace, numbered, one_thread
 
-#: Chunks, and parts of chunks, that a worker remembers with their tokens: some 100 MB when full.
-REMEMBERED, PARTS = 400_000, 200_000
+#: Chunks, and parts of chunks, that a worker remembers with their tokens: some 150 MB when full.
+REMEMBERED, PARTS = 800_000, 400_000
 #: The public byte-level BPE's pattern, which splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Without these no white space spans two chunks: single spaces and line feeds only.
