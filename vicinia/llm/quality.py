@@ -118,14 +118,17 @@ def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
     idf = (np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(idf, np.zeros((TERMS + SHAPES, 0), np.float32), np.zeros((0, 0), np.float32), labels.astype(np.float64))
     if len(rows):
-        a = model.weighted(rows)
+        a = np.empty_like(rows)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(rows), BLOCK)]  # the driver holds the matrix twice, and no more
+        for b in blocks:
+            a[b] = model.weighted(rows[b])
         rank = min(rank, *a.shape)
         q = a @ np.random.default_rng(0).standard_normal((a.shape[1], rank + 10)).astype(np.float32)
         for _ in range(2):
             q = np.linalg.qr(a @ (a.T @ q))[0]
         _, _, vt = np.linalg.svd(q.T @ a, full_matrices=False)
         model.axes = np.ascontiguousarray(vt[:rank].T).astype(np.float64)
-        model.vectors = unit(model.projected(rows))
+        model.vectors = unit(np.concatenate([model.projected(rows[b]) for b in blocks]))
     return model
 
 
