@@ -54,6 +54,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes (unsigned 64-bit); 0 of an empty one."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        h = hashes[at : at + 65536].astype("<u8", copy=False)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:
     """Return id and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
 
