@@ -1,0 +1,43 @@
+"""The near-copy stage joins few links without jobs of stars, and more of them by stars, alike."""
+
+import random
+
+import pytest
+
+from tests.llm.test_near_copies import brute_kept
+from vicinia.llm import near_copies, simhash
+from vicinia.llm.common import Workspace
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_joined_equals_stars(spark, seed):
+    rng = random.Random(seed)
+    nodes = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(20 + 20 * seed)] + list(zip(nodes[:20], nodes[1:], strict=False))
+    edges = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long")
+    ws = Workspace(spark, "test")
+    got = [tuple(r) for r in near_copies._joined(ws, edges, "joined").collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in simhash.components(ws, edges, "stars").collect()}
+
+
+def test_no_links(spark):
+    assert near_copies._joined(Workspace(spark, "test"), spark.createDataFrame([], "a long, b long"), "none").collect() == []
+
+
+def test_few_links_take_no_stars(spark, docs, words, monkeypatch):
+    rows, calls = [(k, words(k % 4, 300) + f" end{k % 8}") for k in range(16)] + [(90, None), (91, "short")], []
+
+    def stars(*args):
+        calls.append(args)
+        return simhash.components(*args)
+
+    monkeypatch.setattr(near_copies, "components", stars)
+
+    def kept():
+        return sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in near_copies.representatives(docs(rows)).collect())
+
+    assert kept() == brute_kept(rows)
+    assert not calls
+    monkeypatch.setattr(near_copies, "HELD", 0)
+    assert kept() == brute_kept(rows)
+    assert calls

@@ -112,14 +112,14 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
-    """Latent-semantic axes by randomised subspace iteration over the labelled rows."""
+def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32, reuse: bool = False) -> Model:
+    """Latent-semantic axes by randomised subspace iteration over the labelled rows; reuse: the weighted rows overwrite them."""
     one_thread()
     idf = (np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(idf, np.zeros((TERMS + SHAPES, 0), np.float32), np.zeros((0, 0), np.float32), labels.astype(np.float64))
     if len(rows):
-        a = np.empty_like(rows)
-        blocks = [slice(at, at + BLOCK) for at in range(0, len(rows), BLOCK)]  # the driver holds the matrix twice, and no more
+        a = rows if reuse else np.empty_like(rows)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(rows), BLOCK)]  # with reuse the driver holds the matrix once, and no more
         for b in blocks:
             a[b] = model.weighted(rows[b])
         rank = min(rank, *a.shape)
@@ -128,7 +128,7 @@ def train(rows: np.ndarray, labels: np.ndarray, rank: int = 32) -> Model:
             q = np.linalg.qr(a @ (a.T @ q))[0]
         _, _, vt = np.linalg.svd(q.T @ a, full_matrices=False)
         model.axes = np.ascontiguousarray(vt[:rank].T).astype(np.float64)
-        model.vectors = unit(np.concatenate([model.projected(rows[b]) for b in blocks]))
+        model.vectors = unit(np.concatenate([a[b].astype(np.float64) @ model.axes for b in blocks]))
     return model
 
 
@@ -141,8 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["order", "terms", "label"])
 
     rows = training_rows(docs, labels, label, sample, text_col, id_col).mapInArrow(run, "order long, terms binary, label int").toArrow().sort_by([("order", "ascending"), ("terms", "ascending")])
-    matrix = np.frombuffer(b"".join(rows["terms"].to_pylist()), dtype=np.float16).reshape(-1, TERMS + SHAPES).astype(np.float32)
-    return train(matrix, (rows["label"].to_numpy() > 0).astype(int), rank)
+    matrix, known = np.empty((rows.num_rows, TERMS + SHAPES), dtype=np.float32), (rows["label"].to_numpy() > 0).astype(int)
+    for at in range(0, len(matrix), BLOCK):
+        matrix[at : at + BLOCK] = np.frombuffer(b"".join(rows["terms"].slice(at, BLOCK).to_pylist()), dtype=np.float16).reshape(-1, TERMS + SHAPES)
+    del rows  # the terms are held once while it trains
+    return train(matrix, known, rank, reuse=True)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
