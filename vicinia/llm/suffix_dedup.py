@@ -55,6 +55,8 @@ from vicinia.llm.common import Workspace, numbered, partitions, powers, splitmix
 #: Bytes of a text looked at together; longer texts are taken in overlapping parts.
 PART = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts or of anchors' windows that leave a worker together, one text's at least.
+TOGETHER = 1 << 20
 COPY, FIRST, EDGE, EDGE_SEVERAL, SEEN = range(5)
 
 
@@ -190,7 +192,14 @@ def unpacked(data: bytes) -> bytes:
 
 def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(t) for t in utf8_rows(b.column(1))], pa.binary()), *b.columns[2:]], ["key", "data", *b.schema.names[2:]])
+        data, size, done = [], 0, 0
+        for n, text in enumerate(utf8_rows(b.column(1)), 1):
+            data.append(packed(text))
+            size += len(data[-1])
+            if size > TOGETHER or n == b.num_rows:
+                rest = b.slice(done, n - done)
+                yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(data, pa.binary()), *rest.columns[2:]], ["key", "data", *b.schema.names[2:]])
+                data, size, done = [], 0, n
 
 
 def part_rows(least: int):
@@ -200,14 +209,18 @@ def part_rows(least: int):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out: list[list] = [[] for _ in kinds]
-            for key, data, listed in zip(*b.columns, strict=True):
+            size = 0
+            for n, (key, data, listed) in enumerate(zip(*b.columns, strict=True), 1):
                 key, text = key.as_py(), unpacked(data.as_py())
                 for x in listed.as_py():
                     at = x["at"]
                     first, last = (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255)
                     for column, value in zip(out, (x["gram"], key, at, text[first : last + least]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "key", "at", "part"])
+                    size += last + least - first
+                if size > TOGETHER or n == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gram", "key", "at", "part"])
+                    out, size = [[] for _ in kinds], 0
 
     return run
 
