@@ -1,5 +1,8 @@
 """The registered queries over the smallest tables: columns, rows and what a result must hold."""
 
+from pathlib import Path
+
+import duckdb
 import pytest
 
 from vicinia.llm import registry
@@ -15,13 +18,33 @@ COLUMNS = {
     "op7_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op8_decontamination": ["doc_id", "item_id", "similarity"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op13_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
     "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
-EVERY_DOCUMENT = ("op1_toxicity", "op2_simhash", "op3_suffix_dedup", "op4_sharding", "op7_fingerprints", "op9_quality")
+EVERY_DOCUMENT = ("op1_toxicity", "op2_simhash", "op3_suffix_dedup", "op4_sharding", "op7_fingerprints", "op9_quality", "op13_resampling")
 
 
 def test_names():
-    assert set(registry.queries()) == set(COLUMNS) and registry.oracle_sql() == {}
+    assert set(registry.queries()) == set(COLUMNS) and set(registry.oracle_sql()) <= set(COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for p in Path(SF).iterdir():
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_equals_sql(spark, sql, name):
+    df = registry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    con = sql.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in con.description]
+    assert sorted(names) == columns
+    want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in con.fetchall())
+    assert want == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))

@@ -83,9 +83,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from vicinia.llm import oracles
+
+    return {"op13_resampling": oracles.OP13}
