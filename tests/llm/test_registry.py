@@ -18,6 +18,7 @@ COLUMNS = {
     "op7_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op8_decontamination": ["doc_id", "item_id", "similarity"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
     "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
@@ -51,6 +52,8 @@ def test_equals_sql(spark, sql, name):
 def test_columns_and_rows(spark, name):
     out = registry.queries()[name](spark, SF)
     assert [c for c in COLUMNS[name] if c not in out.columns] == []
+    if "doc_id" not in COLUMNS[name]:
+        return
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     known = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
     assert set(ids) <= set(known)

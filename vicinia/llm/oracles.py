@@ -15,3 +15,17 @@ weighed AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS weight FROM word JOI
 scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN weighed USING (doc_id)),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT doc_id, rank FROM ranked WHERE rank <= 10 * n // 100) USING (doc_id)"""
+
+OP12 = rf"""
+WITH piece AS (SELECT lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, piece FROM (SELECT lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))),
+gram AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM piece CROSS JOIN (SELECT unnest([1, 2, 3, 4])::INT AS k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM gram GROUP BY ALL),
+held AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+inner_ AS (SELECT lang, a, unnest(list_transform(range(0, ((k - 1) * (k - 2)) // 2 + k - 2), lambda x: CASE WHEN x < k - 1 THEN array_to_string(w[x + 1 : x + 2], ' ') ELSE array_to_string(w[x - k + 2 : x - k + 4], ' ') END)) AS phrase FROM held WHERE k > 2),
+gone AS (SELECT DISTINCT h.lang, h.phrase FROM held h JOIN inner_ i ON i.lang = h.lang AND i.phrase = h.phrase WHERE 100 * i.a >= 80 * h.a),
+cut AS (SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS x, array_to_string(w[c + 1 : k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM held)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, cut.c, x.a AS l, y.a AS r, 2000000 * cut.a // (x.a + y.a) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000"""

@@ -83,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, percent=80, most=2000)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.resampling import resample
 
@@ -90,10 +96,10 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing, op13_resampling)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing, op12_collocations, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     from vicinia.llm import oracles
 
-    return {"op13_resampling": oracles.OP13}
+    return {"op12_collocations": oracles.OP12, "op13_resampling": oracles.OP13}
