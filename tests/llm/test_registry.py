@@ -18,11 +18,12 @@ COLUMNS = {
     "op7_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op8_decontamination": ["doc_id", "item_id", "similarity"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op11_superminhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
     "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
-EVERY_DOCUMENT = ("op1_toxicity", "op2_simhash", "op3_suffix_dedup", "op4_sharding", "op7_fingerprints", "op9_quality", "op13_resampling")
+EVERY_DOCUMENT = ("op1_toxicity", "op2_simhash", "op3_suffix_dedup", "op4_sharding", "op7_fingerprints", "op9_quality", "op11_superminhash", "op13_resampling")
 
 
 def test_names():

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import Workspace, partitions, splitmix, utf8_rows
+from vicinia.llm.common import WordHashes, Workspace, partitions, phrase_hashes, splitmix, utf8_rows
 
 LONGEST = 4
 #: Cells of a sketch's depth at most.
@@ -52,20 +52,6 @@ HELD = 1 << 18  # different strings that a task holds before it passes them on
 BUFFER = 1 << 22  # cells that a task holds before it passes them on
 SPAN = 1 << 16  # cells of a block
 TABLE = bytes(ord(".") if chr(c) in ".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    """A 64-bit hash of each word; 0 of the separator."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word) | 1 if word != b"." else 0
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def words_of(block: bytes) -> list[bytes]:
@@ -89,15 +75,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
         yield k, words_of(b".".join(texts))
 
 
-def phrase_hashes(h: np.ndarray, n: int, before: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the phrases of n words that begin at each place, from the words' hashes and those of n - 1 words; 0 across a separator."""
-    before = h if before is None else before
-    ahead = h[n - 1 :]
-    out = splitmix(before[: len(ahead)] * FACTOR + ahead + np.uint64(n)) | np.uint64(1)
-    out[(before[: len(ahead)] == 0) | (ahead == 0)] = 0
-    return out
-
-
 def _salted(h: np.ndarray, lang: np.uint64 | np.ndarray) -> np.ndarray:
     return np.where(h == 0, np.uint64(0), (h ^ lang) | np.uint64(1))
 
@@ -182,7 +159,7 @@ def _first_scan(docs: DataFrame, least: int, width: int) -> DataFrame:
     names = schema.replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums, counted = Hashes(), Sums(least), Counter()
+        hashes, sums, counted = WordHashes(b"."), Sums(least), Counter()
 
         def cells(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             block, offsets, counts = zip(*rows, strict=True)
@@ -214,7 +191,7 @@ def _fragments(docs: DataFrame, held, width: int) -> DataFrame:
     """(lang, text, n): maximal runs of two words or more whose neighbours may all be frequent; ``held``: the broadcast bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, counted = held.value, Hashes(), Counter()
+        bits, hashes, counted = held.value, WordHashes(b"."), Counter()
         for lang, found in _texts(batches):
             near = np.zeros(len(found) + 1, np.int8)
             if len(found) > 1:
@@ -234,7 +211,7 @@ def _strings(counted: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counted], pa.string()), pa.array([k[1] for k in counted], pa.binary()).cast(pa.string()), pa.array(list(counted.values()), pa.int64())], ["lang", "text", "n"])
 
 
-def _runs(b: pa.RecordBatch, hashes: Hashes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _runs(b: pa.RecordBatch, hashes: WordHashes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Of a batch of fragments (lang, text, n) the words, with a separator between fragments, each word's fragment and salted hash."""
     texts = [x.as_buffer().to_pybytes() for x in b.column(1)]
     found = b" . ".join(texts).split(b" ")
@@ -247,7 +224,7 @@ def _longer(fragments: DataFrame, least: int, width: int) -> DataFrame:
     """Sketch blocks of the fragments' phrases of three words and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums = Hashes(), Sums(least)
+        hashes, sums = WordHashes(b"."), Sums(least)
 
         def rows(found: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             if found:
@@ -273,7 +250,7 @@ def _routed(fragments: DataFrame, held, width: int, shards: int) -> DataFrame:
     """(lang, shard, scanned, text, n): candidates (not scanned), and for each shard the stretches where its candidates may begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes = held.value, Hashes()
+        bits, hashes = held.value, WordHashes(b".")
         for b in batches:
             if not b.num_rows:
                 continue

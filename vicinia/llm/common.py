@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,29 @@ def powers(n: int) -> list[np.ndarray]:
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers
+
+
+class WordHashes(dict):
+    """A 64-bit hash of each word, remembered; 0 of the separator."""
+
+    def __init__(self, separator: bytes | None = None, most: int = 1 << 18):
+        super().__init__()
+        self.separator, self.most = separator, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = out = 0 if word == self.separator else xxhash.xxh64_intdigest(word) | 1
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def phrase_hashes(h: np.ndarray, n: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the phrases of n words that begin at each place, from the words' hashes and those of n - 1 words; 0 across a separator."""
+    before = h if before is None else before
+    ahead = h[n - 1 :]
+    out = splitmix(before[: len(ahead)] * np.uint64(BASE) + ahead + np.uint64(n)) | np.uint64(1)
+    out[(before[: len(ahead)] == 0) | (ahead == 0)] = 0
+    return out

@@ -83,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinia.llm.superminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.collocations import collocations
 
@@ -96,10 +102,10 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing, op12_collocations, op13_resampling)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffix_dedup, op4_sharding, op5_line_dedup, op6_substring_dedup, op7_fingerprints, op8_decontamination, op9_quality, op10_packing, op11_superminhash, op12_collocations, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     from vicinia.llm import oracles
 
-    return {"op12_collocations": oracles.OP12, "op13_resampling": oracles.OP13}
+    return {"op11_superminhash": oracles.OP11, "op12_collocations": oracles.OP12, "op13_resampling": oracles.OP13}
