@@ -34,8 +34,8 @@ OP11 = rf"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM words),
 sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-link AS (SELECT x, y FROM shared JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM shared JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE 100 * met >= 85 * (a.n + b.n - met)),
 edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(x, y) AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
