@@ -30,7 +30,7 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +48,43 @@ CELLS = 1 << 29
 PATTERNS = 50_000
 SALTS = 4
 BLOCK = 1 << 20  # bytes of text that are split into words at once
-HELD = 1 << 18  # different strings that a task holds before it passes them on
-BUFFER = 1 << 22  # cells that a task holds before it passes them on
+HELD = 1 << 17  # different strings that a task holds before it passes them on
+BUFFER = 1 << 20  # cells that a task holds before it passes them on
 SPAN = 1 << 16  # cells of a block
 TABLE = bytes(ord(".") if chr(c) in ".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class Vocabulary(dict):
+    """A number of each word, in order of first sight, with its hash (0 of the separator) and its counts by language."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.counts, self.held = [], {}, np.empty(0, np.uint64)
+        self[b"."]  # number 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word) | 1 if out else 0)
+        return out
+
+    def counted(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The words' hashes; they count."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        known, n = self.counts.get(lang, np.empty(0, np.int64)), np.bincount(numbers, minlength=len(self.hashes))
+        n[: len(known)] += known
+        self.counts[lang] = n
+        if len(self.held) < len(self.hashes):
+            self.held = np.concatenate((self.held, np.array(self.hashes[len(self.held) :], np.uint64)))
+        return self.held[numbers]
+
+    def rows(self) -> Iterator[tuple[str, pa.Array, pa.Array]]:
+        """(lang, words, counts) so far."""
+        words = pa.array(self, pa.binary()).cast(pa.string())  # a dict's keys, in order of their numbers
+        for lang, n in self.counts.items():
+            at = np.flatnonzero(n[1:]) + 1
+            yield lang, words.take(pa.array(at)), pa.array(n[at])
+
+
 def words_of(block: bytes) -> list[bytes]:
     """The words of a text; a separator is a word of its own."""
     return block.translate(TABLE).replace(b".", b" . ").split()
@@ -92,10 +123,12 @@ class Sums:
         self.least, self.cells, self.counts, self.size = least, [], [], 0
 
     def add(self, cells: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+        """``counts``: of each cell (1); given always or never."""
         for at in range(0, len(cells), BUFFER):
             part = cells[at : at + BUFFER]
             self.cells.append(part)
-            self.counts.append(np.ones(len(part), np.int64) if counts is None else counts[at : at + BUFFER])
+            if counts is not None:
+                self.counts.append(counts[at : at + BUFFER])
             self.size += len(part)
             if self.size >= BUFFER:
                 yield from self.flush()
@@ -103,15 +136,19 @@ class Sums:
     def flush(self) -> Iterator[tuple[int, bytes, bytes]]:
         if not self.size:
             return
-        cells, counts = np.concatenate(self.cells), np.concatenate(self.counts)
+        cells, counts = np.concatenate(self.cells), np.concatenate(self.counts) if self.counts else None
         self.cells, self.counts, self.size = [], [], 0
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order]
+        if counts is None:
+            cells.sort()
+        else:
+            order = np.argsort(cells)
+            cells, counts = cells[order], counts[order]
         first = np.flatnonzero(np.diff(cells, prepend=-1))
-        cells, counts = cells[first], np.minimum(np.add.reduceat(counts, first), self.least).astype(np.uint32)
+        total = np.diff(first, append=len(cells)) if counts is None else np.add.reduceat(counts, first)
+        cells, total = cells[first], np.minimum(total, self.least).astype(np.uint32)
         cuts = np.flatnonzero(np.diff(cells // SPAN, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(cells)], strict=True):
-            yield int(cells[a] // SPAN), (cells[a:b] % SPAN).astype(np.uint16).tobytes(), counts[a:b].tobytes()
+            yield int(cells[a] // SPAN), (cells[a:b] % SPAN).astype(np.uint16).tobytes(), total[a:b].tobytes()
 
 
 def _heavy(ws: Workspace, blocks: DataFrame, least: int, size: int) -> np.ndarray:
@@ -159,30 +196,29 @@ def _first_scan(docs: DataFrame, least: int, width: int) -> DataFrame:
     names = schema.replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums, counted = WordHashes(b"."), Sums(least), Counter()
+        sums, vocabulary = Sums(least), Vocabulary()
 
         def cells(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             block, offsets, counts = zip(*rows, strict=True)
             none = [pa.nulls(len(rows), t) for t in (pa.string(), pa.string(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(block, pa.int32()), pa.array(offsets, pa.binary()), pa.array(counts, pa.binary())], names)
 
-        def words() -> pa.RecordBatch:
-            keys = [k for k in counted if k[1] != b"."]
-            own = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([counted[k] for k in keys], pa.int64())]
-            return pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(keys), t) for t in (pa.int32(), pa.binary(), pa.binary()))], names)
+        def words() -> Iterator[pa.RecordBatch]:
+            for lang, own, n in vocabulary.rows():
+                none = [pa.nulls(len(own), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, n, *none], names)
 
         for lang, found in _texts(batches):
-            for word, n in Counter(found).items():
-                counted[lang, word] += n
-            if len(counted) > HELD:
-                yield words()
-                counted.clear()
-            g = phrase_hashes(_salted(hashes.of(found), _language(lang)), 2)
-            if rows := [r for c in cells_of(g[g != 0], width) for r in sums.add(c)]:
-                yield cells(rows)
+            g = phrase_hashes(_salted(vocabulary.counted(lang, found), _language(lang)), 2)
+            for c in cells_of(g[g != 0], width):
+                if rows := list(sums.add(c)):
+                    yield cells(rows)
+            if len(vocabulary) > HELD:
+                yield from words()
+                vocabulary = Vocabulary()
         if rows := list(sums.flush()):
             yield cells(rows)
-        yield words()
+        yield from words()
 
     return docs.mapInArrow(run, schema)
 
@@ -191,24 +227,27 @@ def _fragments(docs: DataFrame, held, width: int) -> DataFrame:
     """(lang, text, n): maximal runs of two words or more whose neighbours may all be frequent; ``held``: the broadcast bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, counted = held.value, WordHashes(b"."), Counter()
+        bits, hashes, counted, size = held.value, WordHashes(b"."), defaultdict(Counter), 0
         for lang, found in _texts(batches):
             near = np.zeros(len(found) + 1, np.int8)
             if len(found) > 1:
                 near[1:-1] = _bounded(bits, phrase_hashes(_salted(hashes.of(found), _language(lang)), 2), width)
             step = np.diff(near)  # at the first word of a run 1, at its last -1
-            for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
-                counted[lang, b" ".join(found[a : b + 1])] += 1
-            if len(counted) > HELD:
-                yield _strings(counted)
-                counted.clear()
-        yield _strings(counted)
+            runs = zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) + 1).tolist(), strict=True)
+            before = len(counted[lang])
+            counted[lang].update([b" ".join(found[a:b]) for a, b in runs])
+            size += len(counted[lang]) - before
+            if size > HELD:
+                yield from _strings(counted)
+                counted, size = defaultdict(Counter), 0
+        yield from _strings(counted)
 
     return docs.mapInArrow(run, "lang string, text string, n long").groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
-def _strings(counted: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counted], pa.string()), pa.array([k[1] for k in counted], pa.binary()).cast(pa.string()), pa.array(list(counted.values()), pa.int64())], ["lang", "text", "n"])
+def _strings(counted: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, n in counted.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(n, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64())], ["lang", "text", "n"])
 
 
 def _runs(b: pa.RecordBatch, hashes: WordHashes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
