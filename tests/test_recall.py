@@ -8,7 +8,7 @@ from vicinia.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["recall_cosine", "recall_stable"])
+@pytest.mark.parametrize("name", ["recall_cosine", "recall_stable", "recall_cosine_multiprobe", "recall_stable_multiprobe", "recall_voronoi_multiprobe"])
 def test_equals_sql(spark, name):
     got = [tuple(r) for r in catalog.queries()[name](spark, SF).collect()]
     con = duckdb.connect()

@@ -19,6 +19,7 @@ from vicinia.operators import metrics, pairs
 from vicinia.operators.alignment import string_distance
 from vicinia.plans import search
 from vicinia.plans.families import Cosine, Family, Stable, Voronoi
+from vicinia.plans.tree import MedoidTree
 from vicinia.sources import vectors
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.workspace import Workspace
@@ -388,16 +389,20 @@ for _label, _alpha, _beta in (("cauchy", 1.0, 0.0), ("skewed_1", 1.0, 0.5), ("ge
 
 # hash indexes and searches
 
-#: Parameters by family. ``*_long``: long codes, under which some queries are short of neighbours and probe.
+#: Parameters by family; ``probes``: keys that a query asks for in each table. ``*_long``: long codes, under which some queries are short of neighbours and look at neighbouring codes.
 FAMILIES = {
-    "voronoi": {"L": 32, "k": 1, "m": 200, "w": 200},
-    "cosine": {"L": 128, "k": 8},
-    "stable": {"L": 112, "k": 7, "r": 2.0, "width": 5},
+    "voronoi": {"spill": 12, "probes": 16},
+    "cosine": {"L": 16, "k": 8, "probes": 8},
+    "stable": {"L": 16, "k": 6, "r": 1.0, "width": 6, "probes": 200},
+    "voronoi_flat": {"L": 4, "k": 2, "m": 20, "w": 8, "probes": 16},
     "voronoi_long": {"L": 4, "k": 6, "m": 40, "w": 4},
     "cosine_long": {"L": 4, "k": 16},
     "stable_long": {"L": 4, "k": 8, "r": 1.0, "width": 4},
 }
+#: Searches that ask for more keys.
+MORE = {"voronoi": 24, "cosine": 16, "stable": 320, "voronoi_flat": 24}
 _medoid_draw = "((id * 7919 + sample * 104729) % 10007)"
+_tree_draw = "((id * 7919) % 10007)"
 
 
 @cache
@@ -437,6 +442,8 @@ def voronoi_family(x: DataFrame, name: str = "voronoi") -> Voronoi:
 
 
 def family(name: str, x: DataFrame) -> Family:
+    if name == "voronoi":
+        return MedoidTree.draw(x, F.expr(_tree_draw), spill=FAMILIES[name]["spill"], probes=FAMILIES[name]["probes"])
     return voronoi_family(x, name) if name.startswith("voronoi") else cosine_family(name) if name.startswith("cosine") else stable_family(name)
 
 
@@ -448,6 +455,8 @@ def _list(v: np.ndarray) -> str:
 def codes_sql(name: str) -> str:
     """CTEs that end in codes(id, t, j, code) and keys(id, t, codes, bucket)."""
     p = FAMILIES[name]
+    if name == "voronoi":
+        return tree_sql(p["probes"])
     if name.startswith("voronoi"):
         if p["w"] == p["m"]:
             f = "f(t, j, p, m) AS (SELECT t, 0, r, id FROM med)"
@@ -472,6 +481,50 @@ def codes_sql(name: str) -> str:
     return f"WITH {E}, {codes}, keys AS (SELECT id, t, list(code ORDER BY j) AS codes, {bucket} AS bucket FROM codes GROUP BY id, t)"
 
 
+def tree_sql(probes: int) -> str:
+    """CTEs that end in keys(id, t, codes, bucket) of rows and asks(id, t, bucket) of queries."""
+    p = FAMILIES["voronoi"]
+    return f"""WITH {E}, size AS (SELECT *, ceil(sqrt(m))::BIGINT AS g, floor({p["spill"]} * {p["probes"]} / m + 1.1::DOUBLE)::BIGINT AS votes FROM (SELECT greatest(2, least(count(*) // 20, floor(2 * sqrt(count(*)))::BIGINT, 65536)) AS m FROM e)),
+        med(r, id) AS (SELECT r, id FROM (SELECT id, row_number() OVER (ORDER BY {_tree_draw}, id) - 1 AS r FROM e) CROSS JOIN size WHERE r < m),
+        near AS MATERIALIZED (SELECT a.id, med.r, med.r < g AS coarse, {total("(z[1]-z[2])*(z[1]-z[2])")} AS d FROM e a CROSS JOIN med JOIN e b ON b.id = med.id CROSS JOIN size),
+        top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, r) AS nth FROM near WHERE coarse),
+        under AS (SELECT med.r, top.r AS c FROM top JOIN med USING (id) WHERE nth <= 2),
+        seen AS (SELECT DISTINCT top.id, under.r FROM top JOIN under ON under.c = top.r CROSS JOIN size WHERE nth <= (2 * g + 2) // 3),
+        lists AS (SELECT id, r, row_number() OVER (PARTITION BY id ORDER BY d, r) AS nth FROM seen JOIN near USING (id, r)),
+        keys AS (SELECT id, 0 AS t, [r] AS codes, r AS bucket FROM lists WHERE nth <= {p["spill"]}),
+        asks AS (SELECT id, 0 AS t, r AS bucket FROM lists WHERE nth <= {probes} AND id % 100 = 0)"""
+
+
+@cache
+def asks_sql(name: str, probes: int) -> str:
+    """CTEs that end in keys(id, t, codes, bucket) of rows and asks(id, t, codes) of queries: the keys of least cost."""
+    p, prefix = FAMILIES[name], codes_sql(name)
+    if name == "voronoi_flat":
+        combos = " CROSS JOIN ".join(f"(SELECT p AS p{j}, g AS g{j}, id, t FROM gaps WHERE j = {j}) a{j}" if not j else f"(SELECT p AS p{j}, g AS g{j}, id AS id{j}, t AS t{j} FROM gaps WHERE j = {j}) a{j}" for j in range(p["k"]))
+        same = " AND ".join(f"id = id{j} AND t = t{j}" for j in range(1, p["k"]))
+        costs = f"gaps AS (SELECT n.id, t, j, p, d * d - min(d * d) OVER (PARTITION BY n.id, t, j) AS g FROM near n JOIN f USING (m) WHERE n.id % 100 = 0), costs AS (SELECT id, t, [{', '.join(f'p{j}' for j in range(p['k']))}] AS codes, {' + '.join(f'g{j}' for j in range(p['k']))} AS cost FROM {combos} WHERE {same})"
+    else:
+        dot = "list_inner_product(vec, v)"
+        at = f"spot AS (SELECT id, t, list({dot if name == 'cosine' else f'({dot} + b) / ' + str(p['r'])} ORDER BY j) AS y FROM e CROSS JOIN f WHERE id % 100 = 0 GROUP BY id, t)"
+        if name == "cosine":
+            code, cost, values = "CASE WHEN x // (1 << (j - 1)) % 2 = 1 THEN (y[j] <= 0)::INT ELSE (y[j] > 0)::INT END", "CASE WHEN x // (1 << (j - 1)) % 2 = 1 THEN y[j] * y[j] ELSE 0 END", 2 ** p["k"]
+        else:
+            powers = f"[{', '.join(str(3**j) for j in range(p['k']))}]"
+            step = f"(x // {powers}[j] % 3)"
+            code = f"(floor(y[j]) + CASE {step} WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END)::BIGINT"
+            cost, values = f"CASE {step} WHEN 1 THEN pow(y[j] - floor(y[j]), 2) WHEN 2 THEN pow(1 - (y[j] - floor(y[j])), 2) ELSE 0 END", 3 ** p["k"]
+        costs = f"{at}, costs AS (SELECT id, t, list_transform(range(1, {p['k'] + 1}), lambda j: {code}) AS codes, list_sum(list_transform(range(1, {p['k'] + 1}), lambda j: {cost})) AS cost FROM spot CROSS JOIN range({values}) r(x))"
+    return f"{prefix}, {costs}, asks AS (SELECT id, t, codes FROM costs QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY cost, codes) <= {probes})"
+
+
+def search_sql(name: str, probes: int | None = None) -> str:
+    """CTEs that end in own(query_id, id): the pairs that meet."""
+    probes = probes or FAMILIES[name]["probes"]
+    if name == "voronoi":
+        return f"{tree_sql(probes)}, own AS (SELECT q.id AS query_id, k.id FROM asks q JOIN keys k USING (t, bucket) GROUP BY q.id, k.id HAVING count(*) >= (SELECT votes FROM size))"
+    return f"{asks_sql(name, probes)}, own AS (SELECT DISTINCT q.id AS query_id, k.id FROM asks q JOIN keys k USING (t, codes))"
+
+
 METRIC_SQL = {name: NUMERIC_SQL["cosine" if name.startswith("cosine") else "euclidean"] for name in FAMILIES}
 _own = ", own AS (SELECT DISTINCT q.id AS query_id, k.id FROM keys q JOIN keys k ON q.t = k.t AND q.bucket = k.bucket WHERE q.id % 100 = 0)"
 
@@ -493,45 +546,57 @@ def index(spark: SparkSession, sf_dir: str, name: str) -> search.Index:
 
 
 def _searches(name: str) -> None:
-    prefix, far = codes_sql(name), f"{name}_long"
+    prefix, found, probes = codes_sql(name), search_sql(name), FAMILIES[name]["probes"]
     top = f" SELECT query_id, rank, id, distance FROM ranked WHERE rank <= {Q}"
+    nearest = found + _ranked_sql(name, "own") + top
 
     @query(f"lsh_{name}_index", prefix + " SELECT id, t AS table_id, array_to_string(codes, ',') AS codes, bucket::VARCHAR AS bucket FROM keys")
     def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return index(spark, sf_dir, name).hashes.select("id", "table_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.col("bucket").cast("string").alias("bucket"))
 
-    @query(f"lsh_{name}_candidates", prefix + _own + " SELECT * FROM own")
+    @query(f"lsh_{name}_candidates", found + " SELECT * FROM own")
     def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return index(spark, sf_dir, name).candidates(asked(points(spark, sf_dir)))
+        return index(spark, sf_dir, name).candidates(asked(points(spark, sf_dir)), probes)
 
-    @query(f"lsh_{name}_knn", prefix + _own + _ranked_sql(name, "own") + top)
+    @query(f"lsh_{name}_knn", nearest)
     def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q, probe=False))
+        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q, probe=False, probes=probes))
 
-    @query(f"lsh_{name}_multiprobe", codes_sql(far) + _probing + _ranked_sql(far, "probed") + top)
+    @query(f"lsh_{name}_multiprobe", search_sql(name, MORE[name]) + _ranked_sql(name, "own") + top)
     def multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(index(spark, sf_dir, far).query(asked(points(spark, sf_dir)), Q))
+        return rounded(index(spark, sf_dir, name).query(asked(points(spark, sf_dir)), Q, probe=False, probes=MORE[name]))
 
-    @query(f"lsh_{name}_by_id", codes_sql(far) + _probing + _ranked_sql(far, "probed") + top)
+    @query(f"lsh_{name}_by_id", nearest)
     def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(index(spark, sf_dir, far).query_by_id(asked(points(spark, sf_dir)).select("id"), Q))
+        return rounded(index(spark, sf_dir, name).query_by_id(asked(points(spark, sf_dir)).select("id"), Q, probe=False, probes=probes))
 
-    @query(f"lsh_{name}_stored", prefix + _own + _ranked_sql(name, "own") + top)
+    @query(f"lsh_{name}_stored", nearest)
     def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Written once, opened again by its folder, then asked."""
         x = points(spark, sf_dir)
         written = search.Index.write(family(name, x), x, f"{Workspace(spark, 'index').root}/{name}")
-        return rounded(search.Index.open(x, written.store.path).query(asked(x), Q, probe=False))
+        return rounded(search.Index.open(x, written.store.path).query(asked(x), Q, probe=False, probes=probes))
 
-    @query(f"lsh_{name}_wide", prefix + _own + _ranked_sql(name, "own") + " " + _wide)
+    @query(f"lsh_{name}_wide", found + _ranked_sql(name, "own") + " " + _wide)
     def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = asked(points(spark, sf_dir))
-        out = search.wide(index(spark, sf_dir, name).query(x, Q, probe=False), x, Q)
+        out = search.wide(index(spark, sf_dir, name).query(x, Q, probe=False, probes=probes), x, Q)
         return out.select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
 
 
+def _close(name: str) -> None:
+    """Searches in which queries that are short look at neighbouring codes."""
+    far = f"{name}_long"
+
+    @query(f"lsh_{name}_close", codes_sql(far) + _probing + _ranked_sql(far, "probed") + f" SELECT query_id, rank, id, distance FROM ranked WHERE rank <= {Q}")
+    def close(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(index(spark, sf_dir, far).query(asked(points(spark, sf_dir)), Q))
+
+
 for _name in ("voronoi", "cosine", "stable"):
     _searches(_name)
+    _close(_name)
+_searches("voronoi_flat")
 
 _exact = f"WITH {E}, truth AS (SELECT * FROM (SELECT a.id AS query_id, row_number() OVER (PARTITION BY a.id ORDER BY {NUMERIC_SQL['euclidean']}, b.id) AS rank, b.id, round({NUMERIC_SQL['euclidean']}, 6) AS distance FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q})"
 
@@ -542,60 +607,58 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.nearest_exact(asked(x), x, Q, dim=DIM))
 
 
-@query("recall", codes_sql("voronoi") + _own + f", truth AS (SELECT * FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {NUMERIC_SQL['euclidean']}, b.id) AS rank FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q}) SELECT count(*) AS n_true, count(own.id) AS n_found, round(count(own.id) / count(*), 6) AS recall FROM truth LEFT JOIN own USING (query_id, id)")
-def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = points(spark, sf_dir)
-    found = index(spark, sf_dir, "voronoi").query(asked(x), Q, probe=False)
-    return rounded(search.recall(found, search.nearest_exact(asked(x), x, Q, dim=DIM)), "recall")
-
-
-def _recalls(name: str) -> None:
+def _recalls(label: str, name: str, probes: int) -> None:
     truth = f"truth AS (SELECT * FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {METRIC_SQL[name]}, b.id) AS rank FROM e a CROSS JOIN e b WHERE a.id % 100 = 0) WHERE rank <= {Q})"
 
-    @query(f"recall_{name}", codes_sql(name) + _own + f", {truth} SELECT count(*) AS n_true, count(own.id) AS n_found, round(count(own.id) / count(*), 6) AS recall FROM truth LEFT JOIN own USING (query_id, id)")
+    @query(label, search_sql(name, probes) + f", {truth} SELECT count(*) AS n_true, count(own.id) AS n_found, round(count(own.id) / count(*), 6) AS recall FROM truth LEFT JOIN own USING (query_id, id)")
     def of_family(spark: SparkSession, sf_dir: str) -> DataFrame:
         x, ix = points(spark, sf_dir), index(spark, sf_dir, name)
-        found = ix.query(asked(x), Q, probe=False)
+        found = ix.query(asked(x), Q, probe=False, probes=probes)
         return rounded(search.recall(found, search.nearest_exact(asked(x), x, Q, metric=ix.family.metric, dim=DIM)), "recall")
 
 
-for _name in ("cosine", "stable"):
-    _recalls(_name)
+_recalls("recall", "voronoi", FAMILIES["voronoi"]["probes"])
+for _name in ("cosine", "stable", "voronoi_flat"):
+    _recalls(f"recall_{_name}", _name, FAMILIES[_name]["probes"])
+for _name in ("voronoi", "cosine", "stable"):
+    _recalls(f"recall_{_name}_multiprobe", _name, MORE[_name])
+
+SHARED = ("voronoi", "cosine", "stable", "voronoi_flat")
 
 
 @query(
     "lsh_candidate_share",
-    " UNION ALL ".join(f"SELECT * FROM ({codes_sql(name)}{_own} SELECT '{name}' AS family, count(*) AS n, round(count(*) / (SELECT count(*) * count(*) FILTER (WHERE id % 100 = 0) FROM e), 6) AS share FROM own)" for name in ("voronoi", "cosine", "stable")),
+    " UNION ALL ".join(f"SELECT * FROM ({search_sql(name)} SELECT '{name}' AS family, count(*) AS n, round(count(*) / (SELECT count(*) * count(*) FILTER (WHERE id % 100 = 0) FROM e), 6) AS share FROM own)" for name in SHARED),
 )
 def lsh_candidate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of all (query, row) pairs each index looks at."""
     x = points(spark, sf_dir)
     pairs_ = x.count() * asked(x).count()
-    found = [index(spark, sf_dir, name).candidates(asked(x)).agg(F.lit(name).alias("family"), F.count("*").alias("n")) for name in ("voronoi", "cosine", "stable")]
+    found = [index(spark, sf_dir, name).candidates(asked(x), FAMILIES[name]["probes"]).agg(F.lit(name).alias("family"), F.count("*").alias("n")) for name in SHARED]
     return reduce(DataFrame.union, found).select("family", "n", F.round(F.col("n") / pairs_, 6).alias("share"))
 
 
 # bucket store
 
 
-@query("store_keys", codes_sql("voronoi") + " SELECT DISTINCT t AS table_id, bucket FROM keys")
+@query("store_keys", codes_sql("voronoi_flat") + " SELECT DISTINCT t AS table_id, bucket FROM keys")
 def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir, "voronoi").store.keys()
+    return index(spark, sf_dir, "voronoi_flat").store.keys()
 
 
-@query("store_bucket", codes_sql("voronoi") + " SELECT id FROM keys WHERE t = 0 AND bucket = 5")
+@query("store_bucket", codes_sql("voronoi_flat") + " SELECT id FROM keys WHERE t = 0 AND bucket = 5")
 def store_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir, "voronoi").store.bucket(0, 5)
+    return index(spark, sf_dir, "voronoi_flat").store.bucket(0, 5)
 
 
-@query("store_clear", codes_sql("voronoi") + " SELECT t AS table_id, count(*) AS n FROM keys WHERE t <> 1 GROUP BY t")
+@query("store_clear", codes_sql("voronoi_flat") + " SELECT t AS table_id, count(*) AS n FROM keys WHERE t <> 1 GROUP BY t")
 def store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir, "voronoi").store.clear(1).rows().groupBy("table_id").agg(F.count("*").alias("n"))
+    return index(spark, sf_dir, "voronoi_flat").store.clear(1).rows().groupBy("table_id").agg(F.count("*").alias("n"))
 
 
-@query("store_counts", codes_sql("voronoi") + _own + " SELECT query_id, count(*) AS n FROM own GROUP BY query_id")
+@query("store_counts", codes_sql("voronoi_flat") + _own + " SELECT query_id, count(*) AS n FROM own GROUP BY query_id")
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = index(spark, sf_dir, "voronoi")
+    ix = index(spark, sf_dir, "voronoi_flat")
     return ix.store.candidate_counts(ix.hash_queries(asked(points(spark, sf_dir))))
 
 

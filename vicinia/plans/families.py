@@ -3,6 +3,10 @@
 A family is drawn once on the driver from a seed (a few medoids, signs or projections)
 and then hashes any table of vectors in Arrow batches, without a shuffle. Codes become
 one key a table: bit-packed in a BIGINT, or in decimal places where codes are unbounded.
+
+Probing is directed by the query: each code has alternatives with a cost (how much nearer
+its own medoid is than another, how far a projection lies from its boundary), the cost of a
+key is the sum over its codes, and a query asks for the keys of least cost in each table.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from vicinia.operators.blocks import cdist
 
 #: Distances of a block of rows to chosen medoids that are held at once.
 CELLS = 1 << 22
+#: In place of a code that a row doesn't have.
+NONE = -(2**31)
 
 
 class Family:
@@ -40,9 +46,41 @@ class Family:
         """Codes of a block of rows, shape (rows, L, k)."""
         raise NotImplementedError
 
+    def alternatives(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values that each code may take instead and their costs, the own value with cost 0 first: two arrays (rows, L, k, values)."""
+        raise NotImplementedError
+
     def key(self, codes: Column) -> Column:
         raise NotImplementedError
 
+    #: Entries that a row and a query must share to meet.
+    votes = 1
+
+    def entries(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tables (entries,) and codes (rows, entries, k) under which rows are found."""
+        return np.arange(self.L), self.codes(block)
+
+    def probed_entries(self, block: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``entries``, of queries: the ``probes`` keys of least cost in each table."""
+        if probes == 1:
+            return self.entries(block)
+        values, costs = self.alternatives(block)
+        n, L, k, width = values.shape
+        codes, cost = np.zeros((n, L, 1, 0), np.int64), np.zeros((n, L, 1))
+        for j in range(k):  # the least sums so far hold the beginnings of all least sums
+            total = (cost[..., None] + costs[:, :, j, None]).reshape(n, L, -1)
+            order = np.argsort(total, axis=-1, kind="stable")[..., :probes]
+            cost = np.take_along_axis(total, order, -1)
+            codes = np.concatenate((np.take_along_axis(codes, (order // width)[..., None], 2), np.take_along_axis(values[:, :, j], order % width, -1)[..., None]), axis=-1)
+        return np.repeat(np.arange(L), codes.shape[2]), codes.reshape(n, -1, k)
+
+    def arrays(self, b: pa.RecordBatch) -> np.ndarray:
+        """The vectors of a batch (id, vec)."""
+        block = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        if block.shape[1] != self.dim:
+            raise ValueError(f"vectors of {self.dim} dimensions are indexed, not of {block.shape[1]}")
+        return block
+
     @property
     def dim(self) -> int:
         raise NotImplementedError
@@ -57,10 +95,7 @@ class Family:
         for b in batches:
             if not b.num_rows:
                 continue
-            block = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            if block.shape[1] != self.dim:
-                raise ValueError(f"the index is over {self.dim} dimensions; a vector of {block.shape[1]} has {'too many' if block.shape[1] > self.dim else 'missing ones'}")
-            yield b, self.codes(block).astype(np.int32)
+            yield b, self.codes(self.arrays(b)).astype(np.int32)
 
     def tagged(self, points: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
         """A row for each point: id, vec and its ``codes``, an array of k codes for each table."""
@@ -74,14 +109,17 @@ class Family:
         rows = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("codes", T.ArrayType(T.ArrayType(T.IntegerType())))]))
 
-    def hashed(self, points: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-        """A row for each point and table: id, table_id, codes, bucket."""
+    def hashed(self, points: DataFrame, id_col: str = "id", vec_col: str = "vec", probes: int | None = None) -> DataFrame:
+        """A row for each point and entry (``probes``: for each key that a query asks for): id, table_id, codes, bucket."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, codes in self._blocks(batches):
-                rows = np.repeat(np.arange(b.num_rows), self.L)
-                lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, self.k, dtype=np.int32), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.tile(np.arange(self.L, dtype=np.int32), b.num_rows)), lists], ["id", "table_id", "codes"])
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                tables, codes = self.entries(self.arrays(b)) if probes is None else self.probed_entries(self.arrays(b), probes)
+                known = np.flatnonzero(codes[..., 0].ravel() != NONE)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(known) * codes.shape[2] + 1, codes.shape[2], dtype=np.int32), pa.array(codes.reshape(-1, codes.shape[2])[known].astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(known // len(tables))), pa.array(tables[known % len(tables)].astype(np.int32)), lists], ["id", "table_id", "codes"])
 
         rows = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("table_id", T.IntegerType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
@@ -96,7 +134,7 @@ class Family:
     @staticmethod
     def from_bytes(data: bytes) -> Family:
         with np.load(io.BytesIO(data), allow_pickle=False) as held:
-            kind = {c.__name__: c for c in (Voronoi, Cosine, Stable)}[str(held["kind"])]
+            kind = {c.__name__: c for c in Family.__subclasses__()}[str(held["kind"])]
             plain = {k: v if v.ndim else v.item() for k, v in held.items() if k not in ("kind", "parameters")}
             return kind(**plain, parameters=json.loads(str(held["parameters"])))
 
@@ -152,13 +190,23 @@ class Voronoi(Family):
         parts = [self._nearest(block[at : at + rows]) for at in range(0, len(block), rows)]
         return np.concatenate(parts) if parts else np.zeros((0, self.L, self.k), dtype=np.int64)
 
+    def alternatives(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self._far(block)
+        order = np.argsort(d, axis=-1, kind="stable")
+        d = np.take_along_axis(d, order, -1)
+        return order, d - d[..., :1]
+
     def _nearest(self, block: np.ndarray) -> np.ndarray:
+        return self._far(block).argmin(axis=-1)
+
+    def _far(self, block: np.ndarray) -> np.ndarray:
+        """What orders the chosen medoids of each row by distance: (rows, L, k, w)."""
         if self.metric in ("euclidean", "sqeuclidean"):
             # of |x - m|^2 what depends on m, as one product; equal medoids are one column, so their ties stay exact
             d = self.squares - 2 * block @ self.columns.T
         else:
             d = cdist(self.metric, block, self.columns, **self.parameters)
-        return np.where(np.isnan(d), np.inf, d)[:, self.places].argmin(axis=-1)
+        return np.where(np.isnan(d), np.inf, d)[:, self.places]
 
     def key(self, codes: Column) -> Column:
         return encoding.encode_by_bits(codes, self.k, self.bits)
@@ -193,6 +241,11 @@ class Cosine(Family):
     def codes(self, block: np.ndarray) -> np.ndarray:
         return (block @ self.signs.reshape(-1, self.dim).T > 0).reshape(-1, self.L, self.k)
 
+    def alternatives(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (block @ self.signs.reshape(-1, self.dim).T).reshape(-1, self.L, self.k)
+        own = (at > 0).astype(np.int64)
+        return np.stack((own, 1 - own), axis=-1), np.stack((np.zeros_like(at), at**2), axis=-1)
+
     def key(self, codes: Column) -> Column:
         return encoding.encode_by_bits(codes, self.k, 1)
 
@@ -246,8 +299,16 @@ class Stable(Family):
         return self.projections.shape[2]
 
     def codes(self, block: np.ndarray) -> np.ndarray:
-        at = (block @ self.projections.reshape(-1, self.dim).T).reshape(-1, self.L, self.k)
-        return np.floor((at + self.shifts) / self.r)
+        return np.floor(self._at(block))
+
+    def _at(self, block: np.ndarray) -> np.ndarray:
+        return ((block @ self.projections.reshape(-1, self.dim).T).reshape(-1, self.L, self.k) + self.shifts) / self.r
+
+    def alternatives(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._at(block)
+        own = np.floor(at).astype(np.int64)
+        rest = at - own
+        return np.stack((own, own - 1, own + 1), axis=-1), np.stack((np.zeros_like(at), rest**2, (1 - rest) ** 2), axis=-1)
 
     def key(self, codes: Column) -> Column:
         if self.k * self.width <= 38:

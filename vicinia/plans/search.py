@@ -1,13 +1,13 @@
-"""Approximate and exact q-nearest-neighbour queries as joins.
+"""Approximate and exact q-nearest-neighbour queries.
 
-hash -> equi-join on (table, codes) -> candidates -> (probing for queries with too few) ->
-exact distance -> the q nearest of each query.
+hash -> candidates that share ``votes`` keys -> exact distance -> the q nearest of each query.
+A query asks for its own keys, or (``probes``) for the keys of least cost in each table.
 
-A small set of queries (``BROADCAST_BYTES`` at most, counted first) is hashed once and
-broadcast. Each point then keeps its vector and all its codes in one row, so a pair that
-meets in several tables counts in the first of them alone, and nothing is shuffled but the
-q best of each query and partition. A larger set goes through the bucket store: ids are
-joined by bucket, made distinct, and vectors fetched after that.
+A small set of queries (``BROADCAST_BYTES`` at most with all its keys and vectors, which is
+what each task gets) is looked up in one scan of the points: a batch's rows are hashed, met
+with the queries that ask for their keys, and only the q best of each query and batch are
+shuffled. A larger set goes through the bucket store: ids are joined by bucket and counted,
+and vectors fetched after that.
 """
 
 from __future__ import annotations
@@ -19,13 +19,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinia.operators import metrics
-from vicinia.plans.families import Family
+from vicinia.operators.blocks import cdist
+from vicinia.plans import tree  # noqa: F401 (a stored index may hold one)
+from vicinia.plans.families import NONE, Family
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.vectors import by_id
+from vicinia.sources.workspace import Workspace
 
 BROADCAST_BYTES = 32 << 20
+#: (row, query) pairs that a task weighs at once.
+PAIRS = 1 << 21
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Neighbouring codes that are listed at most for a query and table; beyond them codes are joined by the places that agree.
 LISTED = 4096
 
@@ -36,7 +43,6 @@ class Index:
     def __init__(self, family: Family, points: DataFrame, store: BucketStore | None = None, id_col: str = "id", vec_col: str = "vec", stored: bool = False):
         self.family = family
         self.points = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-        self.tagged = family.tagged(self.points)
         self.hashes = family.hashed(self.points)
         self.store = store or BucketStore(points.sparkSession)
         self.stored = stored
@@ -64,61 +70,102 @@ class Index:
         out.__dict__ = self.__dict__ | {"store": self.store.copy()}
         return out
 
-    def hash_queries(self, queries: DataFrame) -> DataFrame:
-        return self.family.hashed(queries).withColumnRenamed("id", "query_id")
-
-    def _few(self, queries: DataFrame) -> bool:
-        """Whether the hashed queries fit a broadcast; one count."""
-        return queries.select("id").count() * (8 * self.family.dim + (4 * self.family.k + 32) * self.family.L) <= BROADCAST_BYTES
-
-    def _asked(self, queries: DataFrame) -> DataFrame:
-        rows = self.family.tagged(queries.select("id", F.col("vec").cast("array<double>").alias("vec")))
-        return rows.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("codes").alias("query_codes"))
-
-    def _met(self, asked: DataFrame) -> DataFrame:
-        """(query_id, query_vec, id, vec) of each pair that shares a bucket, once: in its first table."""
-        each = asked.select("*", F.posexplode("query_codes").alias("table_id", "code"))
-        rows = self.tagged.select("id", "vec", "codes", F.posexplode("codes").alias("table_id", "code"))
-        met = rows.join(F.broadcast(each), ["table_id", "code"])
-        first = F.array_position(F.zip_with("codes", "query_codes", lambda a, b: a == b), F.lit(True))
-        return met.where(first == F.col("table_id") + 1).select("query_id", "query_vec", "id", "vec")
-
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """Distinct (query_id, id) of the queries' own buckets."""
-        if not self.stored and self._few(queries):
-            return self._met(self._asked(queries)).select("query_id", "id")
-        hashes = self.hash_queries(queries).select("query_id", "table_id", "bucket")
-        return self.store.candidates(F.broadcast(hashes) if self._few(queries) else hashes)
+    def hash_queries(self, queries: DataFrame, probes: int = 1) -> DataFrame:
+        return self.family.hashed(queries, probes=probes).withColumnRenamed("id", "query_id")
+
+    def _few(self, queries: DataFrame, probes: int = 1) -> bool:
+        """Whether the queries' vectors and keys fit what each task gets; one count."""
+        each = self.family.probed_entries(np.zeros((1, self.family.dim)), probes)[1].shape[1]
+        return queries.select("id").count() * (8 * self.family.dim + 24 * each) <= BROADCAST_BYTES
+
+    def _scan(self, queries: DataFrame, probes: int, q: int | None) -> DataFrame:
+        """One scan of the points: (query_id, id) of all pairs that meet, or (query_id, id, distance) of each batch's q best pairs a query."""
+        asked = queries.select("id", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()  # bounded by ``_few``
+        family, n = self.family, asked.num_rows
+        kind = self.points.schema["id"].dataType
+        schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", kind), *([] if q is None else [T.StructField("distance", T.DoubleType())])])
+        if not n:
+            return self.points.sparkSession.createDataFrame([], schema)
+        vec = family.arrays(asked.to_batches()[0])
+        tables, codes = family.probed_entries(vec, probes)
+        known = codes[..., 0].ravel() != NONE
+        wanted, of = _keys(tables, codes).ravel()[known], np.repeat(np.arange(n), len(tables))[known]
+        order = np.argsort(wanted, kind="stable")
+        keys, start = np.unique(wanted[order], return_index=True)
+        held = self.points.sparkSession.sparkContext.broadcast((vec, asked["id"].combine_chunks(), keys, np.append(start, len(order)), of[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vec, ids, keys, start, of = held.value
+            step = max(1, PAIRS // len(vec))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    block = family.arrays(b)
+                    tables, codes = family.entries(block)
+                    mine = np.where(codes[..., 0] == NONE, np.uint64(0), _keys(tables, codes)).ravel()
+                    place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    hit = np.flatnonzero((keys[place] == mine) & (mine != 0))
+                    count = start[place[hit] + 1] - start[place[hit]]
+                    first = np.repeat(start[place[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    met, votes = np.unique(of[first] * len(block) + np.repeat(hit // len(tables), count), return_counts=True)
+                    met = met[votes >= family.votes]
+                    query, row = met // len(block), met % len(block)
+                    if q is None:
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), b.column(0).take(pa.array(row))], ["query_id", "id"])
+                        continue
+                    cuts = np.flatnonzero(np.diff(query, prepend=-1))
+                    far = np.concatenate([cdist(family.metric, vec[k, None], block[row[x]], **family.parameters)[0] for k, x in zip(query[cuts], np.split(np.arange(len(row)), cuts[1:]), strict=True)]) if len(cuts) else np.empty(0)
+                    rank = pa.table({"query": query, "far": pa.array(far), "id": b.column(0).take(pa.array(row))}).sort_by([("query", "ascending"), ("far", "ascending"), ("id", "ascending")])  # NaN last
+                    own = rank["query"].to_numpy()
+                    best = np.arange(len(own)) - np.searchsorted(own, own) < q
+                    rank = rank.filter(pa.array(best))
+                    yield from pa.table({"query_id": ids.take(rank["query"].combine_chunks()), "id": rank["id"], "distance": rank["far"]}).combine_chunks().to_batches()
+
+        return self.points.mapInArrow(run, schema)
+
+    def candidates(self, queries: DataFrame, probes: int = 1) -> DataFrame:
+        """Distinct (query_id, id) that share as many keys as the family's votes."""
+        if not self.stored and self._few(queries, probes):
+            return self._scan(queries, probes, None)
+        hashes = self.hash_queries(queries, probes).select("query_id", "table_id", "bucket")
+        if self.family.votes == 1:
+            return self.store.candidates(hashes)
+        met = hashes.join(self.store.rows(), ["table_id", "bucket"]).groupBy("query_id", "id").count()
+        return met.where(F.col("count") >= self.family.votes).select("query_id", "id")
 
     def probed(self, queries: DataFrame, q: int, max_distance: int = 2, max_size: int | None = None) -> DataFrame:
         """Candidates of the own buckets and, for queries with fewer than ``max_size`` (q) ids so far, of buckets one code distance further, until there are that many or ``max_distance`` is done.
 
         A distance is taken whole. At distance k no code is left to agree on: that would
-        be a scan of all buckets, and is left to ``nearest_exact``.
+        be a scan of all buckets, and is left to ``nearest_exact``. Codes and what was found
+        are written between distances, so the points are hashed once.
         """
-        few, own = self._few(queries), self.candidates(queries)
-        asked = self._asked(queries).select("query_id", "query_codes")
-        least, found = max_size or q, own
-        for d in range(1, min(max_distance, self.family.k - 1) + 1):
-            counts = found.groupBy("query_id").count()
-            short = asked.join(F.broadcast(counts) if few else counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).select("query_id", "query_codes")
-            found = found.union(self._at(short, d, few)).distinct()
+        steps = min(max_distance, self.family.k - 1)
+        found = self.candidates(queries)
+        if steps < 1:
+            return found
+        ws = Workspace(self.points.sparkSession, "probing")
+        codes = ws.save(self.family.tagged(self.points).select("id", "codes"), "codes")
+        asked = ws.save(self.family.tagged(queries.select("id", F.col("vec").cast("array<double>").alias("vec"))).select(F.col("id").alias("query_id"), F.col("codes").alias("query_codes")), "asked")
+        least, found = max_size or q, ws.save(found, "found-0")
+        for d in range(1, steps + 1):
+            short = asked.join(found.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < least).select("query_id", "query_codes")
+            found = ws.save(found.union(self._at(codes, short, d)).distinct(), f"found-{d}")
         return found
 
-    def _at(self, short: DataFrame, d: int, few: bool) -> DataFrame:
+    def _at(self, tagged: DataFrame, short: DataFrame, d: int) -> DataFrame:
         """(query_id, id) of the points that differ from a query in d codes of a table."""
         k, values = self.family.k, self.family.values
         each = short.select("query_id", F.posexplode("query_codes").alias("table_id", "code"))
-        rows = self.tagged.select("id", F.posexplode("codes").alias("table_id", "code"))
+        rows = tagged.select("id", F.posexplode("codes").alias("table_id", "code"))
         if values is not None and (n := len(list(combinations(range(k), d)))) * (values - 1) ** d <= LISTED:
             each = each.mapInArrow(_neighbours(k, d, values), each.schema)
-            small = few and n * (values - 1) ** d <= 64
-            return rows.join(F.broadcast(each) if small else each, ["table_id", "code"]).select("query_id", "id")
+            return rows.join(each, ["table_id", "code"]).select("query_id", "id")
         rest = [list(c) for c in combinations(range(k), k - d)]
         left = each.select("query_id", "table_id", _agreeing(F.col("code"), rest), F.col("code").alias("query_code"))
         right = rows.select("id", "table_id", _agreeing(F.col("code"), rest), "code")
         differ = F.size(F.filter(F.zip_with("query_code", "code", lambda a, b: a != b), lambda x: x))
-        return right.join(F.broadcast(left) if few else left, ["table_id", "agree"]).where(differ == d).select("query_id", "id")
+        return right.join(left, ["table_id", "agree"]).where(differ == d).select("query_id", "id")
 
     def distances(self, candidates: DataFrame, queries: DataFrame) -> DataFrame:
         """Exact distance of the candidate pairs: query_id, id, distance."""
@@ -128,17 +175,30 @@ class Index:
     def _distance(self, rows: DataFrame) -> DataFrame:
         return rows.select("query_id", "id", metrics.distance(self.family.metric, F.col("query_vec"), F.col("vec"), self.family.dim, **self.family.parameters).alias("distance"))
 
-    def query(self, queries: DataFrame, q: int = 1, probe: bool = True) -> DataFrame:
-        """The q nearest candidates of each query (id, vec): query_id, rank (from 1), id, distance; fewer rows where fewer were found."""
-        if probe:
+    def query(self, queries: DataFrame, q: int = 1, probe: bool = True, probes: int = 1) -> DataFrame:
+        """The q nearest candidates of each query (id, vec): query_id, rank (from 1), id, distance; fewer rows where fewer were found.
+
+        ``probes``: keys that a query asks for in each table; ``probe``: whether queries that
+        their own keys leave short look further, as ``probed`` does.
+        """
+        if probe and probes == 1 and self.family.k > 1:
             return top(self.distances(self.probed(queries, q), queries), q)
-        if not self.stored and self._few(queries):
-            return top(self._distance(self._met(self._asked(queries))), q)
-        return top(self.distances(self.candidates(queries), queries), q)
+        if not self.stored and self._few(queries, probes):
+            return top(self._scan(queries, probes, q), q)
+        return top(self.distances(self.candidates(queries, probes), queries), q)
 
-    def query_by_id(self, ids: DataFrame | list, q: int = 1, probe: bool = True) -> DataFrame:
+    def query_by_id(self, ids: DataFrame | list, q: int = 1, probe: bool = True, probes: int = 1) -> DataFrame:
         """Queries that are rows of the index, by id; the ids stay."""
-        return self.query(by_id(self.points, ids), q, probe)
+        return self.query(by_id(self.points, ids), q, probe, probes)
+
+
+def _keys(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit key, never 0, of each entry's table and codes."""
+    out = np.broadcast_to((tables.astype(np.uint64) + np.uint64(1)) * FACTOR, codes.shape[:2])
+    for j in range(codes.shape[2]):
+        out = (out ^ codes[..., j].astype(np.int64).view(np.uint64)) * FACTOR
+        out = out ^ out >> np.uint64(29)
+    return out | np.uint64(1)
 
 
 def _neighbours(k: int, d: int, values: int):
