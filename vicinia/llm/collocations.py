@@ -405,6 +405,7 @@ def collocations(df: DataFrame, least: int = 30, percent: int = 80, most: int =
     first = ws.save(_first_scan(docs, least, width), "first")
     words = ws.save(first.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     pairs = _heavy(ws, first.where("block is not null").select("block", "offsets", "counts"), least, 2 * width)
+    ws.drop("first")
     held = context.broadcast(pairs)
     fragments = ws.save(_fragments(docs, held, width), "fragments")
     narrow = max(SPAN, width // 2)  # each order of longer phrases has far fewer than all pairs
@@ -414,6 +415,7 @@ def collocations(df: DataFrame, least: int = 30, percent: int = 80, most: int =
     shards = max(partitions(ws.spark), -(-guess // PATTERNS))
     routed = ws.save(_routed(fragments, held_longer, narrow, shards), "routed")
     held.destroy()
+    ws.drop("fragments")
     phrases = ws.save(_scanned(ws, routed).where(F.col("a") >= least), "phrases")
     held_longer.destroy()
     frequent = words.where(F.col("n") >= least)
