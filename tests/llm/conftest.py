@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Extra columns whose names the operators use inside.
-CLASHES = ["id", "row", "fp", "place", "pos", "key", "bucket", "digest", "size", "shard", "label", "order", "gone", "begin", "h"]
+CLASHES = ["id", "row", "fp", "place", "pos", "key", "bucket", "digest", "size", "shard", "label", "order", "gone", "begin", "h", "_gone_id", "own_id", "spans", "digest_", "node", "keys", "n", "grams"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHES]

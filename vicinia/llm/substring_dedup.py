@@ -108,15 +108,16 @@ def dedup(df: DataFrame, least: int = 8, text_col: str = "text", id_col: str = "
     """The table with repeated units cut out of its texts, and ``removed_spans`` in code points of the original text."""
     ws = Workspace(df.sparkSession, "substrings")
     gone = ws.save(repeated_units(ws, df, least, text_col, id_col), "gone")
-    lists = gone.groupBy(F.col("id").alias("_gone_id")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("removed_spans"))  # bounded by the document
+    lists = gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))  # bounded by the document
     df = df.drop("removed_spans")
-    names = df.columns
-    rows = df.join(lists.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
+    # the table's own columns travel in one, so their names meet none of these
+    own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
+    rows = own.join(lists.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t is None or not s else cut(t, [(x["begin"], x["end"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, b.schema.field(at).type), *b.columns[at + 1 :]], b.schema.names)
+            texts = [t if t is None or not s else cut(t, [(x["begin"], x["end"]) for x in s]) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, b.schema.field(1).type), b.column(2)], b.schema.names)
 
-    at = names.index(text_col)
-    return rows.mapInArrow(run, rows.schema)
+    done = rows.mapInArrow(run, rows.schema)
+    return done.select(*[F.col("text").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in df.columns], F.col("spans").alias("removed_spans"))
