@@ -79,12 +79,12 @@ def line_sample(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("_r", key).orderBy("_r").limit(k).drop("_r")
 
 
-def medoids(df: DataFrame, m: int, tables: int, seed: int = 0, id_col: str = "id", vec_col: str = "vec") -> tuple[list, np.ndarray, np.ndarray]:
+def medoids(df: DataFrame, m: int, tables: int, seed: int = 0, id_col: str = "id", vec_col: str = "vec", order: Column | None = None) -> tuple[list, np.ndarray, np.ndarray]:
     """m rows for each table: their ids, the matrix of the distinct ones, and for each draw its row there.
 
     m * tables rows come to the driver.
     """
-    drawn = sample_rows(df, tables, m, seed, id_col).join(df.select(id_col, vec_col), id_col).select("sample", F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).toArrow().sort_by([("sample", "ascending"), ("id", "ascending")])
+    drawn = sample_rows(df, tables, m, seed, id_col, order).join(df.select(id_col, vec_col), id_col).select("sample", F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).toArrow().sort_by([("sample", "ascending"), ("id", "ascending")])
     ids = drawn["id"].to_pylist()
     unique = sorted(set(ids))
     place = {x: k for k, x in enumerate(unique)}

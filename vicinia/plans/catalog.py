@@ -707,6 +707,39 @@ def wrap_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
 
 
+@query("wrap_rows", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, concat_ws(',', s_nationkey, s_suppkey) AS vec FROM supplier WHERE s_suppkey < 200")
+def wrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array of the first 200 suppliers, the most that this query takes to the driver, wrapped again."""
+    rows = table(spark, sf_dir, "supplier").where("s_suppkey < 200").orderBy("s_suppkey").select("s_nationkey", "s_suppkey").toArrow()
+    x = vectors.wrap(spark, np.column_stack([rows["s_nationkey"].to_numpy(), rows["s_suppkey"].to_numpy()]).astype(float))
+    return x.select("id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
+
+
+@query("scan_delimited", "SELECT 'c' || c_custkey AS id, concat_ws(',', c_custkey, c_nationkey) AS vec FROM customer")
+def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tab-separated text with row names, written and scanned."""
+    path = f"{Workspace(spark, 'delimited').root}/customer"
+    table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")), "c_custkey", "c_nationkey").write.csv(path, sep="\t")
+    x = vectors.delimited(spark, path, 2, rownames=True)
+    return x.select("id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
+
+
+@query("scan_blocks", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS bounded, greatest(3, (count(*) + 99) // 100) AS blocks FROM embeddings")
+def scan_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows in blocks of about 100: all of them once, none in a block of over twice that."""
+    sizes = vectors.blocks(points(spark, sf_dir), 3, 100).groupBy(F.spark_partition_id().alias("block")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return sizes.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), (F.max("n") <= 200).alias("bounded"), F.count("*").alias("blocks"))
+
+
+@query("sample_medoids", f"WITH {E}, drawn AS (SELECT sample, id, vec, row_number() OVER (PARTITION BY sample ORDER BY md5(id || ':' || sample || ':9')) AS r FROM e CROSS JOIN (SELECT unnest(range(3)) AS sample)) SELECT sample, id, round(list_sum(vec), 6) + 0.0 AS total FROM drawn WHERE r <= 12")
+def sample_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve medoids for each of three tables: ids, their distinct vectors, and each draw's place among these."""
+    order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("sample").cast("string"), F.lit("9")))
+    ids, distinct, drawn = sampling.medoids(points(spark, sf_dir), 12, 3, order=order)
+    total = distinct[drawn].sum(axis=2).round(6) + 0.0
+    return spark.createDataFrame([(t, ids[12 * t + k], float(total[t, k])) for t in range(3) for k in range(12)], "sample long, id long, total double")
+
+
 @query("wrap_frame", "SELECT count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) AS total FROM embeddings")
 def wrap_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.wrap(spark, points(spark, sf_dir)).agg(F.count("*").alias("n"), F.round(F.sum(F.col("vec")[0]), 6).alias("total"))
