@@ -85,38 +85,36 @@ def contamination(text, item):
     return best
 
 
-def units(text, least=8):
-    """(begin, end, key) of the lines, of sentences of ``least`` words or more in lines of several, and of runs of lines."""
-    out, at, run = [], 0, []
-
-    def close():
-        spoken = [x for x in run if words(text[x[0] : x[1]])]
-        if len(spoken) > 1:
-            out.append((spoken[0][0], spoken[-1][1], tuple(w for a, b in spoken for w in words(text[a:b]))))
-        run.clear()
-
-    for line in (text or "").split("\n"):
-        end = at + len(line)
-        if not line.strip():
-            close()
-        else:
-            run.append((at, end))
-            own = tuple(words(line))
-            out.append((at, end, own or ("", line.strip().lower())))
-            sentences = re.findall(r"[^.!?]+[.!?]*|[.!?]+", line)
-            place, spoken = at, []
-            for s in sentences:
-                if s.strip(".!? \t\r\f\v"):
-                    spoken.append((place + len(s) - len(s.lstrip()), place + len(s), tuple(words(s))))
-                place += len(s)
-            if len(spoken) > 1:
-                out += [x for x in spoken if len(x[2]) >= least and x[2] != own]
-        at = end + 1
-    close()
-    return out
-
-
-def repeated_units(rows, least=8):
+def units(text, least=16):
+    """(begin, end, key) of each long enough line and paragraph, and of each shortest long enough run of sentences that begins or ends at one."""
+    parts, at, blank = [], 0, True
+    for n, line in enumerate((text or "").split("\n")):
+        spoken, place = [], at
+        for s in re.findall(r"[^.!?]+[.!?]*|[.!?]+", line):
+            if words(s):
+                spoken.append([place + len(s) - len(s.lstrip()), place + len(s), words(s), n, False])
+            place += len(s)
+        blank |= not line.strip()
+        if spoken:
+            spoken[0][0], spoken[-1][1], spoken[0][4] = at, at + len(line), blank
+            blank = False
+        parts += spoken
+        at += len(line) + 1
+    size = lambda i, j: sum(len(x[2]) for x in parts[i : j + 1])
+    found = set()
+    for i in range(len(parts)):
+        for j in range(i, len(parts)):
+            if size(i, j) >= least:
+                opens = lambda k, by: k in (0, len(parts)) or by(k)
+                line = lambda k: opens(k, lambda k: parts[k][3] != parts[k - 1][3])
+                paragraph = lambda k: opens(k, lambda k: parts[k][4])
+                runs = size(i, j - 1) < least or size(i + 1, j) < least
+                if runs or line(i) and line(j + 1) and parts[i][3] == parts[j][3] or paragraph(i) and paragraph(j + 1) and not any(parts[k][4] for k in range(i + 1, j + 1)):
+                    found.add((parts[i][0], parts[j][1], tuple(w for x in parts[i : j + 1] for w in x[2])))
+    return sorted(found)
+
+
+def repeated_units(rows, least=16):
     """{(id, begin, end)} of the units that stand at an earlier (id, begin)."""
     first = {}
     rank = lambda k: (k is not None, k or 0)

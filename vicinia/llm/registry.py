@@ -50,7 +50,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinia.llm.substring_dedup import removed
 
-    out = removed(table(spark, sf_dir, "documents"), least=8)
+    out = removed(table(spark, sf_dir, "documents"), least=16)
     return out.select(F.col("id").alias("doc_id"), "level", "begin", "end", F.col("kept_id").alias("kept_doc_id"), "kept_begin")
 
 
