@@ -40,3 +40,12 @@ edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(x, y) AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
 FROM documents LEFT JOIN sized USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x) USING (doc_id)"""
+
+OP5 = r"""
+WITH line AS (SELECT doc_id, unnest(range(len(lines))) AS place, unnest(lines) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+pair AS (SELECT doc_id, place AS chunk, lead(place) OVER w - place + 1 AS n_lines, x || chr(10) || lead(x) OVER w AS part
+         FROM line WHERE trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+ranked AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(chunk) OVER w AS kept_chunk
+           FROM pair WHERE part IS NOT NULL WINDOW w AS (PARTITION BY part ORDER BY doc_id, chunk))
+SELECT doc_id, chunk::INTEGER AS chunk, n_lines::INTEGER AS n_lines, length(part)::INTEGER AS n_chars, kept_doc_id, kept_chunk::INTEGER AS kept_chunk
+FROM ranked WHERE doc_id <> kept_doc_id OR chunk <> kept_chunk"""

@@ -108,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from vicinia.llm import oracles
 
-    return {"op11_superminhash": oracles.OP11, "op12_collocations": oracles.OP12, "op13_resampling": oracles.OP13}
+    return {"op5_line_dedup": oracles.OP5, "op11_superminhash": oracles.OP11, "op12_collocations": oracles.OP12, "op13_resampling": oracles.OP13}
