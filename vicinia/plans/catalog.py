@@ -20,7 +20,7 @@ from vicinia.operators.alignment import string_distance
 from vicinia.plans import search
 from vicinia.plans.families import Cosine, Family, Stable, Voronoi
 from vicinia.plans.tree import MedoidTree
-from vicinia.sources import vectors
+from vicinia.sources import arrays, vectors
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.workspace import Workspace
 
@@ -724,6 +724,16 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
 
 
+@query("scan_npy", f"WITH {E} SELECT row_number() OVER (ORDER BY id) - 1 AS id, id AS vec_id, round(list_sum(vec), 6) + 0.0 AS total FROM e")
+def scan_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors led by their ids, written as parts of one array in order of these and read back in ranges of rows."""
+    path = f"{Workspace(spark, 'arrays').root}/embeddings"
+    led = points(spark, sf_dir).select("id", F.concat(F.array(F.col("id").cast("double")), "vec").alias("vec"))
+    arrays.write(led, path, part_bytes=1 << 24)
+    total = F.aggregate(F.slice("vec", 2, DIM), F.lit(0.0), lambda a, v: a + v)
+    return vectors.npy(spark, path).select("id", F.get("vec", F.lit(0)).cast("long").alias("vec_id"), (F.round(total, 6) + 0.0).alias("total"))
+
+
 @query("scan_blocks", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS bounded, greatest(3, (count(*) + 99) // 100) AS blocks FROM embeddings")
 def scan_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows in blocks of about 100: all of them once, none in a block of over twice that."""

@@ -6,64 +6,74 @@ are given by an explicit order, so they are the same on every run.
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Callable
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinia.sources import arrays
+
+
+#: Adapters by the type of what they adapt; a type without one takes the nearest of its base classes.
+ADAPTERS: dict[type, Callable[..., DataFrame]] = {}
+
+
+def adapts(kind: type) -> Callable:
+    """Register ``make(spark, data, id_col, vec_col)`` as the adapter of a type; a later one takes an earlier one's place."""
+
+    def register(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        ADAPTERS[kind] = make
+        return make
+
+    return register
+
 
 def wrap(spark: SparkSession, data, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """A DataFrame as it is; a 2-D array with its row numbers as ids."""
-    if isinstance(data, DataFrame):
-        return data
-    if isinstance(data, np.ndarray):
-        if data.ndim == 1:
-            data = data.reshape(1, -1)
-        if data.ndim != 2:
-            raise ValueError("data must have two dimensions")
-        flat = np.ascontiguousarray(data, dtype=np.float64)
-        offsets = np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int64)
-        vec = pa.LargeListArray.from_arrays(offsets[: len(flat) + 1], pa.array(flat.ravel()))
-        return spark.createDataFrame(pa.table({id_col: np.arange(len(flat)), vec_col: vec}))
+    """A DataFrame as it is, a 2-D array with its row numbers as ids, a path by its files' kind, other types by their adapters."""
+    for kind in type(data).__mro__:
+        if kind in ADAPTERS:
+            return ADAPTERS[kind](spark, data, id_col, vec_col)
     raise NotImplementedError(f"no adapter for {type(data).__name__}")
 
 
+@adapts(DataFrame)
+def _frame(spark: SparkSession, data: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return data
+
+
+@adapts(np.ndarray)
+def _array(spark: SparkSession, data: np.ndarray, id_col: str, vec_col: str) -> DataFrame:
+    if data.ndim == 1:
+        data = data.reshape(1, -1)
+    if data.ndim != 2:
+        raise ValueError("data must have two dimensions")
+    flat = np.ascontiguousarray(data, dtype=np.float64)
+    offsets = np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int64)
+    vec = pa.LargeListArray.from_arrays(offsets[: len(flat) + 1], pa.array(flat.ravel()))
+    return spark.createDataFrame(pa.table({id_col: np.arange(len(flat)), vec_col: vec}))
+
+
+@adapts(PurePath)
+def _path(spark: SparkSession, data: PurePath, id_col: str, vec_col: str) -> DataFrame:
+    rows = spark.read.parquet(str(data)).select(id_col, vec_col) if data.suffix == ".parquet" else npy(spark, str(data))
+    return rows.toDF(id_col, vec_col)
+
+
 def parquet(spark: SparkSession, path: str, id_col: str, vec_col: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
-    """An ``.npy`` file through Spark's readers, so any store that Spark reads will do; one file is one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                rows = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float64)
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    vec = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), vec], ["id", "vec"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, vec array<double>")
+    """An ``.npy`` file or a folder of them, in tasks of row ranges; ids follow the order of files and rows."""
+    return arrays.read(spark, path)
 
 
 def raw(spark: SparkSession, path: str, dim: int, dtype: str = "<f8") -> DataFrame:
-    """Rows of ``dim`` numbers in one binary file without a header. The file is split between records, which reach numpy in Arrow batches; ids follow the order of the rows."""
-    kind = np.dtype(dtype)
-    jvm, session = spark.sparkContext._jvm, spark._jsparkSession
-    records = spark.sparkContext._jsc.binaryRecords(path, dim * kind.itemsize).rdd()
-    rows = DataFrame(session.createDataset(records, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=kind).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dim, dtype=np.int32), pa.array(flat)), b.column(1)], ["vec", "place"])
-
-    placed = rows.select("value", F.monotonically_increasing_id().alias("place")).mapInArrow(run, "vec array<double>, place long")
-    return with_ids(placed, F.col("place")).select("id", "vec")
+    """Rows of ``dim`` numbers in binary files without a header, in tasks of row ranges; ids follow the order of files and rows."""
+    return arrays.read(spark, path, dim=dim, dtype=dtype)
 
 
 def delimited(spark: SparkSession, path: str, dim: int, header: bool = False, rownames: bool = False, sep: str = "\t") -> DataFrame:
