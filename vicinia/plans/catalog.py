@@ -17,6 +17,7 @@ from vicinia.functions import encoding, sampling
 from vicinia.functions.stable import stable_column
 from vicinia.operators import metrics, pairs
 from vicinia.operators.alignment import string_distance
+from vicinia.operators.ordered import as_of
 from vicinia.plans import search
 from vicinia.plans.families import Cosine, Family, Stable, Voronoi
 from vicinia.plans.tree import MedoidTree
@@ -698,6 +699,34 @@ def store_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(copy, "copy").union(count(own, "own"))
 
 
+# places in an order
+
+
+@query(
+    "as_of_events",
+    """WITH met AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'click', event_id) AS click_id FROM events)
+    SELECT event_id, click_id FROM met WHERE event_type = 'error'""",
+)
+def as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the last click of its user at or before it."""
+    events = table(spark, sf_dir, "events")
+    met = as_of(events.where("event_type = 'error'").select("event_id", "user_id", "ts"), events.where("event_type = 'click'").select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id")
+    return met.select("event_id", F.col("met.event_id").alias("click_id"))
+
+
+@query(
+    "as_of_orders",
+    """WITH met AS (SELECT o.o_orderkey, arg_max(struct_pack(id := e.event_id, ts := e.ts), struct_pack(ts := e.ts, id := e.event_id)) AS e
+        FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 26 YEAR AS ts FROM orders) o JOIN events e ON e.user_id = o.o_custkey AND e.ts <= o.ts AND e.ts >= o.ts - INTERVAL 30 DAY GROUP BY o.o_orderkey)
+    SELECT o_orderkey, e.id AS event_id FROM orders LEFT JOIN met USING (o_orderkey)""",
+)
+def as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order, moved on by 26 years, with its customer's last event within the 30 days before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + interval 26 years").alias("ts"))
+    met = as_of(orders, table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", F.expr("interval 30 days"))
+    return met.select("o_orderkey", F.col("met.event_id").alias("event_id"))
+
+
 # scans
 
 
