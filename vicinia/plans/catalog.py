@@ -22,6 +22,7 @@ from vicinia.plans import search
 from vicinia.plans.families import Cosine, Family, Stable, Voronoi
 from vicinia.plans.tree import MedoidTree
 from vicinia.sources import arrays, vectors
+from vicinia.sources.bucketed import BucketedStore
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.workspace import Workspace
 
@@ -669,10 +670,13 @@ def store_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BucketStore(spark).pack(rows).rows().select("id", "table_id", "bucket")
 
 
+def events_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(*[(F.col("event_id") * (k + 1)) % 97 for k in range(3)]).alias("keys"))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> BucketStore:
     """Events' buckets in a Parquet store."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(*[(F.col("event_id") * (k + 1)) % 97 for k in range(3)]).alias("keys"))
-    return BucketStore(spark, "parquet", f"{Workspace(spark, 'store').root}/index").pack(rows)
+    return BucketStore(spark, "parquet", f"{Workspace(spark, 'store').root}/index").pack(events_keys(spark, sf_dir))
 
 
 _events = "WITH k AS (SELECT event_id AS id, k AS table_id, (event_id * (k + 1)) % 97 AS bucket FROM events CROSS JOIN (SELECT unnest(range(3))::INT AS k))"
@@ -699,6 +703,16 @@ def store_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(copy, "copy").union(count(own, "own"))
 
 
+@query("store_bucketed", f"{_events}, n AS (SELECT table_id, bucket, count(*) AS n FROM k GROUP BY ALL) SELECT id AS query_id, sum(n)::BIGINT AS n FROM k JOIN n USING (table_id, bucket) GROUP BY id")
+def store_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in each event's buckets, over a bucketed table that is opened again; buckets of 500 rows and more lie in parts."""
+    keys = events_keys(spark, sf_dir)
+    store = BucketedStore(spark, f"{Workspace(spark, 'store').root}/index", least=500).pack(keys)
+    sizes = BucketStore.open(spark, store.path).met(store.rows().select("table_id", "bucket").distinct()).groupBy("table_id", "bucket").agg(F.count("*").alias("n"))
+    asked_ = keys.select(F.col("id").alias("query_id"), F.posexplode("keys").alias("table_id", "bucket"))
+    return asked_.join(sizes, ["table_id", "bucket"]).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
 # places in an order
 
 

@@ -25,6 +25,7 @@ from vicinia.operators import metrics
 from vicinia.operators.blocks import cdist
 from vicinia.plans import tree  # noqa: F401 (a stored index may hold one)
 from vicinia.plans.families import NONE, Family
+from vicinia.sources.bucketed import BucketedStore
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.vectors import by_id
 from vicinia.sources.workspace import Workspace
@@ -51,8 +52,8 @@ class Index:
 
     @classmethod
     def write(cls, family: Family, points: DataFrame, path: str, id_col: str = "id", vec_col: str = "vec") -> Index:
-        """Hash the points once into a bucketed Parquet store beside the family; ``open`` finds both."""
-        store = BucketStore(points.sparkSession, "parquet", path)
+        """Hash the points once into a bucketed table beside the family; ``open`` finds both."""
+        store = BucketedStore(points.sparkSession, path)
         out = cls(family, points, store, id_col, vec_col)
         points.sparkSession.createDataFrame([(bytearray(family.to_bytes()),)], "family binary").coalesce(1).write.parquet(f"{store.path}-family")
         out.stored = True
@@ -130,7 +131,7 @@ class Index:
         hashes = self.hash_queries(queries, probes).select("query_id", "table_id", "bucket")
         if self.family.votes == 1:
             return self.store.candidates(hashes)
-        met = hashes.join(self.store.rows(), ["table_id", "bucket"]).groupBy("query_id", "id").count()
+        met = self.store.met(hashes).groupBy("query_id", "id").count()
         return met.where(F.col("count") >= self.family.votes).select("query_id", "id")
 
     def probed(self, queries: DataFrame, q: int, max_distance: int = 2, max_size: int | None = None) -> DataFrame:

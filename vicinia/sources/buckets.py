@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,24 @@ class BucketStore:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> BucketStore:
-        """A store that was written before, by its version folder."""
+        """A store that was written before, by its version folder; of whichever layout it is."""
+        from vicinia.sources.bucketed import BucketedStore
+
+        if BucketedStore.is_at(spark, path):
+            return BucketedStore.open(spark, path)
         out = cls(spark)
         out.kind, out.path = "parquet", path
         return out
 
-    def append(self, rows: DataFrame) -> BucketStore:
+    def append(self, rows: DataFrame, batch: str | None = None) -> BucketStore:
+        """Add rows. A ``batch`` (Parquet only) has a folder of its own, and its rows take the place of those that an earlier attempt left there."""
         rows = rows.select(*COLUMNS)
         if self.kind == "parquet":
-            rows.repartitionByRange("table_id", "bucket", "id").sortWithinPartitions("table_id", "bucket", "id").write.mode("append").partitionBy("table_id").parquet(self.path)
+            dealt = rows.repartitionByRange("table_id", "bucket", "id").sortWithinPartitions("table_id", "bucket", "id")
+            mode, where = ("append", self.path) if batch is None else ("overwrite", f"{self.path}-batches/batch={batch}")
+            dealt.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("table_id").parquet(where)
+        elif batch is not None:
+            raise ValueError("batches need a store that outlives them: kind parquet")
         else:
             self._rows = rows if self._rows is None else self._rows.union(rows)
         return self
@@ -60,9 +71,9 @@ class BucketStore:
 
     def rows(self) -> DataFrame:
         if self.kind == "parquet":
-            fs, where = self._fs(self.path)
-            if fs.exists(where):
-                return self.spark.read.parquet(self.path).select(*COLUMNS)
+            kept = [p for p in (self.path, f"{self.path}-batches") if (at := self._fs(p))[0].exists(at[1])]
+            if kept:
+                return reduce(DataFrame.union, [self.spark.read.parquet(p).select(*COLUMNS) for p in kept])
         elif self._rows is not None:
             return self._rows
         return self.spark.createDataFrame([], "table_id int, bucket long, id long")
@@ -71,12 +82,16 @@ class BucketStore:
         """The ids of one bucket; table and key reach the scan."""
         return self.rows().where((F.col("table_id") == table) & (F.col("bucket") == key)).select("id")
 
+    def met(self, hashes: DataFrame) -> DataFrame:
+        """The queries' (query_id, table_id, bucket) with the ids in their buckets."""
+        return hashes.join(self.rows(), ["table_id", "bucket"])
+
     def candidates(self, hashes: DataFrame) -> DataFrame:
         """Distinct (query_id, id) that share a bucket with the queries' (query_id, table_id, bucket)."""
-        return hashes.join(self.rows(), ["table_id", "bucket"]).select("query_id", "id").distinct()
+        return self.met(hashes).select("query_id", "id").distinct()
 
     def candidate_counts(self, hashes: DataFrame) -> DataFrame:
-        return hashes.join(self.rows(), ["table_id", "bucket"]).groupBy("query_id").agg(F.count_distinct("id").alias("n"))
+        return self.met(hashes).groupBy("query_id").agg(F.count_distinct("id").alias("n"))
 
     def keys(self, table: int | None = None) -> DataFrame:
         rows = self.rows() if table is None else self.rows().where(F.col("table_id") == table)
@@ -85,9 +100,11 @@ class BucketStore:
     def clear(self, tables: int | list[int] | None = None) -> BucketStore:
         tables = [tables] if isinstance(tables, int) else tables
         if self.kind == "parquet":
-            for where in [self.path] if tables is None else [f"{self.path}/table_id={t}" for t in tables]:
-                fs, path = self._fs(where)
-                fs.delete(path, True)
+            for at in (self.path, f"{self.path}-batches", f"{self.path}-batches/batch=*"):
+                for where in [at] if tables is None else [f"{at}/table_id={t}" for t in tables]:
+                    fs, path = self._fs(where)
+                    for found in fs.globStatus(path) or ():
+                        fs.delete(found.getPath(), True)
         elif self._rows is not None:
             self._rows = None if tables is None else self._rows.where(~F.col("table_id").isin(tables))
         return self
