@@ -25,6 +25,7 @@ from vicinia.sources import arrays, vectors
 from vicinia.sources.bucketed import BucketedStore
 from vicinia.sources.buckets import BucketStore
 from vicinia.sources.workspace import Workspace
+from vicinia.streaming.as_of import as_of_stream, timers
 
 DIM, Q = 64, 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -741,6 +742,22 @@ def as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("o_orderkey", F.col("met.event_id").alias("event_id"))
 
 
+@query(
+    "as_of_stream",
+    """WITH met AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS met_event_id, last_value(CASE WHEN event_type = 'click' THEN ts END IGNORE NULLS) OVER w AS met_ts
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type <> 'click', event_id))
+    SELECT user_id, ts, event_id, met_ts, met_event_id FROM met WHERE event_type = 'error' AND ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 6 HOUR FROM events WHERE event_type IN ('error', 'click'))""",
+)
+def as_of_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: each error that the watermark (6 hours) has passed with the last click of its user."""
+    ws = Workspace(spark, "as-of-stream")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may be a single file
+    met = as_of_stream(events, "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "click", "6 hours")
+    with timers(spark):
+        met.writeStream.format("parquet").option("checkpointLocation", f"{ws.root}/progress").trigger(availableNow=True).start(f"{ws.root}/met").awaitTermination()
+    return spark.read.schema(met.schema).parquet(f"{ws.root}/met")
+
+
 # scans
 
 
