@@ -11,7 +11,8 @@ by their whole distance. No link is lost and no cap is needed. With 31-bit block
 d = 3 that is 2 homes and 32 replicas each, over 2 * 2^26 anchors.
 
 Links join fingerprints, not documents: copies never expand into pairs. Components come
-from alternating large and small stars over written tables.
+from alternating large and small stars over written tables. Every join is a merge join, also
+where one side is small: a broadcast is built in the driver, and rounds of them add up there.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a
 very long text is hashed whole, in blocks of shingles; a bit that is set in just half of
@@ -118,7 +119,7 @@ def links(fps: DataFrame, distance: int = 3, r: int = 5) -> DataFrame:
         replicas.append(F.transform(flips, replica(k, word)))
     left = fps.select(F.col("fp").alias("a"), F.inline(F.array(*homes)))
     right = fps.select(F.col("fp").alias("b"), F.inline(F.flatten(F.array(*replicas))))
-    met = left.join(right, ["block", "anchor"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    met = left.join(right.hint("merge"), ["block", "anchor"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return met.select("a", "b").distinct()
 
 
@@ -128,7 +129,7 @@ def components(ws: Workspace, edges: DataFrame, name: str = "stars") -> DataFram
     def pulled(pairs: DataFrame) -> DataFrame:
         """(u, v) with the smallest of u and all its v."""
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u")
+        return pairs.join(least.hint("merge"), "u")
 
     now = ws.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-0")
     mark, step = None, 0
@@ -151,9 +152,9 @@ def _placed(ws: Workspace, rows: DataFrame, distance: int) -> DataFrame:
     """Return ``fp``, ``root`` and component_id of every fingerprint of the rows (id, fp)."""
     fps = ws.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     stars = components(ws, links(fps, distance))
-    rooted = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(stars.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "root", "component_id")
+    return rooted.join(named.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, distance: int = 3, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -161,7 +162,7 @@ def near_duplicates(df: DataFrame, distance: int = 3, width: int = 3, text_col:
     ws = Workspace(df.sparkSession, "simhash")
     rows = ws.save(fingerprints(df, text_col, id_col, width), "rows")
     of = _placed(ws, rows, distance)
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(of.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def representatives(df: DataFrame, distance: int = 3, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -180,5 +181,5 @@ def representatives(df: DataFrame, distance: int = 3, width: int = 3, text_col:
     own = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
     tagged = ws.save(own.mapInArrow(run, T.StructType([own.schema["row"], own.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType())])), "tagged")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
-    keep = tagged.select("id", "fp", "place").join(_placed(ws, tagged.select("id", "fp"), distance), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first.place").alias("place"))
+    keep = tagged.select("id", "fp", "place").join(_placed(ws, tagged.select("id", "fp"), distance).hint("merge"), "fp").groupBy("root").agg(least.alias("first")).select(F.col("first.place").alias("place"))
     return tagged.join(ws.save(keep, "keep").hint("merge"), "place", "left_semi").select(*[F.col("row")[c].alias(c) for c in df.columns])
