@@ -42,3 +42,11 @@ def test_queries_without_a_twin(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(catalog.oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_listed_indexes_are_whole(spark):
+    from vicinia.plans.catalog import queries
+
+    where, all_queries = "/root/testdata/sf0.01", queries()
+    tables = {"lsh_cosine_index": 128, "lsh_stable_index": 112, "store_keys": 32, "store_clear": 31}
+    assert {n: all_queries[n](spark, where).select("table_id").distinct().count() for n in tables} == tables
