@@ -53,8 +53,11 @@ def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int, na
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = zip(*(b.column(k).to_pylist() for k in (2, 3)), strict=True)
-            yield b.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in own], pa.bool_()))
+            # sets are read where they lie, and a batch goes before the next comes: a node of many pairs is in each of its rows
+            own = zip(*((np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)) for k in (2, 3)), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in own], pa.bool_()))
+            del b, own
+            pa.default_memory_pool().release_unused()
 
     left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_grams", "b_grams")
