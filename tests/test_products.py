@@ -41,3 +41,15 @@ def test_copies_tie_in_hausdorff(spark):
     df = spark.createDataFrame([(k, r.tolist(), k % 2) for k, r in enumerate(rows)], "id long, vec array<double>, label int")
     got = {(r.label_a, r.label_b): (r.distance, r.id_a, r.id_b) for r in pairs.directed_hausdorff(df, df, by=["label"]).collect()}
     assert got == {(a, b): (0.0, a, b) for a in (0, 1) for b in (0, 1)}
+
+
+def test_exact_neighbours_shuffle_the_best_of_each_task_only(one_file):
+    from vicinia.plans import search
+
+    few = one_file.where("id < 10")
+    sent = search._best_in_blocks(few, one_file, 3, "euclidean", 3, {})
+    tasks = sent.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert tasks <= 3 and sent.count() < 10 * 600 / 4
+    d = blocks.cdist("euclidean", ROWS[:10], ROWS)
+    want = {(i, k + 1): j for i in range(10) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    assert {(r.query_id, r.rank): r.id for r in search.nearest_exact(few, one_file, 3).collect()} == want
