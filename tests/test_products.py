@@ -53,3 +53,36 @@ def test_exact_neighbours_shuffle_the_best_of_each_task_only(one_file):
     d = blocks.cdist("euclidean", ROWS[:10], ROWS)
     want = {(i, k + 1): j for i in range(10) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
     assert {(r.query_id, r.rank): r.id for r in search.nearest_exact(few, one_file, 3).collect()} == want
+
+
+def test_blocks_round_like_sql():
+    import duckdb
+
+    x = np.concatenate([np.random.default_rng(4).random(5000) * 9 - 2, [0.0078125, -0.0078125, -0.0, -1e-9, 5e-7, 2.0000005, np.nan, np.inf, 1e305]])
+    want = [duckdb.execute("select round(?::double, 6) + 0.0", [v]).fetchone()[0] for v in x]
+    np.testing.assert_array_equal(pairs.nearest_decimal(x, 6), want)
+    assert not np.signbit(pairs.nearest_decimal(np.array([-0.0, -1e-9]), 6)).any()
+
+
+def test_truth_values_are_counted_by_products():
+    a, b = (ROWS[:40] > 0.5) * 1.0, (ROWS[40:90] > 0.5) * 1.0
+    for name in ("jaccard", "hamming"):
+        np.testing.assert_array_equal(blocks.cdist(name, a, b), blocks.cdist(name, 2 * a, 2 * b))
+    np.testing.assert_allclose(blocks.cdist("canberra", [[0.0, 1.0, 0.0]], [[0.0, 3.0, 2.0]]), [[1.5]])
+
+
+def test_condensed_measures_no_pair_of_blocks_twice(one_file):
+    """Of two blocks one order only is measured, whatever order the rows lie in."""
+    calls = one_file.sparkSession.sparkContext.accumulator(0)
+
+    @pairs.broadcasting
+    def counted(u, v):
+        out = np.abs(u - v).sum(-1)
+        calls.add(out.size)
+        return out
+
+    mixed = one_file.orderBy(F.xxhash64("id"))
+    got = pairs.condensed(mixed, counted, places=3).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {(i, j) for i in range(600) for j in range(i + 1, 600)}
+    assert calls.value <= 600 * 600 * 3 / 4
+    assert all(r.distance == round(np.abs(ROWS[r.id_a] - ROWS[r.id_b]).sum() * 1000) / 1000 for r in got[:500])
