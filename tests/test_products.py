@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +88,30 @@ def test_condensed_measures_no_pair_of_blocks_twice(one_file):
     assert {(r.id_a, r.id_b) for r in got} == {(i, j) for i in range(600) for j in range(i + 1, 600)}
     assert calls.value <= 600 * 600 * 3 / 4
     assert all(r.distance == round(np.abs(ROWS[r.id_a] - ROWS[r.id_b]).sum() * 1000) / 1000 for r in got[:500])
+
+
+#: Metrics of truth values whose products were found to fail by time.
+COUNTED = ["kulsinski"]
+
+
+@pytest.mark.parametrize("metric", COUNTED)
+def test_a_product_of_truth_values_is_dealt_over_tasks(one_file, metric):
+    truths = one_file.select("id", F.transform("vec", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)).alias("vec"))
+    few = truths.where("id % 100 = 0")
+    got = pairs.pairwise(few, truths, metric, places=6).withColumn("task", F.spark_partition_id()).collect()
+    held = np.unique([r.task for r in got], return_counts=True)[1]
+    assert len(held) >= 3 and held.max() <= len(got) / 2
+    want = np.round(blocks.cdist(metric, (ROWS[::100] > 0.5) * 1.0, (ROWS > 0.5) * 1.0), 6)
+    assert len(got) == want.size
+    np.testing.assert_allclose([r.distance for r in got], [want[r.id_a // 100, r.id_b] for r in got], atol=1e-6)
+
+
+@pytest.mark.parametrize("metric", COUNTED)
+def test_a_block_takes_the_ratio_that_is_asked_for_only(metric):
+    """The answer and the counts of a part of the rows are held; all metrics' ratios took some twenty blocks."""
+    a, b = (np.random.default_rng(k).random((256, 64)) > 0.5 for k in (6, 7))
+    tracemalloc.start()
+    d = blocks.cdist(metric, a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * d.nbytes
