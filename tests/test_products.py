@@ -91,7 +91,7 @@ def test_condensed_measures_no_pair_of_blocks_twice(one_file):
 
 
 #: Metrics of truth values whose products were found to fail by time.
-COUNTED = ["kulsinski", "sokalmichener", "sokalsneath", "yule"]
+COUNTED = ["kulsinski", "sokalmichener", "sokalsneath", "yule", "rogerstanimoto"]
 
 
 @pytest.mark.parametrize("metric", COUNTED)
