@@ -219,3 +219,20 @@ def test_a_tree_grows_with_its_table(points):
     for bad in ({"coarse": 0}, {"coarse": 7}, {"coarse": 2, "votes": 0}):
         with pytest.raises(ValueError):
             MedoidTree(X[:6], **bad)
+
+
+def test_neighbouring_codes_are_met_without_broadcasts(spark, points):
+    """Of the pairs that neighbouring codes give only the q best a task leave it, and nothing goes through the driver."""
+    index, queries = search.Index(Stable.draw(12, L=3, k=5, r=4.0, seed=4), points), points.where("id % 10 = 0")
+    near = index.query(queries, 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" in plan and "Broadcast" not in plan
+    sent = index._probed(queries, 5, 2, 5)
+    assert sent.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 5
+    assert near.count() < index.probed(queries, 5).count()
+
+
+def test_code_distances():
+    a, b = RNG.integers(0, 3, (7, 4, 5)), RNG.integers(0, 3, (9, 4, 5))
+    want = (a[:, None] != b[None]).sum(axis=3).min(axis=2)
+    np.testing.assert_array_equal(search._code_distances(a.transpose(1, 2, 0), b.transpose(1, 2, 0)), want)
