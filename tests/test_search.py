@@ -236,3 +236,15 @@ def test_code_distances():
     a, b = RNG.integers(0, 3, (7, 4, 5)), RNG.integers(0, 3, (9, 4, 5))
     want = (a[:, None] != b[None]).sum(axis=3).min(axis=2)
     np.testing.assert_array_equal(search._code_distances(a.transpose(1, 2, 0), b.transpose(1, 2, 0)), want)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_stored_searches_send_the_best_of_each_task_only(spark, points, few, tmp_path, monkeypatch):
+    if not few:
+        monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    family, queries = MedoidTree.draw(points, spill=4, probes=5), points.where("id % 25 = 0")
+    index = search.Index.write(family, points, f"file://{tmp_path}/index")
+    sent = index._meeting(queries, 5, 2)
+    assert sent.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2
+    want = ranks(search.Index(family, points).query(queries, 2, probe=False, probes=5).collect())
+    assert ranks(index.query(queries, 2, probe=False, probes=5).collect()) == want and len(want) > 12
