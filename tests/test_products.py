@@ -115,3 +115,31 @@ def test_a_block_takes_the_ratio_that_is_asked_for_only(metric):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 * d.nbytes
+
+
+@pytest.mark.parametrize("held", [1 << 28, 1 << 13])
+def test_hausdorff_leaves_rows_that_cannot_be_the_farthest(one_file, monkeypatch, held):
+    for name, value in (("SEEDS", 100), ("LONG", 50), ("HELD", held)):
+        monkeypatch.setattr(pairs, name, value)
+    calls = one_file.sparkSession.sparkContext.accumulator(0)
+
+    @pairs.broadcasting
+    def counted(u, v):
+        out = np.abs(u - v).sum(-1)
+        calls.add(out.size)
+        return out
+
+    df, rows = one_file.withColumn("label", F.col("id") % 3), ROWS
+    d = blocks.cdist("cityblock", rows, rows)
+    want = {}
+    for a in range(3):
+        for b in range(3):
+            part = d[a::3, b::3]
+            i = part.min(axis=1).argmax()
+            want[a, b] = (round(part[i].min(), 9), 3 * i + a, 3 * part[i].argmin() + b)
+    got = {(r.label_a, r.label_b): (round(r.distance, 9), r.id_a, r.id_b) for r in pairs.directed_hausdorff(df, df, counted, by=["label"]).collect()}
+    assert got == want
+    assert calls.value < 600 * 600 * (2 / 3 if held > 1 << 20 else 1)  # the seeds' pairs, about a sixth, included; two tasks a row bound each for itself
+    got = {(r.label_a, r.label_b): (r.id_a, r.id_b) for r in pairs.directed_hausdorff(df, df, by=["label"]).collect()}
+    e = blocks.cdist("euclidean", rows, rows)
+    assert got == {(a, b): (3 * i + a, 3 * e[3 * i + a, b::3].argmin() + b) for a in range(3) for b in range(3) for i in [e[a::3, b::3].min(axis=1).argmax()]}
